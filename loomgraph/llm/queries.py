@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.audio import audio_features, audio_table, encode_audio
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.jaccard_join import ngram_jaccard_join
 from loomgraph.llm.licenses import license_labels
 from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.toxicity import held_out, toxicity_scores, train
+from loomgraph.llm.warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = round_trip(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("response.page_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("response.type").alias("record_type"),
+        "refers_to",
+        F.col("request.record_id").isNotNull().alias("has_request"),
+        F.size("metadata").alias("n_metadata"),
+    )
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -42,12 +57,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_table(audio_features(encode_audio(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_transactions": op1_warc_transactions,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_audio_features": op10_audio_features,
 }
 
 ORACLES: dict[str, str] = {
