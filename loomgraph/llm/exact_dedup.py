@@ -218,6 +218,11 @@ def update_index(entries: DataFrame | None, inserts: DataFrame | None, deletes:
     return dealt.sortWithinPartitions("shard", "rank").mapInArrow(_index, ENTRY)
 
 
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = materialise(digests(docs), "digests")
+    return rows, materialise(update_index(None, rows, rows=rows.count()), "digest-index")
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) per row of ``docs`` (doc_id, text).
 
@@ -226,7 +231,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     one doc_id just one is kept.  An empty table gives an empty result; other
     columns are ignored.
     """
-    rows = materialise(digests(docs), "digests")
-    groups = materialise(update_index(None, rows, rows=rows.count()), "digest-index")
+    rows, groups = _groups(docs)
     joined = rows.join(groups.select(F.col("sha").alias("s"), "keep_id", "keep_row", "n"), F.col("sha") == F.col("s"))
     return joined.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are told apart by their number in ``docs``, which must be read alike
+    twice, as a table is.
+    """
+    _, groups = _groups(docs)
+    numbered = docs.withColumn("row_", F.monotonically_increasing_id())
+    return numbered.join(groups.select(F.col("keep_row").alias("row_")).hint("shuffle_hash"), "row_", "left_semi").select(*docs.columns)

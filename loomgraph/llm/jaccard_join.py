@@ -256,7 +256,7 @@ def _verify(percent: int, orders: int):
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, text_hash, stays) per row of ``docs`` (doc_id, text).
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their
     sets of distinct n-word shingles; component_id is the smallest doc_id
@@ -274,6 +274,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, orders: i
     Null and blank texts have no shingles and link with nothing, their
     component_id is their own doc_id; a null doc_id counts as larger than any
     other and is ignored by the minimum (null if a component has no other).
+    ``stays`` marks the component's smallest (doc_id, text_hash), the latter
+    being xxhash64 of the text, and all texts without shingles.
     Repeated rows come back as often as they came.  An empty table gives none.
     Columns other than doc_id and text are ignored.
     """
@@ -312,9 +314,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, orders: i
     links = links.union(links_of(apart.join(first, ["a", "b"], "left_anti")))
     label = connected_components(links)
 
-    smallest = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk")
+    smallest = rows.where("n > 0").groupBy("sid").agg(F.min(order).alias("least"))
     named = smallest.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    classes = materialise(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id"), "classes")
-    return rows.join(classes.withColumnRenamed("sid", "s"), (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    classes = materialise(named.join(named.groupBy("root").agg(F.min("least").alias("first")), "root").select("sid", "first"), "classes")
+    joined = rows.join(classes.withColumnRenamed("sid", "s"), (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left")
+    some = F.col("n") > 0
+    return joined.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(some, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("tk").alias("text_hash"),
+        (~some | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.tk") == F.col("tk")))).alias("stays"),
     )

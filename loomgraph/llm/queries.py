@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm._shared import new_path
 from loomgraph.llm.audio import audio_features, audio_table, encode_audio
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.jaccard_join import ngram_jaccard_join
 from loomgraph.llm.licenses import license_labels
+from loomgraph.llm.mixing import mix
+from loomgraph.llm.packing import pack
+from loomgraph.llm.rollups import TokenRollup, changes, count_tokens
 from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.toxicity import held_out, toxicity_scores, train
 from loomgraph.llm.warc import round_trip
@@ -33,8 +38,28 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after an insert batch a tokenizer, a revision of the first one's counts and a replay of it."""
+    docs = table(spark, sf_dir, "documents")
+    bpe = count_tokens(docs, "byte_bpe_50k", public_tokenizers.path("byte_bpe_50k.json"))
+    words = count_tokens(docs, "words_v1")
+    rollup = TokenRollup(spark, new_path(spark, "token-rollup"))
+    rollup.commit("insert-bpe", changes(bpe))
+    rollup.commit("insert-words", changes(words))
+    # The words are counted anew as version 2: the old counts leave, the new ones come.
+    rollup.commit("revise-words", changes(revised=(words, words.withColumn("tokenizer", F.lit("words_v2")))))
+    rollup.commit("insert-bpe", changes(bpe))  # a replay changes nothing
+    return rollup.totals()
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+    found = ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,17 +82,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packed.drop("ids")
+
+
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_table(audio_features(encode_audio(table(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_transactions": op1_warc_transactions,
+    "op2_token_rollups": op2_token_rollups,
+    "op3_mix_sources": op3_mix_sources,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_audio_features": op10_audio_features,
 }
 

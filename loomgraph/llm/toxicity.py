@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm._shared import same_text, ship
 from loomgraph.llm._words import BYTE_BASE, BYTE_VALUE, IS_SPACE, LOWER, U64, buffers, chunks, inverse, mix, powers
@@ -132,16 +133,15 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 200, c: float = 0.
     return Model(hashes, beta * r, b)
 
 
-def _score(model):
+def _score(model, name: str = "score", keep_text: bool = False):
     def run(batches):
         m = model.value
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             out = [m.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in chunks(offsets)]
             score = pa.array(np.concatenate(out) if out else np.zeros(0))
-            columns = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
-            names = [k for k in batch.schema.names if k != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, score], names=[*names, "score"])
+            names = [k for k in batch.schema.names if keep_text or k != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), score], names=[*names, name])
 
     return run
 
@@ -180,6 +180,13 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_score(shared), "doc_id long, score double")
 
 
+def score_documents(docs: DataFrame, model: Model, name: str = "score_") -> DataFrame:
+    """``docs`` with all its columns and the score of its text as column ``name``."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_score(shared, name, True), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Whether a document's label is kept from training: crc32 of its id as text, modulo 3, is 1."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
