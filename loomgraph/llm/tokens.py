@@ -34,8 +34,8 @@ def ranks(path: str) -> dict[bytes, int] | None:
     merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     if merged != sorted(merged) or model["vocab"].keys() & {""}:
         return None
-    letters = byte_alphabet()
-    return {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if all(c in letters for c in t) and (i <= max(merged))}
+    letters, last = byte_alphabet(), max(merged, default=255)
+    return {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if i <= last and all(c in letters for c in t)}
 
 
 class Words(dict):
