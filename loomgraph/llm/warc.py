@@ -84,8 +84,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     spark = pages.sparkSession
     rows, revisits = captures(pages, min_revisit_bytes)
     total = rows.agg(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
-    files = max(1, min(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()) if total > ARCHIVE_BYTES else 1, -(-total // ARCHIVE_BYTES))
-    marked = rows.join(revisits.hint("shuffle_hash"), F.col("row") == F.col("r"), "left").repartition(int(files))
+    files = max(1, min(rows.rdd.getNumPartitions(), -(-total // (1 << 20))), -(-total // ARCHIVE_BYTES))
+    # Payloads move once: dealt by row into as many parts as there are to be files, which the join keeps.
+    marked = rows.repartition(int(files), "row").join(revisits.hint("shuffle_hash"), F.col("row") == F.col("r"), "left")
     is_revisit = F.col("first_row").isNotNull()
     response, url = urn("response", F.col("row")), F.coalesce("url", F.lit(""))
     http = F.concat(_bytes(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.length("payload").cast("string"), F.lit(END))), F.when(is_revisit, _bytes(F.lit(""))).otherwise(F.col("payload")))
