@@ -1,31 +1,16 @@
-"""Shared storage and code shipping for the operators of this package."""
+"""Shared storage for the operators of this package."""
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.storage import ship
 
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package, however the driver found it (once per context)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_loomgraph_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    where = Path(tempfile.mkdtemp(prefix="loomgraph-ship-")) / "loomgraph_code.zip"
-    where.write_bytes(packed.getvalue())
-    sc.addPyFile(str(where))  # read by the driver only, which serves it to the executors
-    sc._loomgraph_shipped = True
+__all__ = ["delete", "fresh", "materialise", "new_path", "same_text", "shared_folder", "ship"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,6 +52,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def same_text(text: str | Column) -> Column:
     """A row's text as a string column, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._shared import materialise, same_text, ship
+from loomgraph.llm._shared import fresh, materialise, same_text, ship
 
 SLOTS, MAX_KICKS = 4, 200
 #: Digests that one shard's task holds, about.
@@ -243,5 +243,6 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     twice, as a table is.
     """
     _, groups = _groups(docs)
-    numbered = docs.withColumn("row_", F.monotonically_increasing_id())
-    return numbered.join(groups.select(F.col("keep_row").alias("row_")).hint("shuffle_hash"), "row_", "left_semi").select(*docs.columns)
+    (row,) = fresh(docs.columns, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(groups.select(F.col("keep_row").alias(row)).hint("shuffle_hash"), row, "left_semi").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm._shared import materialise, same_text
+from loomgraph.llm._shared import fresh, materialise, same_text
 
 #: Documents of a leaf, about, and residuals of an inner node of the reduction tree.
 FAN_IN = 64
@@ -128,9 +128,10 @@ def mix(docs: DataFrame, max_copies: int = 3, fan_in: int = FAN_IN, seed: int =
 
 def mixed_documents(docs: DataFrame, max_copies: int = 3) -> DataFrame:
     """The rows of ``docs`` as often as ``mix`` takes them, with all their columns (documents without words go)."""
-    copies = mix(docs, max_copies).groupBy(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("n_")).agg(F.max("copies").alias("c_")).where("c_ > 0")
-    joined = docs.withColumn("w_", word_count()).join(
+    d, s, n, c, w, k = fresh(docs.columns, "d", "s", "n", "c", "w", "k")
+    copies = mix(docs, max_copies).groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n)).agg(F.max("copies").alias(c)).where(F.col(c) > 0)
+    joined = docs.withColumn(w, word_count()).join(
         copies.hint("shuffle_hash"),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("d_")) & F.col("source").cast("string").eqNullSafe(F.col("s_")) & (F.col("w_") == F.col("n_")),
+        F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(s)) & (F.col(w) == F.col(n)),
     )
-    return joined.withColumn("k_", F.explode(F.expr("sequence(1L, c_)"))).select(*docs.columns)
+    return joined.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(c)))).select(*docs.columns)

@@ -157,7 +157,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, rows: i
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("l"), "l").limit(rows) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     # At most 2 * rows ids, so the broadcast is bounded.
-    return docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("l")).groupBy("l").agg(F.min(same_text("text")).alias("text"), F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), same_text("text").alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("d") == F.col("l")).groupBy("l").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = TRAIN_ROWS) -> Model:
