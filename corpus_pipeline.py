@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm._shared import materialise
+from loomgraph.llm._shared import fresh, materialise
 from loomgraph.llm.exact_dedup import kept_documents
 from loomgraph.llm.jaccard_join import ngram_jaccard_join
 from loomgraph.llm.mixing import mixed_documents
@@ -25,7 +25,8 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labelled documents of the input (a bounded sample) and drop those that score as toxic."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return score_documents(docs, model).where(F.col("score_") < TOXIC).drop("score_")
+    (score,) = fresh(docs.columns, "score")
+    return score_documents(docs, model, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the smallest doc_id stays."""
     found = ngram_jaccard_join(docs, n=5, percent=80)
-    keep = found.where("stays").select(F.col("doc_id").alias("d_"), F.col("text_hash").alias("h_"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("h_"))
+    d, h = fresh(docs.columns, "d", "h")
+    keep = found.where("stays").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
     return docs.join(keep.hint("shuffle_hash"), same, "left_semi")
 
 
