@@ -11,7 +11,7 @@ from loomgraph import fixtures as fx
 from loomgraph.fixtures import table, with_
 from loomgraph.functions import permissions as perm
 from loomgraph.functions import text as tx
-from loomgraph.operators import assembly, code_facts, conflicts, graph, mutations, relations, reliability, retrieval, scoring, validation
+from loomgraph.operators import assembly, code_facts, conflicts, graph, mutations, relations, reliability, retrieval, runtime, scoring, validation
 from loomgraph.plans import ingest
 from loomgraph.plans import route as routing
 from loomgraph.sources import skill_files
@@ -656,21 +656,34 @@ def import_stats(spark, d):
 INFER = with_("edges") + """, dec AS (SELECT source, target, max(edge_type) AS dt FROM edges WHERE edge_type IN ('REQUIRES', 'ENHANCES') AND source % 2 = 0 GROUP BY 1, 2 HAVING count(DISTINCT edge_type) = 1),
     inf AS (SELECT source, target, CASE WHEN source % 3 = 0 THEN 'CONFLICTS_WITH' WHEN source % 3 = 1 THEN 'REQUIRES' ELSE 'ENHANCES' END AS it, (source % 10 + 1) / 10.0::DOUBLE AS ic FROM (SELECT DISTINCT source, target FROM edges WHERE edge_type IN ('REQUIRES', 'ENHANCES'))),
     res AS (SELECT coalesce(d.source, i.source) AS source, coalesce(d.target, i.target) AS target, dt, it, ic, CASE WHEN it IS NULL THEN 'declared_only' WHEN dt IS NULL THEN CASE WHEN ic >= 0.7 THEN 'inferred_accepted' ELSE 'inferred_rejected' END
-      WHEN dt = it THEN 'agreed' WHEN (dt, it) IN (('REQUIRES', 'ENHANCES'), ('ENHANCES', 'REQUIRES')) THEN 'merged' WHEN ic >= 0.9 THEN 'inferred_override' ELSE 'declared_priority' END AS strategy FROM dec d FULL JOIN inf i ON d.source = i.source AND d.target = i.target)"""
+      WHEN dt = it THEN 'agreed' WHEN (dt, it) IN (('REQUIRES', 'ENHANCES'), ('ENHANCES', 'REQUIRES')) THEN 'merge' WHEN ic >= 0.9 THEN 'keep_inferred' ELSE 'keep_declared' END AS strategy FROM dec d FULL JOIN inf i ON d.source = i.source AND d.target = i.target)"""
 
 
-def _resolved(spark, d):
+def _relations(spark, d):
     e = fx.edges(spark, d).where("edge_type in ('REQUIRES', 'ENHANCES')")
     dec = e.where("source % 2 = 0").groupBy("source", "target").agg(F.count_distinct("edge_type").alias("n"), F.max("edge_type").alias("edge_type")).where("n = 1").drop("n")
     inf = e.select("source", "target").distinct().selectExpr("source", "target", "case source % 3 when 0 then 'CONFLICTS_WITH' when 1 then 'REQUIRES' else 'ENHANCES' end edge_type", "(source % 10 + 1) / 10.0D confidence")
-    return relations.resolve(dec, inf)
+    return dec, inf
+
 
+def _resolved(spark, d):
+    return relations.resolve(*_relations(spark, d), ladder=("merge", "keep_inferred", "keep_declared"))
 
-@query("relation_resolution", f"{INFER} SELECT source, target, CASE WHEN strategy LIKE 'inferred%' THEN it ELSE dt END AS edge_type, CASE WHEN strategy LIKE 'inferred%' THEN ic ELSE 1.0 END AS confidence, strategy FROM res WHERE strategy <> 'inferred_rejected'")
+
+@query("relation_resolution", f"{INFER} SELECT source, target, CASE WHEN strategy IN ('inferred_accepted', 'keep_inferred') THEN it ELSE dt END AS edge_type, CASE WHEN strategy IN ('inferred_accepted', 'keep_inferred') THEN ic ELSE 1.0 END AS confidence, strategy FROM res WHERE strategy <> 'inferred_rejected'")
 def relation_resolution(spark, d):
     return _resolved(spark, d)
 
 
+@query("manual_decisions", f"{INFER} SELECT source, target, CASE WHEN source % 4 = 0 THEN 'SUBSTITUTES' ELSE dt END AS edge_type FROM res WHERE strategy IN ('merge', 'keep_inferred', 'keep_declared') AND target % 5 <> 0")
+def manual_decisions(spark, d):
+    """Every conflict waits for review; some are decided, some dropped."""
+    dec, inf = _relations(spark, d)
+    waiting = relations.review(relations.resolve(dec, inf, ladder=("manual_review",)))
+    decisions = waiting.where("source % 4 = 0 or target % 5 = 0").selectExpr("source", "target", "case when target % 5 <> 0 then 'SUBSTITUTES' end decided")
+    return relations.decide(waiting, decisions).select("source", "target", "edge_type")
+
+
 @query("resolution_summary", f"{INFER} SELECT strategy, count(*) AS n FROM res WHERE strategy <> 'inferred_rejected' GROUP BY 1")
 def resolution_summary(spark, d):
     return relations.summary(_resolved(spark, d))
@@ -769,3 +782,90 @@ def cache_hit_rate(spark, d):
 @query("counter_increment", "SELECT user_id AS key, sum(event_id % 5)::BIGINT AS total FROM events GROUP BY 1")
 def counter_increment(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.sum(F.expr("event_id % 5")).alias("total"))
+
+
+# Further runtime, audit and design-level operators ---------------------------
+
+
+@query("http_status", "SELECT p_partkey AS id, CASE p_size * 1000 + p_partkey % 5 WHEN 2001 THEN 504 WHEN 2002 THEN 404 WHEN 3003 THEN 500 WHEN 4004 THEN 500 ELSE CASE p_size WHEN 1 THEN 400 WHEN 2 THEN 500 WHEN 3 THEN 400 WHEN 4 THEN 503 WHEN 5 THEN 403 WHEN 6 THEN 500 WHEN 7 THEN 504 WHEN 8 THEN 401 WHEN 9 THEN 429 ELSE 500 END END::INT AS status FROM part")
+def http_status(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), runtime.http_status(F.expr("cast(p_size * 1000 + p_partkey % 5 as int)")).alias("status"))
+
+
+@query("write_statistics", f"{EXE} SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS succeeded, round(avg(ok::INT) * 100, 2) AS success_rate, count(*) FILTER (WHERE NOT ok) AS rollbacks, round(avg(duration_ms), 2) AS avg_ms FROM executions")
+def write_statistics(spark, d):
+    e = fx.executions(spark, d)
+    return runtime.write_statistics(e.select(F.col("ok").alias("success"), (~F.col("ok")).alias("rolled_back"), F.col("duration_ms").alias("ms")))
+
+
+@query("audit_page", "SELECT event_id, event_type FROM events WHERE ts >= (SELECT min(ts) FROM events) AND event_type IN ('error', 'click') ORDER BY ts DESC, event_id DESC LIMIT 40 OFFSET 40")
+def audit_page(spark, d):
+    return runtime.audit(table(spark, d, "events"), "1970-01-01", "2100-01-01", ["error", "click"], 40, 1).select("event_id", "event_type")
+
+
+@query("skill_listing", f"{with_('skills')} SELECT id, uid FROM skills WHERE starts_with(uid, 'ns3:') AND NOT is_deprecated ORDER BY uid LIMIT 20 OFFSET 20")
+def skill_listing(spark, d):
+    return runtime.listing(fx.skills(spark, d), "ns3", False, 20, 1).select("id", "uid")
+
+
+@query("result_summary", "SELECT event_id, CASE event_type WHEN 'error' THEN 'error: ' || user_id WHEN 'click' THEN 'success' ELSE 'unknown' END AS summary FROM events")
+def result_summary(spark, d):
+    r = F.expr("""case event_type when 'error' then concat('{"status": "error", "type": "', user_id, '"}') when 'click' then '{"status": "success"}' else '{}' end""")
+    return runtime.summaries(table(spark, d, "events").withColumn("result", r)).select("event_id", "summary")
+
+
+@query("topology_response", "SELECT 's' || p_partkey AS source, 't' || p_size AS target, CASE WHEN p_partkey % 2 = 0 THEN 'REQUIRES' ELSE 'ENHANCES' END AS edge_type, 0.9::DOUBLE AS confidence FROM part WHERE p_partkey % 5 > 1")
+def topology_response(spark, d):
+    body = F.expr("""case when p_partkey % 5 = 0 then 'not json' else concat('{"topology_map": {"s', p_partkey, '": {"relations": [{"target_uid": "t', p_size, '", "edge_type": "', case when p_partkey % 2 = 0 then 'requires' else 'enhances' end,
+        '", "confidence": ', case when p_partkey % 5 = 1 then '0.5' else '0.9' end, '}, {"target_uid": "x", "edge_type": "OTHER", "confidence": 1.0}]}}}') end""")
+    return runtime.parse_topology(table(spark, d, "part").select(body.alias("response")))
+
+
+@query("relation_prompt", f"{with_('skills')} SELECT category, count(*) AS n FROM skills GROUP BY 1")
+def relation_prompt(spark, d):
+    p = runtime.prompt(fx.skills(spark, d))
+    return p.select("category", F.regexp_count("prompt", F.lit('"uid"')).cast("long").alias("n"))
+
+
+@query("deadlock_pairs", f"{EXE}, bad AS (SELECT session_id, skill_id FROM executions WHERE NOT ok GROUP BY ALL HAVING count(*) >= 2) SELECT x.session_id, x.skill_id AS a, y.skill_id AS b FROM bad x JOIN bad y ON x.session_id = y.session_id AND x.skill_id < y.skill_id")
+def deadlock_pairs(spark, d):
+    return runtime.deadlocks(fx.executions(spark, d), 2)
+
+
+@query("version_upgrade", f"{with_('edges')} SELECT CASE WHEN source % 10 = 0 THEN source + 1000000 ELSE source END AS source, CASE WHEN target % 10 = 0 THEN target + 1000000 ELSE target END AS target, edge_type, weight::DOUBLE AS weight FROM edges")
+def version_upgrade(spark, d):
+    renamed = fx.skills(spark, d).where("id % 10 = 0").selectExpr("id old", "id + 1000000 new")
+    return runtime.upgrade(fx.edges(spark, d), renamed)
+
+
+@query("file_events", f"{CHANGES} SELECT path, change AS kind FROM ch WHERE change <> 'unchanged'")
+def file_events(spark, d):
+    old, new = fx.snapshots(spark, d)
+    return runtime.events_of(new, mutations.file_changes(old, new))
+
+
+@query("hashed_embedding")
+def hashed_embedding(spark, d):
+    v = runtime.hashed_embedding(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return v.select("id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x), 6).alias("norm"))
+
+
+@query("inferred_path_ids", "SELECT p_partkey AS id, 'ns' || (p_partkey % 5) || ':s' || p_partkey AS uid FROM part")
+def inferred_path_ids(spark, d):
+    return _skill_texts(spark, d).select("id", tx.infer_uid("path").alias("uid"))
+
+
+@query("session_last_calls", f"{EXE} SELECT session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS k FROM executions) WHERE k <= 10")
+def session_last_calls(spark, d):
+    return runtime.latest_first(fx.executions(spark, d), "session_id", ["ts", "event_id"], 10).select("session_id", "event_id")
+
+
+@query("content_strings", f"{with_('skills')} SELECT id, CASE WHEN id % 4 = 0 THEN 'Skill: ' || uid ELSE description END AS content FROM skills")
+def content_strings(spark, d):
+    s = fx.skills(spark, d)
+    return s.select("id", tx.content(F.expr("case when id % 4 = 0 then ' ' else description end"), "uid").alias("content"))
+
+
+@query("dag_report_text", f"{CYC} SELECT 'invalid' || chr(10) || 'nodes: ' || (SELECT count(*) FROM embeddings) || chr(10) || 'edges: ' || (SELECT count(*) FROM ce) || chr(10) || 'cycles: ' || (SELECT count(DISTINCT component) FROM scc) || chr(10) || 'isolated: ' || (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT source FROM ce UNION SELECT target FROM ce)) AS report")
+def dag_report_text(spark, d):
+    return runtime.dag_text(graph.report(fx.cyclic(spark, d), fx.skills(spark, d)))
