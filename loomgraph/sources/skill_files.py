@@ -37,9 +37,11 @@ def split(files: DataFrame, text: str = "text") -> DataFrame:
 def _yaml(texts: pd.Series) -> pd.Series:
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
     def one(t):
         try:
-            x = yaml.safe_load(t) if t else {}
+            x = yaml.load(t, Loader=loader) if t else {}
         except yaml.YAMLError as e:
             line = re.search(r"line\s+(\d+)", str(e))
             return json.dumps({"_error": "yaml", "_line": int(line[1]) if line else 2})
