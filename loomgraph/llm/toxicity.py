@@ -19,6 +19,8 @@ ORDERS = (4, 5, 6, 7)
 TRAIN_ROWS = 2500
 FEATURES = 40_000
 TABLE_BITS = 22
+#: Numbers that training handles at once, which bounds the driver's memory.
+STEP = 1 << 18
 
 VALUE = BYTE_VALUE[np.where(IS_SPACE, 32, LOWER)]
 
@@ -95,18 +97,29 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 200, c: float = 0.
     def worth(p, q):
         return np.abs(ratio(p, q)) * np.sqrt(p + q) * (p + q >= 3)
 
-    w = worth(cells[1], cells[0])
+    w = np.concatenate([worth(*cells[::-1, k : k + STEP]) for k in range(0, cells.shape[1], STEP)])
     cut = np.partition(w, len(w) - 4 * FEATURES)[len(w) - 4 * FEATURES]
     good = (w > 0) & (w >= cut)
+    del cells, w
+    known, p, q = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     held: list = [[], []]
+
+    def count():
+        nonlocal known, p, q
+        (a, m), (b, n) = (np.unique(np.concatenate(h), return_counts=True) if h else (known[:0], p[:0]) for h in held)
+        every = np.unique(np.concatenate([known, a, b]))
+        sums = np.zeros((2, len(every)), np.int64)
+        for row, g, c in ((1, known, p), (0, known, q), (0, a, m), (1, b, n)):
+            sums[row, np.searchsorted(every, g)] += c
+        known, p, q = every, sums[1], sums[0]
+        held[:] = [], []
+
     for t, y in zip(texts, labels, strict=True):
         g = grams_of(t)
         held[int(y)].append(g[good[(g >> U64(64 - TABLE_BITS)).astype(np.int64)]])
-    known, count = np.unique(np.concatenate(held[0] + held[1]), return_counts=True)
-    p = np.zeros(len(known), np.int64)
-    own, n = np.unique(np.concatenate(held[1]), return_counts=True)
-    p[np.searchsorted(known, own)] = n
-    q = count - p
+        if sum(map(len, held[0])) + sum(map(len, held[1])) > STEP:
+            count()
+    count()
     w = worth(p, q)
     best = np.argsort(-w, kind="stable")[:FEATURES]
     best = np.sort(best[w[best] > 0])
@@ -115,19 +128,27 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 200, c: float = 0.
     rows, cols = [], []
     for k, t in enumerate(texts):
         _, f = model.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        rows.append(np.full(len(f), k))
-        cols.append(f)
+        rows.append(np.full(len(f), k, np.int32))
+        cols.append(f.astype(np.int32))
     row, col = np.concatenate(rows), np.concatenate(cols)
-    x = r[col]  # presence times ratio
+    parts = [slice(k, k + STEP) for k in range(0, len(row), STEP)]
+
+    def add(at, size, values):  # sums by row or column, a part of the pairs at a time
+        out = np.zeros(size)
+        for s in parts:
+            out += np.bincount(at[s], values(s), minlength=size)
+        return out
+
     y = labels.astype(float)
     share = np.where(labels, 0.5 / pos, 0.5 / neg)  # the classes weigh the same
     beta, b = np.zeros(len(hashes)), 0.0
     speed, speed_b = np.zeros(len(hashes)), 0.0
-    scale = 1.0 / max(1e-9, float(np.mean(np.bincount(row, x * x, minlength=len(texts)))))
+    scale = 1.0 / max(1e-9, float(np.mean(add(row, len(texts), lambda s: r[col[s]] ** 2))))
     for _ in range(rounds):  # gradient steps with momentum; a fixed number, so reruns agree
-        z = b + np.bincount(row, x * beta[col], minlength=len(texts))
+        w = r * beta  # a feature is its presence times the ratio
+        z = b + add(row, len(texts), lambda s, w=w: w[col[s]])
         e = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * share
-        speed = 0.9 * speed - 4 * scale * (np.bincount(col, x * e[row], minlength=len(hashes)) + c * scale * beta)
+        speed = 0.9 * speed - 4 * scale * (r * add(col, len(hashes), lambda s, e=e: e[row[s]]) + c * scale * beta)
         speed_b = 0.9 * speed_b - 0.5 * e.sum()
         beta, b = beta + speed, b + speed_b
     return Model(hashes, beta * r, b)
