@@ -105,6 +105,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_transactions": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+        parts AS (SELECT *, [('0x' || substr(h, k, 10))::BIGINT FOR k IN [1, 11, 21, 31]] AS v FROM p)
+        SELECT page_id, strlen(html) AS payload_bytes,
+               array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> b) & 31) + 1, 1) FOR b IN [35, 30, 25, 20, 15, 10, 5, 0]], '') FOR x IN v], '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+               true AS has_request, 1::INT AS n_metadata FROM parts""",
+    "op4_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[s:s + 3], ' ')) AS h FROM w, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1) + 1))) AS t(s)),
+        n AS (SELECT w.doc_id, count(h) AS n FROM w LEFT JOIN sh ON sh.doc_id = w.doc_id GROUP BY 1),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+        both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+        reach AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
+        SELECT n.doc_id, n.n AS n_shingles, min(least(n.doc_id, coalesce(r.y, n.doc_id))) AS component_id FROM n LEFT JOIN reach r ON r.x = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op5_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT rid, s, md5(array_to_string(ws[s:s + 34], ' ')) AS h FROM w, unnest(range(1, len(ws) - 33)) AS t(s)),
+        starts AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+        words AS (SELECT rid, k, ws[k] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(k)),
+        marked AS (SELECT a.rid, k, word, max(s) OVER (PARTITION BY a.rid ORDER BY k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM words a LEFT JOIN starts b ON b.rid = a.rid AND b.s = a.k)
+        SELECT w.doc_id, count(k) AS n_words, count(k) FILTER (WHERE gone) AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM w LEFT JOIN marked m ON m.rid = w.rid GROUP BY w.rid, w.doc_id""",
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
