@@ -74,17 +74,17 @@ CLASHES = {("read", "delete"): "read_delete_conflict", ("write", "execute"): "wr
 def conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of parsed permissions of different owners that clash on the same category and target.
 
-    The equality on (category, target) is the join key; only permissions whose
-    action clashes with something take part.
+    The equality on (category, target) and on the action that clashes is the join
+    key, so only clashing pairs are formed.
     """
-    acts = sorted({x for pair in CLASHES for x in pair})
-    side = lambda df, s: df.where(F.col("action").isin(acts)).select("category", "target", F.col("id").alias(f"id_{s}"), F.col("action").alias(f"action_{s}"), F.col("permission").alias(f"permission_{s}"))
-    left, right = side(a, "a"), side(b, "b")
-    kind = F.lit(None).cast("string")
+    side = lambda df, s: df.select("category", "target", F.col("id").alias(f"id_{s}"), F.col("action").alias(f"action_{s}"), F.col("permission").alias(f"permission_{s}"))
+    kind, against = F.lit(None).cast("string"), F.lit(None).cast("string")
     for (x, y), name in CLASHES.items():
-        kind = F.when(((F.col("action_a") == x) & (F.col("action_b") == y)) | ((F.col("action_a") == y) & (F.col("action_b") == x)), F.lit(name)).otherwise(kind)
-    same = (left["category"] == right["category"]) & left["target"].eqNullSafe(right["target"])
-    return left.join(right, same).where("id_a < id_b").withColumn("type", kind).where("type is not null").select("id_a", "id_b", "type", "permission_a", "permission_b")
+        kind = F.when(F.col("action_a").isin(x, y), F.lit(name)).otherwise(kind)
+        against = F.when(F.col("action_a") == x, F.lit(y)).when(F.col("action_a") == y, F.lit(x)).otherwise(against)
+    left, right = side(a, "a").withColumn("against", against).where("against is not null"), side(b, "b")
+    same = (left["category"] == right["category"]) & left["target"].eqNullSafe(right["target"]) & (left["against"] == right["action_b"])
+    return left.join(right, same).where("id_a < id_b").select("id_a", "id_b", kind.alias("type"), "permission_a", "permission_b")
 
 
 #: Parameter keys by resource and verbs by action, first match first.

@@ -565,8 +565,7 @@ def permission_summary(spark, d):
 @query("permission_conflicts", f"""{PARSED}, s AS (SELECT * FROM r WHERE id <= 200) SELECT a.id AS id_a, b.id AS id_b, CASE WHEN (a.action, b.action) IN (('read', 'delete'), ('delete', 'read')) THEN 'read_delete_conflict' ELSE 'write_execute_conflict' END AS type, a.permission AS permission_a, b.permission AS permission_b
     FROM s a JOIN s b ON a.id < b.id AND a.category = b.category AND a.target IS NOT DISTINCT FROM b.target WHERE (a.action, b.action) IN (('read', 'delete'), ('delete', 'read'), ('write', 'execute'), ('execute', 'write'))""")
 def permission_conflicts(spark, d):
-    """Of the declarations of the first 200 owners, which are the fixture's skills."""
-    p = perm.parse(fx.permissions(spark, d).where("id <= 200"))
+    p = perm.parse(fx.permissions(spark, d))
     return perm.conflicts(p, p)
 
 

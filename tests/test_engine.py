@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomgraph import queries as engine
 from loomgraph.functions import text as tx
 from loomgraph.operators import assembly, code_facts, conflicts, graph, mutations, reliability, retrieval, scoring
 from loomgraph.plans import ingest
@@ -129,3 +130,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     last = spark.table("rel").groupBy("skill_id").agg(F.max_by(F.struct("n_events", "reliability", "is_deprecated"), "n_events").alias("x")).select("skill_id", "x.*")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, reliability.fold(batch).collect()))
+
+
+def test_permission_conflicts_cover_every_owner(spark, monkeypatch):
+    rows = [(1, "fs:read:/a"), (150, "fs:delete:/a"), (250, "fs:delete:/a"), (3000, "exec:write"), (3001, "exec:execute"), (3002, "exec:execute:/x"), (3003, "fs:read"), (3004, "fs:write:/a"), (3004, "fs:read:/a")]
+    monkeypatch.setattr(engine.fx, "permissions", lambda s, d: spark.createDataFrame(rows, "id long, permission string"))
+    kinds = {frozenset(("read", "delete")): "read_delete_conflict", frozenset(("write", "execute")): "write_execute_conflict"}
+    want = []
+    for i, p in rows:
+        for j, q in rows:
+            (c, a, *t), (e, b, *u) = p.split(":"), q.split(":")
+            if i < j and c == e and t == u and frozenset((a, b)) in kinds:
+                want.append((i, j, kinds[frozenset((a, b))], p, q))
+    got = [tuple(r) for r in engine.permission_conflicts(spark, "").select("id_a", "id_b", "type", "permission_a", "permission_b").collect()]
+    assert sorted(got) == sorted(want) and len(want) == 5
