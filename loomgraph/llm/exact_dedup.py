@@ -180,9 +180,10 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(same_text(text), r"[\x20\x09-\x0D]+", " ")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, d64, sha) of every row; ``row`` tells repeated rows apart."""
-    clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), normalised("text").alias("t"))
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, row, d64, sha) of every row; ``row`` tells repeated rows apart: the column of that name, or numbers of this scan."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("row"), normalised("text").alias("t"))
     return clean.select("doc_id", "row", F.xxhash64("t").alias("d64"), F.sha2("t", 256).alias("sha"))
 
 
@@ -218,8 +219,8 @@ def update_index(entries: DataFrame | None, inserts: DataFrame | None, deletes:
     return dealt.sortWithinPartitions("shard", "rank").mapInArrow(_index, ENTRY)
 
 
-def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = materialise(digests(docs), "digests")
+def _groups(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    rows = materialise(digests(docs, row), "digests")
     return rows, materialise(update_index(None, rows, rows=rows.count()), "digest-index")
 
 
@@ -239,10 +240,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are told apart by their number in ``docs``, which must be read alike
-    twice, as a table is.
+    Rows are told apart by a number that is written with them once: two scans of
+    ``docs`` may split it differently, as after the loss of an executor.
     """
-    _, groups = _groups(docs)
     (row,) = fresh(docs.columns, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    _, groups = _groups(numbered, row)
     return numbered.join(groups.select(F.col("keep_row").alias(row)).hint("shuffle_hash"), row, "left_semi").select(*docs.columns)

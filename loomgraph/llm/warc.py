@@ -8,7 +8,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm._shared import materialise, new_path, ship
@@ -45,32 +45,33 @@ def _record(kind: Column, record_id: Column, headers: list[tuple[str, Column]],
 
 
 def captures(pages: DataFrame, min_revisit_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Captures (page_id, row, url, payload) of ``pages`` (page_id, url, html), and revisits (r, first_row, first_id).
-
-    Of rows with equal payloads of at least ``min_revisit_bytes`` bytes the one
-    with the largest page_id is the response, the others (row r) revisit it:
-    first_row and first_id name it.  Null html is an empty
-    payload; a null page_id counts as smaller than any other; of rows repeated
-    with one page_id the last is the response.
+    """Captures (page_id, key, url, payload) of ``pages`` (page_id, url, html), and repeated ones (k, first_key).
+
+    ``key`` is a digest of all of a capture, so it names the same rows however
+    often ``pages`` is read and however it is split.  Of rows with equal payloads
+    of at least ``min_revisit_bytes`` bytes one with the largest page_id is the
+    response, of several the one with the largest key; the rows of the other
+    keys, and all but one of its own key, revisit it.  Null html is an empty
+    payload; a null page_id counts as smaller than any other.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
-        F.monotonically_increasing_id().alias("row"),
         F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
-    )
+    ).withColumn("content", F.sha2("payload", 256))
+    rows = rows.withColumn("key", F.sha2(_bytes(F.to_json(F.struct("page_id", "url", "content"))), 256))
     # Digests alone go through the grouping; the written table lets Spark split a hot digest in the join.
-    narrow = materialise(rows.select("page_id", "row", F.length("payload").alias("size"), F.sha2("payload", 256).alias("content")), "captures")
-    order = F.struct(F.col("page_id").isNotNull().alias("k"), "page_id", "row")
+    narrow = materialise(rows.select("page_id", "key", F.length("payload").alias("size"), "content"), "captures")
+    order = F.struct(F.col("page_id").isNotNull().alias("k"), "page_id", "key")
     best = narrow.where(F.col("size") >= min_revisit_bytes).groupBy("content").agg(F.max(order).alias("b"), F.count("*").alias("n")).where("n > 1")
-    best = materialise(best.select(F.col("content").alias("c"), F.col("b.page_id").alias("first_id"), F.col("b.row").alias("first_row")), "first-captures")
-    revisits = narrow.join(best, (F.col("content") == F.col("c")) & (F.col("row") != F.col("first_row")))
-    return rows, revisits.select(F.col("row").alias("r"), "first_row", "first_id")
+    best = materialise(best.select(F.col("content").alias("c"), F.col("b.key").alias("first_key")), "first-captures")
+    repeated = narrow.join(best, F.col("content") == F.col("c")).select(F.col("key").alias("k"), "first_key").distinct()
+    return rows.drop("content"), repeated
 
 
-def urn(kind: str, row: Column) -> Column:
-    """A record id made of the capture's number, so a rerun writes the same one."""
-    h = F.md5(F.concat(F.lit(f"{kind}:"), row.cast("string")))
+def urn(kind: str, key: Column, copy: Column) -> Column:
+    """A record id made of the capture's key and its number among equal ones, so a rerun writes the same one."""
+    h = F.md5(F.concat(F.lit(f"{kind}:"), key, F.lit(":"), copy.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -82,31 +83,33 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     are gzipped; their number follows the payload bytes.
     """
     spark = pages.sparkSession
-    rows, revisits = captures(pages, min_revisit_bytes)
+    rows, repeated = captures(pages, min_revisit_bytes)
     total = rows.agg(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
     files = max(1, min(rows.rdd.getNumPartitions(), -(-total // (1 << 20))), -(-total // ARCHIVE_BYTES))
-    # Payloads move once: dealt by row into as many parts as there are to be files, which the join keeps.
-    marked = rows.repartition(int(files), "row").join(revisits.hint("shuffle_hash"), F.col("row") == F.col("r"), "left")
-    is_revisit = F.col("first_row").isNotNull()
-    response, url = urn("response", F.col("row")), F.coalesce("url", F.lit(""))
+    # Payloads move once: dealt by key into as many parts as there are to be files, which the join and the numbering of equal rows keep.
+    marked = rows.repartition(int(files), "key").join(repeated.hint("shuffle_hash"), F.col("key") == F.col("k"), "left")
+    marked = marked.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    is_revisit = F.col("first_key").isNotNull() & ((F.col("key") != F.col("first_key")) | (F.col("copy") > 1))
+    own = (F.col("key"), F.col("copy"))
+    response, url = urn("response", *own), F.coalesce("url", F.lit(""))
     http = F.concat(_bytes(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.length("payload").cast("string"), F.lit(END))), F.when(is_revisit, _bytes(F.lit(""))).otherwise(F.col("payload")))
     common = [("WARC-Target-URI", url), ("X-Page-ID", F.col("page_id"))]
     records = F.array(
-        _record(F.lit("request"), urn("request", F.col("row")), [*common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http; msgtype=request"))], _bytes(F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1" + END)))),
+        _record(F.lit("request"), urn("request", *own), [*common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http; msgtype=request"))], _bytes(F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1" + END)))),
         _record(
             F.when(is_revisit, "revisit").otherwise("response"),
             response,
             [
                 *common,
                 ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))),
-                ("WARC-Refers-To", F.when(is_revisit, urn("response", F.col("first_row")))),
+                ("WARC-Refers-To", F.when(is_revisit, urn("response", F.col("first_key"), F.lit(1)))),
                 ("WARC-Profile", F.when(is_revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
                 ("WARC-Truncated", F.when(is_revisit, "length")),
                 ("Content-Type", F.lit("application/http; msgtype=response")),
             ],
             http,
         ),
-        _record(F.lit("metadata"), urn("metadata", F.col("row")), [*common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], _bytes(F.concat(F.lit("page: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")))),
+        _record(F.lit("metadata"), urn("metadata", *own), [*common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], _bytes(F.concat(F.lit("page: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")))),
     )
     # A binary cast to string keeps its bytes, and the text sink writes them as they are.
     lines = marked.select(F.explode(records).alias("record")).select(F.col("record").cast("string").alias("value"))

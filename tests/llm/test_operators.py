@@ -64,6 +64,32 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+@pytest.fixture
+def resplit(spark, monkeypatch):
+    """The first written table changes the splits of later scans, as the loss of an executor does."""
+
+    def patch(module):
+        kept = module.materialise
+
+        def write(df, name):
+            out = kept(df, name)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+            return out
+
+        monkeypatch.setattr(module, "materialise", write)
+
+    yield patch
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_kept_documents_when_splits_change(spark, resplit, tmp_path):
+    rows = [(k, f"text {k // 2}") for k in range(80)] + [(78, "text 39")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(str(tmp_path / "docs"))
+    resplit(exact_dedup)
+    got = exact_dedup.kept_documents(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert sorted(map(tuple, got)) == [(k, f"text {k // 2}") for k in range(0, 80, 2)]
+
+
 def test_cuckoo_index_inserts_deletes_and_resizes(spark, docs):
     shard = exact_dedup.DigestShard()
     rng = np.random.default_rng(1)
@@ -329,6 +355,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_revisits_when_splits_change(spark, resplit, tmp_path):
+    rows = [(k, f"http://a/{k}", f"<p>{k // 2}</p>") for k in range(80)] + [(79, "http://a/79", "<p>39</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8, "page_id").write.parquet(str(tmp_path / "pages"))
+    resplit(warc)
+    got = warc.round_trip(spark.read.parquet(str(tmp_path / "pages")), with_payload=True).collect()
+    sha = lambda k: base64.b32encode(hashlib.sha1(f"<p>{k // 2}</p>".encode()).digest()).decode()
+    assert len({r.capture_id for r in got}) == len(rows)
+    assert sorted((r.response.page_id, r.payload_digest, r.refers_to or -1) for r in got) == sorted([(k, sha(k), -1 if k % 2 else k + 1) for k in range(80)] + [(79, sha(79), 79)])
+
+
 def test_warc_parser_rejects_broken_files():
     good = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
     assert [block for _, _, block in warc.parse(good)] == [b"ab\r\n"]
