@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from collections import Counter
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +16,18 @@ from pyspark.sql import functions as F
 from loomgraph.llm._shared import materialise, same_text, ship
 from loomgraph.llm.tokens import encoder
 
-#: Complete dives of the search beyond the best-fit incumbent; each ends at a leaf or a bound.
+#: Dives for the incumbent, each to a leaf or a bound.
 DIVES = 48
+#: Effort of the branch and bound beyond it: patterns placed and fillings tried.
+STEPS = 50_000
+#: Fillings looked at together, least waste first (order of the search, not its reach).
+WIDE = 6
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, rank long"
 
 
+Patterns = list[tuple[list[tuple[int, int]], int]]
+
+
 class Bins:
     """Patterns (lengths with counts) and how often each is used; built largest length first."""
 
@@ -27,10 +37,10 @@ class Bins:
         self.bins = self.waste = 0
 
     def completions(self, room: int, wide: int) -> list[list[int]]:
-        """Undominated fillings of ``room``, least waste first.
+        """Some fillings of ``room``, least waste first.
 
-        A single document that fills the room dominates every other filling, a
-        pair that fills it all with no more documents.  Else each filling starts
+        A single document that fills the room dominates every other filling.  Else
+        there is the most uneven pair that fills it, and each other filling starts
         with one of the ``wide`` largest fitting lengths and is completed.
         """
         left = self.counts
@@ -99,18 +109,13 @@ class Bins:
         return True
 
 
-def bin_completion(counts: np.ndarray, capacity: int, dives: int = DIVES) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns for ``counts[length]`` documents of each length 1 to ``capacity``, in as few bins as found.
+def incumbent(counts: np.ndarray, capacity: int, bound: int, dives: int = DIVES) -> Bins:
+    """The best of the best-fit completion and of ``dives`` dives, each with another completion at one step.
 
     Works on the histogram, so its cost doesn't grow with the documents: a step
-    closes all bins of one pattern and uses up a length.  The best-fit
-    completion is the first incumbent; further dives take another completion at
-    one step (limited discrepancies) and are cut where the waste so far shows
-    that no fewer bins than the incumbent's can come out.  Ends early when the
-    incumbent meets the bound ceil(total / capacity).
+    closes all bins of one pattern and uses up a length.  Ends early at ``bound``.
     """
     total = int((np.arange(len(counts)) * counts).sum())
-    bound = -(-total // capacity)
     best = Bins(counts, capacity)
     while best.step(0, 1):
         pass
@@ -118,7 +123,7 @@ def bin_completion(counts: np.ndarray, capacity: int, dives: int = DIVES) -> lis
     for wide, choice in ((6, 0), (6, 1), (6, 2)):
         for at in range(len(best.patterns)) if choice else (-1,):
             if best.bins <= bound or tried >= dives:
-                return best.patterns
+                return best
             tried += 1
             other, k = Bins(counts, capacity), 0
             # Fewer bins than the incumbent's leave less waste than this in all.
@@ -127,7 +132,145 @@ def bin_completion(counts: np.ndarray, capacity: int, dives: int = DIVES) -> lis
                 k += 1
             if other.waste <= allowed and not other.counts.any() and other.bins < best.bins:
                 best = other
-    return best.patterns
+    return best
+
+
+def pattern(counts: np.ndarray, filling: list[int]) -> tuple[list[tuple[int, int]], int]:
+    """(lengths with counts, how often ``counts`` has them all)."""
+    need = sorted(Counter(filling).items(), reverse=True)
+    return need, min(int(counts[x]) // n for x, n in need)
+
+
+def use(counts: np.ndarray, need: list[tuple[int, int]], times: int) -> None:
+    for x, n in need:
+        counts[x] -= n * times
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Martello and Toth's L2, which is never less than ceil(total / capacity)."""
+    half = capacity // 2
+    n, s = np.cumsum(counts), np.cumsum(counts * np.arange(len(counts)))
+    k = np.arange(half + 1)
+    alone, middle = n[capacity] - n[capacity - k], n[capacity - k] - n[half]
+    over = s[half] - np.where(k > 0, s[k - 1], 0) - (middle * capacity - (s[capacity - k] - s[half]))
+    return int((alone + middle + np.maximum(0, -(-over // capacity))).max())
+
+
+def dominated(filling: list[int], room: int, free: int) -> bool:
+    """Whether a free length (bit x of ``free``) fits in place of some of the filling's lengths, or of none.
+
+    The lengths it replaces sum to at most its own, so they go wherever it went:
+    the filling needn't be tried (Martello and Toth).  A filling that another one
+    dominates is always dominated by such a single exchange.
+    """
+    slack = room - sum(filling)
+    sums, low = 1, 0  # bit y: some of the lengths under the next limit sum to y
+    for limit, n in [*sorted(Counter(filling).items()), (room, 0)]:
+        reach, wide = sums, 1
+        while wide <= slack:
+            step = min(wide, slack + 1 - wide)
+            reach |= reach << step
+            wide += step
+        if reach & free & (2 << limit) - (2 << low):
+            return True
+        for _ in range(n):
+            sums |= sums << limit
+        low = limit
+    return False
+
+
+def fillings(counts: np.ndarray, room: int, least: int, effort: list[int]):
+    """The undominated fillings of ``room`` that fill ``least`` of it, largest lengths first; ends early with ``effort``."""
+    if room > 0 and counts[room]:
+        yield [room]
+        return
+    lengths = [int(x) + 1 for x in np.flatnonzero(counts[1 : room + 1])[::-1]]
+    left = [int(counts[x]) for x in lengths]
+    rests = [*np.cumsum([x * n for x, n in zip(lengths, left, strict=True)][::-1])[::-1].tolist(), 0]
+    free = sum(1 << x for x in lengths)
+    todo: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, room, ())]
+    while todo and effort[0] > 0:
+        effort[0] -= 1
+        k, rest, chosen = todo.pop()
+        while k < len(lengths) and lengths[k] > rest:
+            k += 1
+        if room - rest + min(rest, rests[k]) < least:
+            continue
+        if k < len(lengths):
+            todo += [(k + 1, rest - n * lengths[k], (*chosen, (k, n)) if n else chosen) for n in range(min(left[k], rest // lengths[k]) + 1)]
+            continue
+        filling = [lengths[j] for j, n in chosen for _ in range(n)]
+        used_up = sum(1 << lengths[j] for j, n in chosen if n == left[j])
+        if not dominated(filling, room, free & ~used_up):
+            yield filling
+
+
+def choices(counts: np.ndarray, capacity: int, bins: int, effort: list[int]):
+    """Patterns around the largest document that can lead to at most ``bins`` more bins: as often as they go, then less often."""
+    own, before = counts.copy(), counts.copy()
+    top = int(np.flatnonzero(own)[-1])
+    own[top] -= 1
+    room, waste = capacity - top, bins * capacity - int((np.arange(len(counts)) * counts).sum())
+    found = fillings(own, room, room - waste, effort)
+    tried = []
+    while some := sorted(islice(found, WIDE), key=lambda f: (-sum(f), len(f))):
+        for f in some:
+            tried.append(pattern(before, [top, *f]))
+            yield tried[-1]
+    for need, times in tried:
+        for t in range(times - 1, 0, -1):
+            yield need, t
+
+
+def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Patterns:
+    """Patterns for ``counts[length]`` documents of each length 1 to ``capacity``, in as few bins as found.
+
+    Works on the histogram, so its cost doesn't grow with the documents: a step
+    closes bins of one pattern.  Beyond the incumbent of best fit and dives,
+    branch and bound goes back over every undominated filling around the
+    largest document and over how often it is used, first with no, then one, two
+    and more departures from the first choice, and cuts where the lower bound of
+    what is left can't beat the incumbent.  The result is optimal when the
+    incumbent meets the lower bound or the tree ends; else the search stops after
+    ``steps`` patterns and fillings and the result is the best one found.
+    """
+    counts = counts.astype(np.int64)
+    bound, effort = lower_bound(counts, capacity), [steps]
+    first = incumbent(counts, capacity, bound)
+    best, fewest = first.patterns, first.bins
+    for limit in count():
+        left, bins, path, whole = counts.copy(), 0, [], True
+        seen: dict[bytes, list[tuple[int, int]]] = {}  # states with (bins, departures left)
+        frames = [[choices(left, capacity, fewest - 1, effort), limit, 0]] if fewest > bound else []
+        while frames and fewest > bound and effort[0] > 0:
+            frame = frames[-1]
+            step = next(frame[0], None)
+            if step is not None and frame[2] and not frame[1]:
+                step, whole = None, False
+            if step is None:
+                frames.pop()
+                if path:
+                    need, times = path.pop()
+                    use(left, need, -times)
+                    bins -= times
+                continue
+            effort[0] -= 1
+            spare, frame[2] = frame[1] - bool(frame[2]), frame[2] + 1
+            use(left, *step)
+            bins += step[1]
+            path.append(step)
+            if not left.any() and bins < fewest:
+                best, fewest = list(path), bins
+            state = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
+            if left.any() and bins + lower_bound(left, capacity) < fewest and not any(b <= bins and s >= spare for b, s in seen.get(state, ())):
+                seen.setdefault(state, []).append((bins, spare))
+                frames.append([choices(left, capacity, fewest - 1 - bins, effort), spare, 0])
+            else:
+                path.pop()
+                use(left, step[0], -step[1])
+                bins -= step[1]
+        if fewest <= bound or effort[0] <= 0 or whole:
+            return best
 
 
 def _pieces(path: str, size: int, end: int, with_ids: bool):

@@ -300,6 +300,35 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert used == collections.Counter(sizes) and sum(t for _, t in patterns) == best(sizes, [])
 
 
+def test_bin_completion_backtracks():
+    sizes = [2, 10, 14, 20, 22, 22, 23, 24, 25, 26, 26]
+    patterns = packing.bin_completion(np.bincount(sizes, minlength=57), 56)
+    used = collections.Counter()
+    for need, times in patterns:
+        assert sum(n * c for n, c in need) <= 56
+        for n, c in need:
+            used[n] += c * times
+    assert used == collections.Counter(sizes) and sum(t for _, t in patterns) == 4
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_fillings_are_the_undominated_ones(seed):
+    rng = np.random.default_rng(seed)
+    room, sizes = 20, collections.Counter(int(x) for x in rng.integers(2, 15, 9))
+    subsets = {()}
+    for x in sizes.elements():
+        subsets |= {tuple(sorted((*s, x))) for s in subsets}
+    fits = [s for s in subsets if sum(s) <= room]
+
+    def packs(small, bins):
+        return not small or any(small[-1] <= b and packs(small[:-1], [*bins[:k], b - small[-1], *bins[k + 1 :]]) for k, b in enumerate(bins))
+
+    want = {s for s in fits if not any(s != t and packs(list(s), list(t)) for t in fits)}
+    counts = np.bincount(list(sizes.elements()), minlength=room + 1)
+    got = [tuple(sorted(f)) for f in packing.fillings(counts, room, 0, [10**6])]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_audio(docs, empty):
     got = audio.audio_table(audio.audio_features(audio.encode_audio(docs))).collect()
     assert len(got) == len(ROWS)
