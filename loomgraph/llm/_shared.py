@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.storage import ship
 
-__all__ = ["delete", "fresh", "materialise", "new_path", "same_text", "shared_folder", "ship"]
+__all__ = ["delete", "fresh", "materialise", "new_path", "same_text", "scrap", "shared_folder", "ship"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,7 +49,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def scrap(spark: SparkSession, *written: DataFrame) -> None:
+    """Delete tables of ``materialise`` whose last reader has run.
+
+    The driver's collection lets Spark's cleaner remove the shuffle files of
+    jobs that are over too; nothing that is still referred to goes.
+    """
+    for df in written:
+        delete(spark, df._written_to)
+    spark.sparkContext._jvm.System.gc()
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._shared import materialise, ship
+from loomgraph.llm._shared import materialise, scrap, ship
 from loomgraph.llm._words import U64, Words, buffers, chunks, grams, mix
 from loomgraph.llm.components import connected_components
 
 #: Counters of the frequency sketch that fixes the first order: 2**20, whatever the input.
 SKETCH_BITS = 20
 SLOTS = 64
+#: Rows of one token that a task pairs with each other at once.
+CELL = 4096
 
 
 def shingle_sets(column, n: int):
@@ -48,15 +52,26 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _measure(n: int):
-    """Per document its key, set size and set id; per task the document frequencies, by sketch slot."""
+    """Per document its key, set size and set id."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             sizes, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            held, rows = [], 0
             for k, s in shingle_sets(batch.column("text"), n):
                 sizes[k], ids[k] = len(s), set_id(s)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(sizes), pa.array(ids)], names=["doc_id", "tk", "n", "sid"])
+
+    return run
+
+
+def _frequencies(n: int):
+    """Per task the document frequencies by sketch slot, deflated."""
+
+    def run(batches):
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        for batch in batches:
+            held, rows = [], 0
+            for _, s in shingle_sets(batch.column("text"), n):
                 held.append((s >> U64(64 - SKETCH_BITS)).astype(np.int64))
                 rows += len(s)
                 if rows > 1 << 20:
@@ -64,14 +79,9 @@ def _measure(n: int):
                     held, rows = [], 0
             if rows:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tk"), pa.array(sizes), pa.array(ids), pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())],
-                names=["doc_id", "tk", "n", "sid", "slot", "counts"],
-            )
         if counts.any():
-            blobs = [x.astype(np.uint32).tobytes() for x in np.split(counts, SLOTS)]
-            none = pa.nulls(SLOTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLOTS), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "tk", "n", "sid", "slot", "counts"])
+            blobs = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(counts, SLOTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array(blobs, pa.binary())], names=["slot", "counts"])
 
     return run
 
@@ -80,12 +90,22 @@ def _sum_slots(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for slot, blob in zip(batch.column("slot").to_pylist(), batch.column("counts"), strict=True):
-            part = np.frombuffer(blob.as_buffer(), np.uint32)
+            part = np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint32)
             total[slot] = total.get(slot, 0) + part.astype(np.int64)
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slot", "counts"])
 
 
+def token_levels(keyed: DataFrame, n: int) -> np.ndarray:
+    """The logarithm of the document frequency of each sketch slot, over all of ``keyed`` (text)."""
+    parts = keyed.select("text").mapInArrow(_frequencies(n), "slot int, counts binary").repartition(F.col("slot"))
+    counts = np.ones(1 << SKETCH_BITS, dtype=np.int64)
+    width = len(counts) // SLOTS
+    for slot, blob in parts.mapInArrow(_sum_slots, "slot int, counts binary").collect():  # 2**20 counters
+        counts[slot * width : (slot + 1) * width] += np.frombuffer(blob, np.int64)
+    return np.minimum(8 * np.log2(counts), 255).astype(np.uint8)
+
+
 def _prefixes(n: int, percent: int, level):
     """Rows (token, sid, n, r) of the prefix of each set, under the rarest-first order.
 
@@ -169,52 +189,133 @@ def _buckets(percent: int):
 
 
 def _apart(percent: int):
-    """Rows sorted by token: every pair of a bucket that the caps admit and whose labels differ, once a task."""
-
-    def pairs_of(n, r, sid, label):
-        order = np.lexsort((sid, n))
-        n, r, sid, label = n[order], r[order], sid[order], label[order]
-        cap, m = _caps(n, r, percent), len(n)
-        for lo in range(1, m, 512):
-            hi = min(m, lo + 512)
-            for at in range(0, hi, 1 << 14):
-                to = min(hi, at + (1 << 14))
-                ok = (n[None, at:to] <= cap[lo:hi, None]) & (cap[None, at:to] >= n[lo:hi, None]) & (label[None, at:to] != label[lo:hi, None])
-                ok &= np.arange(at, to)[None, :] < np.arange(lo, hi)[:, None]
-                x, y = np.nonzero(ok)
-                yield np.stack([np.minimum(sid[at + y], sid[lo + x]), np.maximum(sid[at + y], sid[lo + x])], 1)
+    """Rows sorted by cell (token, i, j): every pair of a cell that the caps admit and whose labels differ.
 
-    def run(batches):
-        held, token = [], None
-        done = np.zeros((0, 2), np.int64)
+    A cell holds the rows of parts i and j of one token's bucket and pairs those
+    of i with those of j; pairs leave in batches as they are found.
+    """
 
-        def bucket():
-            n, r, sid, label = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(n) > 1 and (label != label[0]).any():
-                yield from pairs_of(n, r, sid, label)
+    def pairs_of(x, y, same: bool):
+        (n, r, sid, label), (n2, r2, sid2, label2) = x, y
+        cap, cap2 = _caps(n, r, percent), _caps(n2, r2, percent)
+        for lo in range(0, len(n), 512):
+            hi = min(len(n), lo + 512)
+            for at in range(0, hi if same else len(n2), 1 << 12):
+                to = min(hi if same else len(n2), at + (1 << 12))
+                ok = (n2[None, at:to] <= cap[lo:hi, None]) & (cap2[None, at:to] >= n[lo:hi, None]) & (label2[None, at:to] != label[lo:hi, None])
+                if same:
+                    ok &= np.arange(at, to)[None, :] < np.arange(lo, hi)[:, None]
+                p, q = np.nonzero(ok)
+                yield np.stack([np.minimum(sid2[at + q], sid[lo + p]), np.maximum(sid2[at + q], sid[lo + p])], 1)
+
+    def cell(held, i, j):
+        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+        own, rows = rows[-1], rows[:-1]
+        if len(own) < 2 or (rows[3] == rows[3][0]).all():
+            return
+        first = own == i
+        yield from pairs_of([c[first] for c in rows], [c[own == j] for c in rows], i == j)
+
+    def batch_of(found):
+        p = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
 
-        def batch_of(p):
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
+    def run(batches):
+        held, key, found, waiting = [], None, [], 0
+
+        def flush(last: bool):
+            nonlocal held, waiting
+            for p in cell(held, key[1], key[2]) if held else ():
+                found.append(p)
+                waiting += len(p)
+                if waiting > 1 << 18:
+                    yield batch_of(found)
+                    found.clear()
+                    waiting = 0
+            held = []
+            if last and waiting:
+                yield batch_of(found)
 
-        found: list = []
         for batch in batches:
-            t = batch.column("token").to_numpy()
-            rest = [batch.column(k).to_numpy() for k in ("n", "r", "sid", "label")]
-            edges = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
+            t, i, j = (batch.column(k).to_numpy() for k in ("token", "i", "j"))
+            rest = [batch.column(k).to_numpy() for k in ("n", "r", "sid", "label", "own")]
+            edges = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if t[a] != token:
-                    if held:
-                        found += bucket()
-                    held, token = [], t[a]
+                if (t[a], i[a], j[a]) != key:
+                    yield from flush(False)
+                    key = (t[a], i[a], j[a])
                 held.append([x[a:b] for x in rest])
-            if sum(map(len, found)) > 1 << 18:
-                done = np.unique(np.concatenate(found), axis=0)
-                yield batch_of(done)
-                found = []
-        if held:
-            found += bucket()
-        if found and len(done := np.unique(np.concatenate(found), axis=0)):
-            yield batch_of(done)
+        yield from flush(True)
+
+    return run
+
+
+def apart(named: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
+    """(a, b): the admissible pairs of ``named`` (token, sid, n, r, label) rows of one token whose labels differ.
+
+    A token met by more than ``cell`` rows is cut into parts by a hash of the
+    set, and each pair of parts is a cell of its own, so no task holds a whole
+    hot bucket.
+    """
+    tokens = named.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    rows = named.join(materialise(tokens.select("t", "c"), "mixed-tokens"), F.col("token") == F.col("t"))
+    parts = F.ceil(F.col("c") / cell).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("token", "sid", "n", "r", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sorted_rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return sorted_rows.mapInArrow(_apart(percent), "a long, b long").distinct()
+
+
+def _signatures(n: int, percent: int, orders: int):
+    """(sid, marks) of each set: its size and its prefixes under the hashed orders, as sorted 32-bit ranks."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            sids, blobs = [], []
+            for _, s in shingle_sets(batch.column("text"), n):
+                if not len(s) or (own := set_id(s)) in seen:
+                    continue
+                seen.add(own)
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                k = prefix_length(len(s), percent)
+                ranks = [np.sort(x if k >= len(x) else np.partition(x, k - 1)[:k]) >> U64(32) for x in (mix(s, order) for order in range(1, orders))]
+                sids.append(own)
+                blobs.append(np.concatenate([[len(s)], *ranks]).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(blobs, pa.binary())], names=["sid", "marks"])
+
+    return run
+
+
+def may_link(n: int, m: int, p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether sets of sizes n and m can link, going by their sorted prefixes p and q under one order.
+
+    They must share a token.  Below the end of the shorter prefix both are
+    complete, so the tokens shared there and the rest of the smaller remainder
+    bound the overlap.  Equal tokens have equal ranks: two that share a rank only
+    let more pairs pass.
+    """
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    same = q[at] == p
+    if not same.any():
+        return False
+    end = min(p[-1], q[-1])
+    i, j = int(np.searchsorted(p, end)), int(np.searchsorted(q, end))
+    most = int(same[:i].sum()) + min(n - i, m - j)
+    return 100 * most >= percent * (n + m - most)
+
+
+def _meet(percent: int, orders: int):
+    """Of pairs with the marks of both sets, those that may link under every hashed order."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for row, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                s, t = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                keep[row] = all(may_link(int(s[0]), int(t[0]), p, q, percent) for p, q in zip(np.split(s[1:], orders - 1), np.split(t[1:], orders - 1), strict=True))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -233,28 +334,29 @@ def _sets(n: int):
     return run
 
 
-def _verify(percent: int, orders: int):
-    """Links among pairs of sets: prefixes must meet under each further order, then the sizes decide."""
+def _verify(percent: int):
+    """Of pairs with both sets, those whose sizes make a link."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], []]
-            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+            keep = np.zeros(batch.num_rows, bool)
+            for row, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                for order in range(1, orders):
-                    p, q = (np.partition(m, k - 1)[:k] if (k := prefix_length(len(m), percent)) < len(m) else m for m in (mix(s, order), mix(t, order)))
-                    if not len(np.intersect1d(p, q, assume_unique=True)):
-                        break
-                else:
-                    both = len(s) + len(t) - len(np.union1d(s, t))
-                    if 100 * both >= percent * (len(s) + len(t) - both):
-                        out[0].append(a)
-                        out[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+                both = int((t[at] == s).sum())
+                keep[row] = 100 * both >= percent * (len(s) + len(t) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b) with ``column`` of both sets, as x and y; ``table`` is a written one, dealt once."""
+    x = table.select(F.col("sid").alias("a"), F.col(column).alias("x"))
+    y = table.select(F.col("sid").alias("b"), F.col(column).alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, stays) per row of ``docs`` (doc_id, text).
 
@@ -265,60 +367,74 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, orders: i
     Equal sets are one representative.  The first token order is rarest-first,
     by document frequencies of all documents summed in a fixed-size sketch: a
     pair must share a token of both prefixes, early enough in both for the
-    needed overlap.  A first round links each set with one admissible partner a
-    bucket; after contraction a second round tries every admissible pair that
-    is still apart.  Each candidate must also share prefix tokens under the
-    other (hashed) orders before its sets are compared exactly.  Pairs within
-    one component are never listed.
+    needed overlap.  The other orders are hashes.  Candidates of the first order
+    are met with the stored prefixes of all the others (``may_link``), and only
+    pairs that pass every one of them have their sets fetched and compared.
+
+    A first round takes one admissible partner a row of a bucket; after
+    contraction a second round takes every admissible pair that is still apart.
+    Pairs within one component are never listed.
 
     Null and blank texts have no shingles and link with nothing, their
     component_id is their own doc_id; a null doc_id counts as larger than any
     other and is ignored by the minimum (null if a component has no other).
     ``stays`` marks the component's smallest (doc_id, text_hash), the latter
     being xxhash64 of the text, and all texts without shingles.
-    Repeated rows come back as often as they came.  An empty table gives none.
+    Repeated rows come back as often as they came.  Very long texts are read
+    whole, one at a time.  An empty table gives none.
     Columns other than doc_id and text are ignored.
     """
+    if orders < 2:
+        raise ValueError("orders must be at least 2")
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("tk"))
-    measured = materialise(keyed.mapInArrow(_measure(n), "doc_id long, tk long, n long, sid long, slot int, counts binary"), "shingle-sets")
-    rows = measured.where("slot is null").drop("slot", "counts")
-    parts = measured.where("slot is not null").select("slot", "counts").repartition(F.col("slot"))
-    counts = np.ones(1 << SKETCH_BITS, dtype=np.int64)
-    width = len(counts) // SLOTS
-    for slot, blob in parts.mapInArrow(_sum_slots, "slot int, counts binary").collect():  # 2**20 counters
-        counts[slot * width : (slot + 1) * width] += np.frombuffer(blob, np.int64)
-    level = spark.sparkContext.broadcast(np.minimum(8 * np.log2(counts), 255).astype(np.uint8))
+    level = spark.sparkContext.broadcast(token_levels(keyed, n))
+    rows = materialise(keyed.mapInArrow(_measure(n), "doc_id long, tk long, n long, sid long"), "shingle-sets")
 
     prefix = keyed.select("text").mapInArrow(_prefixes(n, percent, level), "token long, sid long, n int, r int")
     sorted_rows = prefix.repartition(F.col("token")).sortWithinPartitions("token", "n", "sid")
     buckets = materialise(sorted_rows.mapInArrow(_buckets(percent), "token long, sid long, n long, r long, other long"), "buckets")
-    first = buckets.where("sid <> other").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+    scrap(spark)
+    first = materialise(buckets.where("sid <> other").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct(), "first-pairs")
 
-    # The sets of all rows in buckets, read once from the first document of each.
+    # The prefixes under the other orders, of sets in buckets, one row a set.
     wanted = buckets.select("sid").distinct()
-    chosen = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tk")).alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.tk").alias("t"))
-    texts = keyed.join(chosen.distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")), "left_semi").select("text")
-    sets = materialise(texts.mapInArrow(_sets(n), "sid long, tokens binary"), "sets").dropDuplicates(["sid"])
+    marks = keyed.select("text").mapInArrow(_signatures(n, percent, orders), "sid long, marks binary")
+    marks = materialise(marks.join(wanted.hint("shuffle_hash"), "sid", "left_semi").dropDuplicates(["sid"]), "prefixes")
+    scrap(spark)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"sid": "b", "tokens": "y"}), "b")
-        return materialise(both.select("a", "b", "x", "y").mapInArrow(_verify(percent, orders), "a long, b long"), "links")
+        met = materialise(_with_both(pairs, marks, "marks").mapInArrow(_meet(percent, orders), "a long, b long"), "candidates")
+        # The sets of candidates alone, read from the first document of each.
+        ends = met.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        chosen = rows.join(ends, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tk")).alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.tk").alias("t"))
+        texts = keyed.join(chosen.distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")), "left_semi").select("text")
+        sets = materialise(texts.mapInArrow(_sets(n), "sid long, tokens binary").dropDuplicates(["sid"]), "sets")
+        scrap(spark)
+        links = materialise(_with_both(met, sets, "tokens").mapInArrow(_verify(percent), "a long, b long"), "links")
+        scrap(spark, met, sets)
+        return links
 
     links = links_of(first)
     label = connected_components(links)
     named = buckets.select("token", "sid", "n", "r").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
-    mixed = named.repartition(F.col("token")).sortWithinPartitions("token", "sid")
-    apart = mixed.mapInArrow(_apart(percent), "a long, b long").distinct()
-    links = links.union(links_of(apart.join(first, ["a", "b"], "left_anti")))
-    label = connected_components(links)
+    named = materialise(named.drop("root"), "labelled-buckets")
+    scrap(spark, buckets)
+    second = materialise(apart(named, percent).join(first, ["a", "b"], "left_anti"), "second-pairs")
+    more = links_of(second)
+    label = connected_components(links.union(more))
+    scrap(spark, first, second, named, marks, links, more)
 
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk")
-    smallest = rows.where("n > 0").groupBy("sid").agg(F.min(order).alias("least"))
-    named = smallest.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    classes = materialise(named.join(named.groupBy("root").agg(F.min("least").alias("first")), "root").select("sid", "first"), "classes")
-    joined = rows.join(classes.withColumnRenamed("sid", "s"), (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left")
+    smallest = materialise(rows.where("n > 0").groupBy("sid").agg(F.min(order).alias("least")), "smallest")
+    linked = smallest.join(label, F.col("sid") == F.col("node")).select("sid", "root", "least")
+    # Written tables on both sides let Spark split a root that a third of all sets belong to.
+    roots = materialise(linked.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("first")), "roots")
+    firsts = materialise(label.join(roots, F.col("root") == F.col("r")).select("node", "first"), "firsts")
+    classes = materialise(smallest.join(firsts, F.col("sid") == F.col("node"), "left").select(F.col("sid").alias("s"), F.coalesce("first", "least").alias("first")), "classes")
+    scrap(spark, smallest, roots, firsts)
+    joined = rows.join(classes, (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left")
     some = F.col("n") > 0
     return joined.select(
         "doc_id",
