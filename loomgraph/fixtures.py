@@ -78,12 +78,33 @@ def permissions(spark: SparkSession, d: str) -> DataFrame:
                     case when p_partkey % 3 = 0 then ':/' when p_partkey % 3 = 1 then concat(':t', p_partkey % 10) else '' end),
              case when p_partkey % 4 = 0 then 'net:github.com' when p_partkey % 4 = 1 then concat('fs:write:/data/', p_partkey % 5) end,
              case when p_partkey % 5 = 0 then concat('fs:delete:/data/', p_partkey % 5) when p_partkey % 5 = 1 then 'exec:execute' end
+             , case when p_partkey % 10 = 3 then concat('net:write:h', p_partkey div 50) when p_partkey % 10 = 7 then concat('net:execute:h', p_partkey div 50)
+                    when p_partkey % 10 = 9 then concat('db:read:h', p_partkey div 50) when p_partkey % 10 = 1 then concat('db:delete:h', p_partkey div 50) end
            ), x -> x is not null)) permission""",
     )
 
 
+#: Code of seven languages by rules on part keys, in SQL that both engines read.
+CODE = """case p_partkey % 7
+    when 0 then concat('import os', chr(10), 'from a.b import c', chr(10), repeat(concat('def f(a, b):', chr(10), '    return a', chr(10)), cast(p_partkey % 3 as int)),
+        case when p_partkey % 2 = 0 then concat('def main(x):', chr(10), '    ', repeat(chr(34), 3), 'doc', repeat(chr(34), 3), chr(10), '    y = 1', chr(10)) else concat('z = 2', chr(10)) end)
+    when 1 then concat(case when p_partkey % 2 = 0 then concat('set -e', chr(10)) else '' end, repeat(concat('echo $A b', chr(10)), cast(p_partkey % 4 as int)), 'run() {', chr(10), '  x=1', chr(10), '}', chr(10))
+    when 2 then concat('const fs = require("fs");', chr(10), repeat(concat('console.log(1);', chr(10)), cast(p_partkey % 4 as int)), 'const go = async (a, b) => {', chr(10), '  return a;', chr(10), '}', chr(10))
+    when 3 then concat('import x from "m"', chr(10), 'export function handler(a: any, b: number): void {', chr(10), '  let q: any = 1;', chr(10), '}', chr(10))
+    when 4 then concat('import (', chr(10), '  "os"', chr(10), '  "fmt"', chr(10), ')', chr(10), 'func (s *S) Run(a int) error {', chr(10), '  v, err := f()', chr(10), case when p_partkey % 2 = 0 then concat('  if err != nil { return err }', chr(10)) else '' end, '}', chr(10))
+    when 5 then concat('use a::b;', chr(10), 'pub async fn execute(a: u8) -> u8 {', chr(10), '  let mut n = 1;', chr(10), repeat(concat('  unsafe { n += 1; }', chr(10)), cast(p_partkey % 3 as int)), '}', chr(10))
+    else concat('import a.B;', chr(10), 'class A {', chr(10), '  A(int x) { }', chr(10), '  public static int run(int a, String b) {', chr(10), '    int c = 1;', chr(10), '    try { f(); } catch (E e) { }', chr(10), '    return c;', chr(10), '  }', chr(10), '}', chr(10)) end"""
+LANGUAGES = "case p_partkey % 7 when 0 then 'python' when 1 then 'bash' when 2 then 'javascript' when 3 then 'typescript' when 4 then 'go' when 5 then 'rust' else 'java' end"
+
+
+def code(spark: SparkSession, d: str) -> DataFrame:
+    """(id, language, code, line_start)."""
+    return table(spark, d, "part").selectExpr("p_partkey id", f"{LANGUAGES} language", f"{CODE} code", "cast(p_partkey % 5 + 1 as int) line_start")
+
+
 #: The same tables as DuckDB common table expressions.
 CTE = {
+    "code": f"code AS (SELECT p_partkey AS id, {LANGUAGES} AS language, {CODE} AS code, (p_partkey % 5 + 1)::INT AS line_start FROM part)",
     "skills": """skills AS (SELECT vec_id AS id, 'ns' || label || ':s' || vec_id AS uid, label AS category, embedding AS vector, vec_id % 17 = 0 AS is_deprecated,
         1.0::DOUBLE - (vec_id % 7) * 0.1::DOUBLE AS execution_success_rate, 'skill ' || vec_id || ' of category ' || label || ' does step ' || (vec_id % 9) AS description FROM embeddings)""",
     "edges": """n AS (SELECT count(*) AS n FROM embeddings), edges AS (
@@ -104,7 +125,8 @@ CTE = {
           || (['read', 'write', 'delete', 'execute', 'list', 'admin'])[p_partkey % 6 + 1]
           || CASE p_partkey % 3 WHEN 0 THEN ':/' WHEN 1 THEN ':t' || (p_partkey % 10) ELSE '' END AS permission FROM part
         UNION ALL SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'net:github.com' ELSE 'fs:write:/data/' || (p_partkey % 5) END FROM part WHERE p_partkey % 4 < 2
-        UNION ALL SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'fs:delete:/data/' || (p_partkey % 5) ELSE 'exec:execute' END FROM part WHERE p_partkey % 5 < 2),
+        UNION ALL SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'fs:delete:/data/' || (p_partkey % 5) ELSE 'exec:execute' END FROM part WHERE p_partkey % 5 < 2
+        UNION ALL SELECT p_partkey, CASE p_partkey % 10 WHEN 3 THEN 'net:write:h' WHEN 7 THEN 'net:execute:h' WHEN 9 THEN 'db:read:h' ELSE 'db:delete:h' END || (p_partkey // 50) FROM part WHERE p_partkey % 10 IN (1, 3, 7, 9)),
         permissions AS (SELECT id, permission FROM raw)""",
 }
 

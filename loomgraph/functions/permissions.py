@@ -128,23 +128,23 @@ def intercept(actions: DataFrame, declared: DataFrame, granted: DataFrame, stric
     ``declared`` (skill_id, category, action, target) and ``granted``
     (session_id, category, action, target).  An action must match a declared
     permission of its skill, and every declared permission must lie within what
-    its session was granted; a target ``*`` or a prefix ending in ``*`` covers
-    more.  Where a skill declares nothing, or a session was granted nothing, that
+    its session was granted; a target ``*`` covers all, and in ``fs`` one that ends in
+    ``*`` covers what begins with the rest.  Where a skill declares nothing, or a session was granted nothing, that
     check passes, unless ``strict``.
     """
 
-    def covers(wide: Column, narrow: Column) -> Column:
-        prefix = F.rtrim(wide, F.lit("*"))
-        return F.coalesce((wide == "*") | (wide == narrow) | (wide.endswith("*") & narrow.startswith(prefix)), F.lit(False))
+    def covers(category: str, wide: Column, narrow: Column) -> Column:
+        within = (F.col(category) == "fs") & wide.endswith("*") & narrow.startswith(F.rtrim(wide, F.lit("*")))
+        return F.coalesce((wide == "*") | (wide == narrow) | within, F.lit(False))
 
     d = declared.select(F.col("skill_id").alias("ds"), F.col("category").alias("dc"), F.col("action").alias("da"), F.coalesce("target", F.lit("*")).alias("dt"))
     g = granted.select(F.col("session_id").alias("gs"), F.col("category").alias("gc"), F.col("action").alias("ga"), F.coalesce("target", F.lit("*")).alias("gt"))
     with_d = actions.join(d, F.col("skill_id") == F.col("ds"), "left")
-    matched = with_d.groupBy("action_id").agg(F.count("ds").alias("n_declared"), F.count_if((F.col("resource") == F.col("dc")) & (F.col("action") == F.col("da")) & covers(F.col("dt"), F.coalesce("target", F.lit("")))).alias("n_matched"))
+    matched = with_d.groupBy("action_id").agg(F.count("ds").alias("n_declared"), F.count_if((F.col("resource") == F.col("dc")) & (F.col("action") == F.col("da")) & covers("dc", F.col("dt"), F.coalesce("target", F.lit("")))).alias("n_matched"))
     has_grant = g.select(F.col("gs").alias("hs")).distinct()
     exceed = (
         with_d.where("ds is not null").join(g, (F.col("session_id") == F.col("gs")) & (F.col("dc") == F.col("gc")) & (F.col("da") == F.col("ga")), "left")
-        .groupBy("action_id", "session_id", "dc", "da", "dt").agg(F.count_if(covers(F.col("gt"), F.col("dt"))).alias("n_cover"))
+        .groupBy("action_id", "session_id", "dc", "da", "dt").agg(F.count_if(covers("dc", F.col("gt"), F.col("dt"))).alias("n_cover"))
         .join(has_grant, F.col("session_id") == F.col("hs"), "left")
         .where(F.col("n_cover") == 0).where(F.lit(strict) | F.col("hs").isNotNull())
         .groupBy("action_id").agg(F.count("*").alias("n_exceed"))
@@ -153,3 +153,11 @@ def intercept(actions: DataFrame, declared: DataFrame, granted: DataFrame, stric
     undeclared = (F.col("n_matched") == 0) & (F.lit(strict) | (F.col("n_declared") > 0))
     reason = F.when(undeclared, "not declared").when(F.coalesce("n_exceed", F.lit(0)) > 0, "exceeds authorization").otherwise("")
     return out.select("action_id", (reason == "").alias("allowed"), reason.alias("reason"))
+
+
+def suggestion(code: Column, skill: Column, resource: Column, action: Column) -> Column:
+    """What to do about a denied action, by its error code."""
+    review = F.lit("Review skill permissions and session authorization")
+    more = F.concat(F.lit("Request additional permission: "), resource, F.lit(":"), action)
+    load = F.concat(F.lit("Request skill '"), skill, F.lit("' to be loaded into context"))
+    return F.when(code == "PERMISSION_DENIED", F.coalesce(more, review)).when(code == "SKILL_NOT_IN_CONTEXT", load).otherwise(review)

@@ -40,17 +40,29 @@ def enrich(text: str | Column, environment: str | Column) -> Column:
 
 
 def intents(text: str | Column) -> Column:
-    """The categories with a pattern in the text, in fixed order."""
+    """The categories with a pattern in the lower-cased text, in fixed order."""
+    low = F.lower(col(text))
 
     def any_of(patterns: list[str]) -> Column:
         found = F.lit(False)
         for p in patterns:
-            found = found | col(text).contains(p)
+            found = found | low.contains(p)
         return found
 
     return F.array_compact(F.array(*(F.when(any_of(p), F.lit(k)) for k, p in INTENTS.items())))
 
 
+def preprocess(text: str | Column, environment: str | Column, previous: str | Column | None = None) -> Column:
+    """struct(original, cleaned, enriched, intent_keywords, previous_skills): the whole query pre-processing.
+
+    Intents are those of the enriched text; previous skills are carried along.
+    """
+    cleaned = clean(text)
+    enriched = enrich(cleaned, environment)
+    before = F.coalesce(col(previous), F.array().cast("array<string>")) if previous is not None else F.array().cast("array<string>")
+    return F.struct(col(text).alias("original"), cleaned.alias("cleaned"), enriched.alias("enriched"), intents(enriched).alias("intent_keywords"), before.alias("previous_skills"))
+
+
 def word_tokens(text: str | Column) -> Column:
     """floor(words * 1.3); 0 for null and blank texts."""
     t = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " "))
@@ -114,9 +126,8 @@ def infer_uid(path: str | Column) -> Column:
     return F.concat(F.try_element_at(parts, F.lit(-3)), F.lit(":"), F.try_element_at(parts, F.lit(-2)))
 
 
-#: Other names of languages, and the languages with extractors.
+#: Other names of languages.
 ALIASES = {"py": "python", "sh": "bash", "shell": "bash", "js": "javascript", "ts": "typescript", "golang": "go", "rs": "rust", "c++": "cpp", "cplusplus": "cpp"}
-LANGUAGES = ["python", "bash", "javascript", "typescript", "go", "rust", "java"]
 
 
 def language(name: str | Column) -> Column:

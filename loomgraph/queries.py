@@ -517,10 +517,19 @@ def enrich_query(spark, d):
 
 
 def _intent_sql() -> str:
-    parts = [f"CASE WHEN {' OR '.join(f'contains(text, {p!r})' for p in patterns)} THEN {name!r} END" for name, patterns in tx.INTENTS.items()]
+    parts = [f"CASE WHEN {' OR '.join(f'contains(lower(text), {p!r})' for p in patterns)} THEN {name!r} END" for name, patterns in tx.INTENTS.items()]
     return f"SELECT doc_id, coalesce(array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ','), '') AS intents FROM documents"
 
 
+@query("query_preprocess", rf"""WITH c AS (SELECT conv_id, turn, text, {CLEAN} AS cleaned FROM conversations), e AS (SELECT *, cleaned || CASE WHEN conv_id % 2 = 0 THEN ' context: git repository' ELSE '' END AS enriched FROM c)
+    SELECT conv_id, turn, text AS original, cleaned, enriched, (CASE WHEN regexp_matches(enriched, 'git|commit|push|pull|branch|merge|clone|checkout|rebase') THEN 'git ' ELSE '' END) || (CASE WHEN regexp_matches(enriched, 'test|pytest|unittest|coverage|assert|mock') THEN 'test' ELSE '' END) AS intents FROM e""")
+def query_preprocess(spark, d):
+    env = F.create_map(F.lit("git_repo"), F.expr("conv_id % 2 = 0"))
+    q = table(spark, d, "conversations").withColumn("q", tx.preprocess("text", env))
+    some = lambda k, shown: F.when(F.array_contains("q.intent_keywords", k), shown).otherwise("")
+    return q.select("conv_id", "turn", "q.original", "q.cleaned", "q.enriched", F.concat(some("git", "git "), some("test", "test")).alias("intents"))
+
+
 @query("intent_keywords", _intent_sql())
 def intent_keywords(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(tx.intents("text"), ",").alias("intents"))
@@ -562,25 +571,32 @@ def permission_summary(spark, d):
     return perm.summary(perm.parse(fx.permissions(spark, d)))
 
 
-@query("permission_conflicts", f"""{PARSED}, s AS (SELECT * FROM r WHERE id <= 200) SELECT a.id AS id_a, b.id AS id_b, CASE WHEN (a.action, b.action) IN (('read', 'delete'), ('delete', 'read')) THEN 'read_delete_conflict' ELSE 'write_execute_conflict' END AS type, a.permission AS permission_a, b.permission AS permission_b
+@query("permission_conflicts", f"""{PARSED}, s AS (SELECT * FROM r) SELECT a.id AS id_a, b.id AS id_b, CASE WHEN (a.action, b.action) IN (('read', 'delete'), ('delete', 'read')) THEN 'read_delete_conflict' ELSE 'write_execute_conflict' END AS type, a.permission AS permission_a, b.permission AS permission_b
     FROM s a JOIN s b ON a.id < b.id AND a.category = b.category AND a.target IS NOT DISTINCT FROM b.target WHERE (a.action, b.action) IN (('read', 'delete'), ('delete', 'read'), ('write', 'execute'), ('execute', 'write'))""")
 def permission_conflicts(spark, d):
     p = perm.parse(fx.permissions(spark, d))
     return perm.conflicts(p, p)
 
 
-@query("action_parse", "SELECT event_id, 'git:' || event_type AS skill, CASE event_type WHEN 'view' THEN 'fs' WHEN 'click' THEN 'net' ELSE 'unknown' END AS resource, 'unknown' AS action FROM events")
+@query("action_parse", """SELECT event_id, CASE event_type WHEN 'view' THEN 'git:fetch:log' WHEN 'click' THEN 'web:click' WHEN 'purchase' THEN 'Run:order' WHEN 'signup' THEN 'user:add' ELSE 'a:b_c' END AS skill,
+    CASE event_type WHEN 'view' THEN 'fs' WHEN 'click' THEN 'net' WHEN 'error' THEN 'db' ELSE 'unknown' END AS resource, CASE event_type WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'run' WHEN 'signup' THEN 'write' ELSE 'unknown' END AS action FROM events""")
 def action_parse(spark, d):
-    keys = F.expr("case event_type when 'view' then array('path') when 'click' then array('url', 'x') else array('x') end")
-    tool = F.concat(F.lit("git_"), F.col("event_type"))
-    return table(spark, d, "events").select("event_id", perm.tool_skill(tool).alias("skill"), perm.resource_type(keys).alias("resource"), perm.action_type(F.col("event_type")).alias("action"))
+    keys = F.expr("case event_type when 'view' then array('path') when 'click' then array('url', 'x') when 'error' then array('query') else array('x') end")
+    tool = F.expr("case event_type when 'view' then 'git_fetch_log' when 'click' then 'web_click' when 'purchase' then 'Run_order' when 'signup' then 'user_add' else 'a:b_c' end")
+    return table(spark, d, "events").select("event_id", perm.tool_skill(tool).alias("skill"), perm.resource_type(keys).alias("resource"), perm.action_type(tool).alias("action"))
+
 
+@query("permission_suggestion", """SELECT event_id, CASE event_type WHEN 'error' THEN 'Request additional permission: fs:' || event_type WHEN 'click' THEN 'Request skill ' || chr(39) || 's' || user_id || chr(39) || ' to be loaded into context' ELSE 'Review skill permissions and session authorization' END AS suggestion FROM events""")
+def permission_suggestion(spark, d):
+    code = F.expr("case event_type when 'error' then 'PERMISSION_DENIED' when 'click' then 'SKILL_NOT_IN_CONTEXT' when 'view' then 'PERMISSION_DENIED' else 'OTHER' end")
+    resource = F.expr("case when event_type = 'error' then 'fs' end")
+    return table(spark, d, "events").select("event_id", perm.suggestion(code, F.expr("concat('s', user_id)"), resource, F.col("event_type")).alias("suggestion"))
 
-@query("redact_keys", """SELECT event_id, '[FILTERED]' AS user_token, '[FILTERED]' AS password, event_type AS max_tokens FROM events""")
+
+@query("redact_keys", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[FILTERED]' WHEN 1 THEN '[FILTERED]' ELSE event_type END AS shown FROM events""")
 def redact_keys(spark, d):
-    m = F.create_map(F.lit("user_token"), F.col("user_id").cast("string"), F.lit("password"), F.lit("x"), F.lit("max_tokens"), F.col("event_type"))
-    r = telemetry.redact(m)
-    return table(spark, d, "events").select("event_id", r["user_token"].alias("user_token"), r["password"].alias("password"), r["max_tokens"].alias("max_tokens"))
+    key = F.expr("element_at(array('password', 'user_token', 'max_tokens', 'note'), cast(event_id % 4 + 1 as int))")
+    return table(spark, d, "events").withColumn("key", key).withColumn("m", F.create_map("key", "event_type")).select("event_id", telemetry.redact(F.col("m"))[F.col("key")].alias("shown"))
 
 
 @query("manifest_errors", r"""SELECT p_partkey AS id, concat_ws(',', CASE WHEN NOT regexp_matches(sid, '^[a-z0-9_-]+:[a-z0-9_-]+$') THEN 'skill_id:pattern' END, CASE WHEN NOT regexp_matches(ver, '^\d+\.\d+\.\d+(-[a-zA-Z0-9]+)?$') THEN 'version:pattern' END, CASE WHEN length(txt) NOT BETWEEN 50 AND 500 THEN 'intent_description:length' END) AS errors
@@ -590,10 +606,58 @@ def manifest_errors(spark, d):
     return validation.errors(p).select("id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("static_issue_counts", r"""SELECT page_id, len(regexp_extract_all(html, 'console\.log\(')) AS n FROM pages WHERE regexp_matches(html, 'console\.log\(')""")
+_MANIFEST = """concat('{"skill_id": "a:b", "version": "1.0.0"', case when p_partkey % 3 = 0 then ', "author": 7' else ', "author": "x"' end, case when p_partkey % 4 = 0 then ', "success_rate": 1.5' when p_partkey % 4 = 1 then ', "success_rate": 1' else '' end,
+    case when p_partkey % 5 = 0 then ', "created_at": "yesterday"' else ', "created_at": "2024-01-02"' end, case when p_partkey % 6 = 0 then ', "tags": ["a", 3]' else ', "tags": []' end, case when p_partkey % 7 = 0 then ', "colour": 1' else '' end, '}')"""
+
+
+@query("manifest_warnings", f"""SELECT p_partkey AS id, concat_ws(',', CASE WHEN p_partkey % 6 = 0 THEN 'tags[1]:type' END, CASE WHEN p_partkey % 3 = 0 THEN 'author:type' END, CASE WHEN p_partkey % 5 = 0 THEN 'created_at:pattern' END,
+    CASE WHEN try_cast(json_extract(m, '$.success_rate') AS DOUBLE) > 1 THEN 'success_rate:maximum' END, CASE WHEN list_contains(json_keys(m), 'colour') THEN 'colour:unknown' END) AS warnings FROM (SELECT p_partkey, ({_MANIFEST})::JSON AS m FROM part)""")
+def manifest_warnings(spark, d):
+    return validation.warnings(table(spark, d, "part").selectExpr("p_partkey id", f"{_MANIFEST} raw")).select("id", F.array_join("warnings", ",").alias("warnings"))
+
+
+_REQUEST = """case when p_partkey % 9 = 0 then 'not json' else concat('{', case when p_partkey % 2 = 0 then concat('"query": "', repeat('find ', cast(p_partkey % 4 as int)), '"') else '"x": 1' end,
+    case when p_partkey % 3 = 0 then ', "max_tokens": 100' when p_partkey % 3 = 1 then ', "max_tokens": "many"' else ', "max_tokens": 4096' end, case when p_partkey % 5 = 0 then ', "mode": "odd"' else ', "mode": "fast"' end, '}') end"""
+_SCHEMA = {"type": "object", "required": ["query"], "properties": {"query": {"type": "string", "minLength": 10, "maxLength": 2000}, "max_tokens": {"type": "integer", "minimum": 256, "maximum": 32000}, "mode": {"enum": ["fast", "exact"]}}, "additionalProperties": False}
+
+
+@query("schema_validation", f"""SELECT p_partkey AS id, CASE WHEN r = 'not json' THEN '$ json' ELSE concat_ws(',', CASE WHEN p_partkey % 2 = 1 THEN '$.query required' END, CASE WHEN p_partkey % 2 = 0 AND length(regexp_extract(r, '"query": "([^"]*)"', 1)) < 10 THEN '$.query minLength' END,
+    CASE WHEN p_partkey % 3 = 1 THEN '$.max_tokens type' END, CASE WHEN p_partkey % 3 = 0 THEN '$.max_tokens minimum' END, CASE WHEN p_partkey % 5 = 0 THEN '$.mode enum' END, CASE WHEN p_partkey % 2 = 1 THEN '$.x additionalProperties' END) END AS errors FROM (SELECT p_partkey, {_REQUEST} AS r FROM part)""")
+def schema_validation(spark, d):
+    found = validation.schema_errors(table(spark, d, "part").selectExpr("p_partkey id", f"{_REQUEST} raw"), "raw", _SCHEMA)
+    return found.select("id", F.array_join(F.transform("schema_errors", lambda e: F.concat(e["path"], F.lit(" "), e["validator"])), ",").alias("errors"))
+
+
+ISSUES = with_("code") + r""", hits AS (
+    SELECT id, 'unquoted_variable' AS rule, 'warning' AS severity, len(regexp_extract_all(code, '\$([A-Za-z_][A-Za-z0-9_]*)[^"''\w]')) AS n FROM code WHERE language = 'bash'
+    UNION ALL SELECT id, 'console_log', 'info', len(regexp_extract_all(code, 'console\.log\(')) FROM code WHERE language = 'javascript'
+    UNION ALL SELECT id, 'implicit_any', 'warning', len(regexp_extract_all(code, ':\s*any\b')) FROM code WHERE language = 'typescript'
+    UNION ALL SELECT id, 'unsafe_block', 'warning', len(regexp_extract_all(code, 'unsafe\s*\{')) FROM code WHERE language = 'rust'
+    UNION ALL SELECT id, 'empty_catch', 'error', len(regexp_extract_all(code, 'catch\s*\([^)]+\)\s*\{\s*\}')) FROM code WHERE language = 'java'
+    UNION ALL SELECT id, 'missing_error_handling', 'warning', 1 FROM code WHERE language = 'bash' AND NOT contains(code, 'set -e')
+    UNION ALL SELECT id, 'unhandled_error', 'error', 1 FROM code WHERE language = 'go' AND NOT contains(code, 'if err')
+    UNION ALL SELECT id, 'missing_entrypoint', 'warning', 1 FROM code WHERE language = 'python' AND NOT contains(code, 'def main')
+    UNION ALL SELECT id, 'missing_docstring', 'info', len(regexp_extract_all(code, 'def f')) FROM code WHERE language = 'python')"""
+
+
+def _issues(spark, d):
+    found = code_facts.code_facts(fx.code(spark, d))
+    return validation.code_issues(found, line_start="line_start", facts="facts")
+
+
+@query("static_issue_counts", f"{ISSUES} SELECT id, rule, severity, n FROM hits WHERE n > 0")
 def static_issue_counts(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.lit("javascript").alias("language"), F.col("html").alias("code"))
-    return validation.code_issues(p).select("page_id", F.explode("issues").alias("i")).where("i.rule = 'console_log'").select("page_id", F.col("i.n").alias("n"))
+    return _issues(spark, d).select("id", F.explode("issues").alias("i")).groupBy("id", "i.rule", "i.severity").agg(F.count("*").alias("n"))
+
+
+@query("static_issue_lines", """SELECT p_partkey AS id, (p_partkey % 5 + 1 + CASE p_partkey % 7 WHEN 5 THEN 3 + k WHEN 2 THEN 1 + k ELSE 5 END)::INT AS line FROM part, range(0, 4) t(k) WHERE (p_partkey % 7 = 5 AND k < p_partkey % 3) OR (p_partkey % 7 = 2 AND k < p_partkey % 4) OR (p_partkey % 7 = 4 AND p_partkey % 2 = 1 AND k = 0) OR (p_partkey % 7 = 6 AND k = 0)""")
+def static_issue_lines(spark, d):
+    return _issues(spark, d).select("id", F.explode("issues").alias("i")).where("i.rule in ('unsafe_block', 'console_log', 'unhandled_error', 'empty_catch')").select("id", "i.line")
+
+
+@query("issue_severities", f"{ISSUES} SELECT c.id, coalesce(sum(n) FILTER (WHERE severity = 'error'), 0)::BIGINT AS error_count, coalesce(sum(n) FILTER (WHERE severity = 'warning'), 0)::BIGINT AS warning_count, coalesce(sum(n) FILTER (WHERE severity = 'info'), 0)::BIGINT AS info_count, coalesce(sum(n) FILTER (WHERE severity = 'error'), 0) > 0 AS has_errors FROM code c LEFT JOIN hits h ON h.id = c.id GROUP BY 1")
+def issue_severities(spark, d):
+    return validation.severity_counts(_issues(spark, d)).select("id", "error_count", "warning_count", "info_count", "has_errors")
 
 
 @query("complexity_score", "SELECT p_partkey AS id, round(least(p_size * 0.5, 3.0) + least(p_partkey % 30 * 0.1, 2.0) + least(p_size % 7 * 0.2, 2.0) + least(p_partkey % 13 * 0.1, 1.0) + least(p_size % 5 * 0.3, 1.0), 6)::DOUBLE AS score FROM part")
@@ -602,9 +666,10 @@ def complexity_score(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), validation.complexity(c("p_size"), c("p_partkey % 30"), c("p_size % 7"), c("p_partkey % 13"), c("p_size % 5")).alias("score"))
 
 
-@query("language_alias", "SELECT DISTINCT lang, CASE lang WHEN 'js' THEN 'javascript' ELSE lower(lang) END AS language FROM documents")
+@query("language_alias", "SELECT p_partkey AS id, (['python', 'bash', 'javascript', 'typescript', 'go', 'rust', 'cpp', 'python', 'kotlin'])[p_partkey % 9 + 1] AS language FROM part")
 def language_alias(spark, d):
-    return table(spark, d, "documents").select("lang", tx.language("lang").alias("language")).distinct()
+    names = F.expr("element_at(array('py', 'SH', 'js', 'ts', 'GoLang', 'rs', 'c++', 'Python', 'Kotlin'), cast(p_partkey % 9 + 1 as int))")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.language(names).alias("language"))
 
 
 # Ingestion and synchronisation ----------------------------------------------
@@ -614,31 +679,39 @@ def _skill_texts(spark, d):
     """Skill files written as text from part rows: front matter, a paragraph and a fenced block."""
     return table(spark, d, "part").selectExpr(
         "concat('/skills/ns', p_partkey % 5, '/s', p_partkey, '/SKILL.md') path",
-        """concat('---\nskill_id: ns', p_partkey % 5, ':s', p_partkey, '\nversion: 1.0.', p_size, '\nintent_description: ', repeat('does a thing well and then rests ', 2), p_partkey,
+        """concat('---\nskill_id: ns', p_partkey % 5, ':s', p_partkey, '\nversion: ', case when p_partkey % 11 = 0 then 'v' else '' end, '1.0.', p_size, '\nintent_description: ', repeat('does a thing well and then rests ', 2), p_partkey,
            '\npermissions:\n  - fs:read:/data\ntopology_hints:\n  requires:\n    - ns', p_partkey % 5, ':s', p_partkey div 2, case when p_partkey % 3 = 0 then '\n  enhances:\n    - ns0:s1' else '' end,
-           '\n---\n# Title\n\n```python {entrypoint=true}\nimport os\ndef main(a, b):\n    return a\nx = 1\n```\n') text""",
+           '\n---\n# Title\n\n```', case p_partkey % 3 when 0 then 'python {entrypoint=true}' when 1 then 'bash {name=x, entrypoint=false}' else 'go' end, '\nimport os\n\nx = 1\n```\n', case when p_partkey % 2 = 0 then '```js {entrypoint=yes}\nf()\n```\n' else '' end) text""",
         "p_partkey id",
     )
 
 
-@query("frontmatter_extract", r"SELECT p_partkey AS id, 'ns' || (p_partkey % 5) || ':s' || p_partkey AS skill_id, '1.0.' || p_size AS version, true AS is_valid FROM part")
+@query("frontmatter_extract", r"SELECT p_partkey AS id, 'ns' || (p_partkey % 5) || ':s' || p_partkey AS skill_id, CASE WHEN p_partkey % 11 = 0 THEN 'v' ELSE '' END || '1.0.' || p_size AS version, p_partkey % 11 <> 0 AS is_valid FROM part")
 def frontmatter_extract(spark, d):
     return ingest.parse(_skill_texts(spark, d)).select("id", "manifest.skill_id", "manifest.version", "is_valid")
 
 
-@query("code_blocks", "SELECT p_partkey AS id, 'python' AS language, 3::INT AS line_start, true AS is_entrypoint FROM part")
+@query("code_blocks", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'bash' ELSE 'go' END AS language, 3::INT AS line_start, 7::INT AS line_end, p_partkey % 3 = 0 AS is_entrypoint FROM part UNION ALL SELECT p_partkey, 'js', 8, 10, true FROM part WHERE p_partkey % 2 = 0")
 def code_blocks(spark, d):
     f = skill_files.blocks(skill_files.split(_skill_texts(spark, d))).withColumn("b", F.explode("blocks"))
-    return f.select("id", "b.language", "b.line_start", "b.is_entrypoint")
+    return f.select("id", "b.language", "b.line_start", "b.line_end", "b.is_entrypoint")
+
+
+@query("blocks_by_language", "SELECT p_partkey AS id, (p_partkey % 3 = 2)::BIGINT AS n_go, CASE WHEN p_partkey % 3 = 0 THEN 'python' WHEN p_partkey % 2 = 0 THEN 'js' END AS entry_language FROM part")
+def blocks_by_language(spark, d):
+    f = skill_files.blocks(skill_files.split(_skill_texts(spark, d)))
+    return f.select("id", F.size(skill_files.by_language("blocks", "Go")).cast("long").alias("n_go"), skill_files.entrypoint("blocks")["language"].alias("entry_language"))
 
 
-@query("code_fact_counts", "SELECT p_partkey AS id, 1::BIGINT AS functions, 2::BIGINT AS parameters, 1::BIGINT AS imports, 1::BIGINT AS variables, 1.0::DOUBLE AS complexity FROM part")
+@query("code_fact_counts", """SELECT *, round(least(functions * 0.5, 3.0) + least(parameters * 0.1, 2.0) + least(imports * 0.2, 2.0) + least(variables * 0.1, 1.0) + least(asyncs * 0.3, 1.0), 6)::DOUBLE AS complexity FROM (SELECT p_partkey AS id,
+    CASE p_partkey % 7 WHEN 0 THEN p_partkey % 3 + (p_partkey % 2 = 0)::INT WHEN 6 THEN 2 ELSE 1 END::BIGINT AS functions, CASE p_partkey % 7 WHEN 0 THEN p_partkey % 3 * 2 + (p_partkey % 2 = 0)::INT WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 3 ELSE 2 END::BIGINT AS parameters,
+    CASE p_partkey % 7 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 4 THEN 2 ELSE 1 END::BIGINT AS imports, CASE p_partkey % 7 WHEN 2 THEN 0 WHEN 4 THEN 2 ELSE 1 END::BIGINT AS variables, CASE WHEN p_partkey % 7 IN (2, 5) THEN 1 ELSE 0 END::BIGINT AS asyncs,
+    CASE p_partkey % 7 WHEN 0 THEN (p_partkey % 2 = 0)::INT WHEN 2 THEN 0 ELSE 1 END::BIGINT AS entries FROM part)""")
 def code_fact_counts(spark, d):
-    b = skill_files.blocks(skill_files.split(_skill_texts(spark, d))).select("id", F.explode("blocks").alias("b")).select("id", "b.*")
-    f = code_facts.code_facts(b)
-    n = {"functions": F.size("facts.functions"), "parameters": F.aggregate("facts.functions", F.lit(0), lambda t, x: t + F.size(x["params"])), "imports": F.size("facts.imports"), "variables": F.size("facts.variables")}
-    out = f.select("id", *(c.cast("long").alias(k) for k, c in n.items()))
-    return out.withColumn("complexity", validation.complexity(F.col("functions"), F.col("parameters"), F.col("imports"), F.col("variables"), F.lit(0)))
+    f = code_facts.code_facts(fx.code(spark, d))
+    functions = F.col("facts.functions")
+    n = {"functions": F.size(functions), "parameters": F.aggregate(functions, F.lit(0), lambda t, x: t + F.size(x["params"])), "imports": F.size("facts.imports"), "variables": F.size("facts.variables"), "asyncs": F.size(F.filter(functions, lambda x: x["is_async"])), "entries": F.size(F.filter(functions, lambda x: x["is_entry"]))}
+    return f.select("id", *(c.cast("long").alias(k) for k, c in n.items()), validation.facts_complexity().alias("complexity"))
 
 
 @query("hint_edges", "SELECT 'ns' || (p_partkey % 5) || ':s' || p_partkey AS source, 'ns' || (p_partkey % 5) || ':s' || (p_partkey // 2) AS target, 'REQUIRES' AS edge_type, 1.0::DOUBLE AS weight FROM part UNION ALL SELECT 'ns' || (p_partkey % 5) || ':s' || p_partkey, 'ns0:s1', 'ENHANCES', 0.8 FROM part WHERE p_partkey % 3 = 0")
@@ -647,7 +720,7 @@ def hint_edges(spark, d):
     return validation.hint_edges(rows, "uid", "hints")
 
 
-@query("import_stats", "SELECT count(*) AS total, count(*) AS imported, 0::BIGINT AS failed, 100.0::DOUBLE AS success_rate FROM part")
+@query("import_stats", "SELECT count(*) AS total, count(*) FILTER (WHERE p_partkey % 11 <> 0) AS imported, count(*) FILTER (WHERE p_partkey % 11 = 0) AS failed, round(100.0 * count(*) FILTER (WHERE p_partkey % 11 <> 0) / count(*), 2)::DOUBLE AS success_rate FROM part")
 def import_stats(spark, d):
     return ingest.statistics(ingest.parse(_skill_texts(spark, d)))
 

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-SKILLS = (
-    "uid string, version string, intent_description string, permissions array<string>, execution_success_rate double, "
-    "execution_count long, is_deprecated boolean, created_at timestamp, updated_at timestamp, tags array<string>, author string, category string"
-)
-EDGES = "source string, target string, edge_type string, weight double, confidence double, is_implicit boolean, discovery_source string"
-
-#: The edge types in order of priority, and their weights when taken from hints.
-EDGE_PRIORITY = {"REQUIRES": 1, "CONFLICTS_WITH": 2, "ENHANCES": 3, "SUBSTITUTES": 4}
+#: The edge types and their weights when taken from hints.
 EDGE_WEIGHT = {"REQUIRES": 1.0, "CONFLICTS_WITH": 1.0, "ENHANCES": 0.8, "SUBSTITUTES": 0.9}
 #: Hint keys and the edge types they declare.
 HINT_TYPES = {"requires": "REQUIRES", "conflicts_with": "CONFLICTS_WITH", "enhances": "ENHANCES", "substitutes": "SUBSTITUTES"}
 
 #: Formats of manifest fields.
 SKILL_ID = r"^[a-z0-9_-]+:[a-z0-9_-]+$"
-VERSION = r"^\d+\.\d+\.\d+$"
 PERMISSION = r"^[a-z]+:[a-z]+(:[a-zA-Z0-9_/.-]+)?$"

@@ -6,7 +6,8 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.storage import ship
@@ -75,10 +76,10 @@ def metadata(text: str) -> dict[str, str]:
 
 def fenced(text: str | None) -> list[tuple]:
     """The fenced blocks of a text, with lines counted from 1."""
-    out = []
+    out, at, first = [], 0, 1
     for m in re.finditer(BLOCK, text or "", re.DOTALL):
         meta = metadata(m[2] or "")
-        first = text.count("\n", 0, m.start()) + 1
+        first, at = first + text.count("\n", at, m.start()), m.start()
         out.append((m[1] or "text", m[3].strip(), first, first + m[3].count("\n") + 2, meta, meta.get("entrypoint") not in (None, "", "false", "0")))
     return out
 
@@ -86,4 +87,23 @@ def fenced(text: str | None) -> list[tuple]:
 def blocks(files: DataFrame, text: str = "body") -> DataFrame:
     """Add ``blocks``, the fenced blocks of a text column."""
     ship(files.sparkSession)
-    return files.withColumn("blocks", F.udf(fenced, BLOCKS, useArrow=True)(text))
+    return files.withColumn("blocks", F.arrow_udf(_fenced, BLOCKS)(text))
+
+
+BLOCK_KIND = pa.list_(pa.struct([("language", pa.string()), ("code", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("metadata", pa.map_(pa.string(), pa.string())), ("is_entrypoint", pa.bool_())]))
+
+
+def _fenced(texts: pa.Array) -> pa.Array:
+    names = ("language", "code", "line_start", "line_end", "metadata", "is_entrypoint")
+    return pa.array([[dict(zip(names, (*b[:4], list(b[4].items()), b[5]), strict=True)) for b in fenced(t)] for t in texts.to_pylist()], BLOCK_KIND)
+
+
+def by_language(blocks: str | Column, language: str | Column) -> Column:
+    """The blocks of a ``blocks`` column that are in a language."""
+    wanted = F.lower(F.lit(language)) if isinstance(language, str) else F.lower(language)
+    return F.filter(blocks, lambda b: F.lower(b["language"]) == wanted)
+
+
+def entrypoint(blocks: str | Column) -> Column:
+    """The first block marked as an entry point, or null."""
+    return F.try_element_at(F.filter(blocks, lambda b: b["is_entrypoint"]), F.lit(1))
