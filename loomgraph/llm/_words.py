@@ -32,6 +32,12 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values (a sort is far faster here than np.unique's hash table)."""
+    s = np.sort(x)
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s
+
+
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64), 0x5851F42D4C957F2D)
 _powers: dict[int, np.ndarray] = {}
 

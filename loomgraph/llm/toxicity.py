@@ -11,31 +11,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm._shared import same_text, ship
-from loomgraph.llm._words import BYTE_BASE, BYTE_VALUE, IS_SPACE, LOWER, U64, buffers, chunks, inverse, mix, powers
+from loomgraph.llm._words import BYTE_BASE, BYTE_VALUE, IS_SPACE, LOWER, U64, buffers, chunks, distinct, inverse, mix, powers
 
-#: Character n-grams, by bytes of the lower-cased text (A-Z); white space counts as one space each.
+#: Character n-grams of the lower-cased text (A-Z); white space counts as one space each.
 ORDERS = (4, 5, 6, 7)
 #: Labelled rows of either class that training reads at most.
 TRAIN_ROWS = 2500
+#: Features of a model at most: those whose counts weigh most.
 FEATURES = 40_000
 TABLE_BITS = 22
-#: Numbers that training handles at once, which bounds the driver's memory.
+#: Numbers that training handles at once, which bounds its memory.
 STEP = 1 << 18
 
 VALUE = BYTE_VALUE[np.where(IS_SPACE, 32, LOWER)]
 
 
 def gram_hashes(data: np.ndarray):
-    """For each order, the hashes of the byte runs that start at each place of ``data``."""
+    """For each order (hashes, starts, ends) of the runs of that many characters, by bytes of the UTF-8 ``data``."""
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(VALUE[data] * powers(BYTE_BASE, n), out=total[1:])
     back = powers(inverse(BYTE_BASE), n + 1)
+    at = np.arange(n + 1) if n == 0 or data.max() < 128 else np.r_[np.flatnonzero((data & 0xC0) != 0x80), n]
+    if len(at) <= n:
+        total, back = total[at], back[at]
     for k in ORDERS:
-        if n >= k:
-            yield k, mix((total[k:] - total[:-k]) * back[: n - k + 1], k)
-        else:
-            yield k, total[:0]
+        m = max(0, len(at) - k)
+        yield mix((total[k : k + m] - total[:m]) * back[:m], k), at[:m], at[k : k + m]
 
 
 @dataclass
@@ -53,14 +55,14 @@ class Model:
     def features(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature) pairs, once each, of consecutive texts: a feature is present or not."""
         out = []
-        for k, h in gram_hashes(data):
+        for h, first, end in gram_hashes(data):
             at = np.flatnonzero(self.table[(h >> U64(64 - TABLE_BITS)).astype(np.int64)])
             if len(at):
                 f = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-                text = np.searchsorted(bounds, at, side="right") - 1
-                ok = (self.hashes[f] == h[at]) & (at + k <= bounds[text + 1])
+                text = np.searchsorted(bounds, first[at], side="right") - 1
+                ok = (self.hashes[f] == h[at]) & (end[at] <= bounds[text + 1])
                 out.append(text[ok] * len(self.hashes) + f[ok])
-        pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        pairs = distinct(np.concatenate(out)) if out else np.zeros(0, np.int64)
         return (pairs // len(self.hashes), pairs % len(self.hashes)) if len(self.hashes) else (pairs, pairs)
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -71,43 +73,48 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 200, c: float = 0.02) -> Model:
-    """Two passes choose the features, then logistic regression weighs them.
+def log_ratio(p: np.ndarray, q: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """log of the smoothed shares of the two classes' texts that hold a feature."""
+    return np.log((p + 1) / (pos + 2)) - np.log((q + 1) / (neg + 2))
 
-    Pass one counts texts by hashed n-gram, pass two tells the n-grams of the
-    promising cells apart.  Every feature is its presence times the log-count
-    ratio log((p_f / |p|) / (q_f / |q|)) of the two classes, smoothed by one.
-    """
-    labels = np.asarray(labels, bool)
-    pos, neg = int(labels.sum()), int((~labels).sum())
-    prior = float(np.log((pos + 1) / (neg + 1)))
-    if not pos or not neg:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), prior)
-    cells = np.zeros((2, 1 << TABLE_BITS), np.int32)
 
-    def grams_of(t):
-        return np.unique(np.concatenate([h for _, h in gram_hashes(np.frombuffer(t, np.uint8))]))
+def worth(p: np.ndarray, q: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """By which features are chosen; 0 where fewer than three texts hold one."""
+    return np.abs(log_ratio(p, q, pos, neg)) * np.sqrt(p + q) * (p + q >= 3)
 
-    for t, y in zip(texts, labels, strict=True):
-        cells[int(y), np.unique(grams_of(t) >> U64(64 - TABLE_BITS)).astype(np.int64)] += 1
 
-    def ratio(p, q):
-        return np.log((p + 1) / (pos + 2)) - np.log((q + 1) / (neg + 2))
+def choose(texts: list[bytes], labels: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, log-count ratios) of the ``features`` n-grams of most worth.
+
+    One pass counts texts by hashed cells of n-grams, another tells the n-grams
+    of the promising cells apart: a cell counts for at least as many texts as
+    any n-gram of a class in it, so few cells remain.
+    """
+    pos, neg = int(labels.sum()), int((~labels).sum())
+    cells = np.zeros((2, 1 << TABLE_BITS), np.int32)
 
-    def worth(p, q):
-        return np.abs(ratio(p, q)) * np.sqrt(p + q) * (p + q >= 3)
+    def grams_of(t: bytes) -> np.ndarray:
+        return distinct(np.concatenate([h for h, _, _ in gram_hashes(np.frombuffer(t, np.uint8))]))
 
-    w = np.concatenate([worth(*cells[::-1, k : k + STEP]) for k in range(0, cells.shape[1], STEP)])
-    cut = np.partition(w, len(w) - 4 * FEATURES)[len(w) - 4 * FEATURES]
-    good = (w > 0) & (w >= cut)
+    for t, y in zip(texts, labels, strict=True):  # sorted hashes have sorted cells
+        c = (grams_of(t) >> U64(64 - TABLE_BITS)).astype(np.int64)
+        cells[int(y), c[np.r_[True, c[1:] != c[:-1]]] if len(c) else c] += 1
+    w = np.concatenate([worth(*cells[::-1, k : k + STEP], pos, neg) for k in range(0, cells.shape[1], STEP)])
+    many = min(len(w), 4 * features)
+    good = (w > 0) & (w >= np.partition(w, len(w) - many)[len(w) - many])
     del cells, w
     known, p, q = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     held: list = [[], []]
 
-    def count():
+    def counted(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        s = np.sort(np.concatenate(parts)) if parts else known[:0]
+        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+        return s[at], np.diff(np.r_[at, len(s)])
+
+    def count() -> None:
         nonlocal known, p, q
-        (a, m), (b, n) = (np.unique(np.concatenate(h), return_counts=True) if h else (known[:0], p[:0]) for h in held)
-        every = np.unique(np.concatenate([known, a, b]))
+        (a, m), (b, n) = counted(held[0]), counted(held[1])
+        every = distinct(np.concatenate([known, a, b]))
         sums = np.zeros((2, len(every)), np.int64)
         for row, g, c in ((1, known, p), (0, known, q), (0, a, m), (1, b, n)):
             sums[row, np.searchsorted(every, g)] += c
@@ -117,20 +124,30 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 200, c: float = 0.
     for t, y in zip(texts, labels, strict=True):
         g = grams_of(t)
         held[int(y)].append(g[good[(g >> U64(64 - TABLE_BITS)).astype(np.int64)]])
-        if sum(map(len, held[0])) + sum(map(len, held[1])) > STEP:
+        if sum(map(len, held[0])) + sum(map(len, held[1])) > 4 * STEP:
             count()
     count()
-    w = worth(p, q)
-    best = np.argsort(-w, kind="stable")[:FEATURES]
+    w = worth(p, q, pos, neg)
+    best = np.argsort(-w, kind="stable")[:features]
     best = np.sort(best[w[best] > 0])
-    hashes, r = known[best], ratio(p, q)[best]
+    return known[best], log_ratio(p, q, pos, neg)[best]
+
+
+def fit(texts: list[bytes], labels: np.ndarray, features: int = FEATURES, rounds: int = 200, c: float = 1.0, tolerance: float = 1e-2) -> Model:
+    """Choose the features, then weigh them by logistic regression.
+
+    Every feature is its presence times the log-count ratio of the two classes.
+    Quasi-Newton steps go on until the gradient is ``tolerance`` of the first
+    one, ``rounds`` at most; all is in a fixed order, so reruns agree.
+    """
+    labels = np.asarray(labels, bool)
+    pos, neg = int(labels.sum()), int((~labels).sum())
+    if not pos or not neg:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((pos + 1) / (neg + 1))))
+    hashes, r = choose(texts, labels, features)
     model = Model(hashes, r, 0.0)
-    rows, cols = [], []
-    for k, t in enumerate(texts):
-        _, f = model.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        rows.append(np.full(len(f), k, np.int32))
-        cols.append(f.astype(np.int32))
-    row, col = np.concatenate(rows), np.concatenate(cols)
+    cols = [model.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1].astype(np.int32) for t in texts]
+    row, col = np.repeat(np.arange(len(texts), dtype=np.int32), [len(f) for f in cols]), np.concatenate(cols)
     parts = [slice(k, k + STEP) for k in range(0, len(row), STEP)]
 
     def add(at, size, values):  # sums by row or column, a part of the pairs at a time
@@ -141,17 +158,61 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 200, c: float = 0.
 
     y = labels.astype(float)
     share = np.where(labels, 0.5 / pos, 0.5 / neg)  # the classes weigh the same
-    beta, b = np.zeros(len(hashes)), 0.0
-    speed, speed_b = np.zeros(len(hashes)), 0.0
     scale = 1.0 / max(1e-9, float(np.mean(add(row, len(texts), lambda s: r[col[s]] ** 2))))
-    for _ in range(rounds):  # gradient steps with momentum; a fixed number, so reruns agree
-        w = r * beta  # a feature is its presence times the ratio
-        z = b + add(row, len(texts), lambda s, w=w: w[col[s]])
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        beta, w = x[:-1], r * x[:-1]  # a feature is its presence times the ratio
+        z = x[-1] + add(row, len(texts), lambda s: w[col[s]])
         e = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * share
-        speed = 0.9 * speed - 4 * scale * (r * add(col, len(hashes), lambda s, e=e: e[row[s]]) + c * scale * beta)
-        speed_b = 0.9 * speed_b - 0.5 * e.sum()
-        beta, b = beta + speed, b + speed_b
-    return Model(hashes, beta * r, b)
+        value = float(share @ (np.logaddexp(0, z) - y * z) + 0.5 * c * scale * (beta @ beta))
+        return value, np.r_[r * add(col, len(hashes), lambda s: e[row[s]]) + c * scale * beta, e.sum()]
+
+    x = minimise(loss, np.zeros(len(hashes) + 1), rounds, tolerance)
+    return Model(hashes, x[:-1] * r, float(x[-1]))
+
+
+def minimise(loss, x: np.ndarray, rounds: int, tolerance: float, memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton steps on a convex ``loss`` (value, gradient), until the gradient is ``tolerance`` of the first."""
+    value, g = loss(x)
+    first, past = np.linalg.norm(g), []
+    for _ in range(rounds):
+        if np.linalg.norm(g) <= tolerance * first:
+            break
+        d, kept = -g, []
+        for s, v in reversed(past):
+            a = (s @ d) / (s @ v)
+            d = d - a * v
+            kept.append(a)
+        if past:
+            d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]))
+        for (s, v), a in zip(past, reversed(kept), strict=True):
+            d = d + (a - (v @ d) / (s @ v)) * s
+        step, slope = 1.0 if past else 1.0 / max(1.0, first), float(g @ d)
+        while True:
+            new, (lower, h) = x + step * d, loss(x + step * d)
+            if lower <= value + 1e-4 * step * slope or step < 1e-12:
+                break
+            step /= 2
+        if (h - g) @ (new - x) > 1e-14:
+            past = [*past[1 - memory :], (new - x, h - g)]
+        if step < 1e-12:
+            break
+        x, value, g = new, lower, h
+    return x
+
+
+def _fit(features: int):
+    """Train in one task on the rows of the bounded sample, which come in order of l."""
+
+    def run(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts += [t.as_buffer().to_pybytes() for t in batch.column("text")]
+            labels += batch.column("toxic").to_pylist()
+        m = fit(texts, np.array([y == 1 for y in labels], bool), features)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((m.hashes.tobytes(), pa.binary()), (m.weights.tobytes(), pa.binary()), (m.intercept, pa.float64()))], names=["hashes", "weights", "intercept"])
+
+    return run
 
 
 def _score(model, name: str = "score", keep_text: bool = False):
@@ -182,18 +243,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, rows: i
     return texts.join(F.broadcast(chosen), F.col("d") == F.col("l")).groupBy("l").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = TRAIN_ROWS) -> Model:
-    """A model of the bounded sample; ``allowed`` is a condition on the column l (a document's id)."""
-    sample = labelled_sample(docs, labels, allowed, rows).select(F.encode("text", "UTF-8").alias("text"), "toxic", "l").toLocalIterator()
-    rows_ = sorted(((r.l, bytes(r.text), r.toxic == 1) for r in sample), key=lambda r: r[0])
-    return fit([t for _, t, _ in rows_], np.array([y for _, _, y in rows_], bool))
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
+    """A model of the bounded sample; ``allowed`` is a condition on the column l (a document's id).
+
+    Training is one task of an executor, so texts never reach the driver: it
+    gets the model, of at most ``features`` features.  Without labelled rows of
+    both classes the model has no features and its intercept is their log-odds.
+    """
+    ship(docs.sparkSession)
+    sample = labelled_sample(docs, labels, allowed, rows).select("l", "toxic", F.encode("text", "UTF-8").alias("text"))
+    one = sample.repartition(1).sortWithinPartitions("l").mapInArrow(_fit(features), "hashes binary, weights binary, intercept double")
+    found = one.first()
+    if found is None:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    return Model(np.frombuffer(found["hashes"], np.uint64), np.frombuffer(found["weights"], np.float64), found["intercept"])
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score 0 to 1) per row of ``docs`` (doc_id, text).
 
     Scores depend on the whole text alone: null and empty texts get the
-    intercept's score, repeated rows equal ones; an empty table gives an empty
+    intercept's score, repeated rows equal ones, and a null doc_id stays null;
+    very long texts are scored one at a time; an empty table gives an empty
     result; other columns are ignored.
     """
     ship(docs.sparkSession)
