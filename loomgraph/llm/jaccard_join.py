@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm._shared import materialise, scrap, ship
-from loomgraph.llm._words import U64, Words, buffers, chunks, grams, mix
+from loomgraph.llm._words import U64, Words, buffers, chunks, distinct, grams, mix
 from loomgraph.llm.components import connected_components
 
 #: Counters of the frequency sketch that fixes the first order: 2**20, whatever the input.
@@ -34,7 +34,7 @@ def shingle_sets(column, n: int):
         for k in range(hi - lo):
             a, b = words.word_of[k], words.word_of[k + 1]
             if b - a >= n:
-                yield lo + k, np.unique(g[a : b - n + 1])
+                yield lo + k, distinct(g[a : b - n + 1])
             elif b > a:
                 yield lo + k, grams(h[a:b], int(b - a))
             else:
@@ -189,63 +189,50 @@ def _buckets(percent: int):
 
 
 def _apart(percent: int):
-    """Rows sorted by cell (token, i, j): every pair of a cell that the caps admit and whose labels differ.
+    """Rows sorted by (token, i, j, own): every pair of a cell that the caps admit and whose labels differ.
 
     A cell holds the rows of parts i and j of one token's bucket and pairs those
-    of i with those of j; pairs leave in batches as they are found.
+    of i with those of j (each with the rows before it where i is j), a bounded
+    number of pairs at a time.
     """
-
-    def pairs_of(x, y, same: bool):
-        (n, r, sid, label), (n2, r2, sid2, label2) = x, y
-        cap, cap2 = _caps(n, r, percent), _caps(n2, r2, percent)
-        for lo in range(0, len(n), 512):
-            hi = min(len(n), lo + 512)
-            for at in range(0, hi if same else len(n2), 1 << 12):
-                to = min(hi if same else len(n2), at + (1 << 12))
-                ok = (n2[None, at:to] <= cap[lo:hi, None]) & (cap2[None, at:to] >= n[lo:hi, None]) & (label2[None, at:to] != label[lo:hi, None])
-                if same:
-                    ok &= np.arange(at, to)[None, :] < np.arange(lo, hi)[:, None]
-                p, q = np.nonzero(ok)
-                yield np.stack([np.minimum(sid2[at + q], sid[lo + p]), np.maximum(sid2[at + q], sid[lo + p])], 1)
-
-    def cell(held, i, j):
-        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-        own, rows = rows[-1], rows[:-1]
-        if len(own) < 2 or (rows[3] == rows[3][0]).all():
-            return
-        first = own == i
-        yield from pairs_of([c[first] for c in rows], [c[own == j] for c in rows], i == j)
-
-    def batch_of(found):
-        p = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
+    names = ("token", "i", "j", "own", "n", "r", "sid", "label")
+
+    def pairs(c: dict[str, np.ndarray]):
+        rows = np.arange(len(c["n"]))
+        edges = np.flatnonzero(np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])])
+        size = np.diff(np.r_[edges, len(rows)])
+        start = np.repeat(edges, size)
+        firsts = np.repeat(np.add.reduceat((c["own"] == c["i"]).astype(np.int64), edges), size)
+        stop = np.where(c["i"] == c["j"], rows, np.where(c["own"] == c["j"], start + firsts, start))
+        mixed = np.repeat(np.minimum.reduceat(c["label"], edges) < np.maximum.reduceat(c["label"], edges), size)
+        count = np.where(mixed, stop - start, 0)
+        total, cap, at = np.cumsum(count), _caps(c["n"], c["r"], percent), 0
+        while at < len(rows):
+            done = int(total[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(total, done + (1 << 20), side="right")))
+            own = count[at:to]
+            x = np.repeat(rows[at:to], own)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own) + start[x]
+            ok = (c["n"][y] <= cap[x]) & (cap[y] >= c["n"][x]) & (c["label"][y] != c["label"][x])
+            a, b = c["sid"][x[ok]], c["sid"][y[ok]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            at = to
 
     def run(batches):
-        held, key, found, waiting = [], None, [], 0
-
-        def flush(last: bool):
-            nonlocal held, waiting
-            for p in cell(held, key[1], key[2]) if held else ():
-                found.append(p)
-                waiting += len(p)
-                if waiting > 1 << 18:
-                    yield batch_of(found)
-                    found.clear()
-                    waiting = 0
-            held = []
-            if last and waiting:
-                yield batch_of(found)
-
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
-            t, i, j = (batch.column(k).to_numpy() for k in ("token", "i", "j"))
-            rest = [batch.column(k).to_numpy() for k in ("n", "r", "sid", "label", "own")]
-            edges = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if (t[a], i[a], j[a]) != key:
-                    yield from flush(False)
-                    key = (t[a], i[a], j[a])
-                held.append([x[a:b] for x in rest])
-        yield from flush(True)
+            new = {k: batch.column(k).to_numpy().astype(np.int64) for k in names}
+            c = {k: np.concatenate([held[k], new[k]]) for k in names} if held else new
+            if not len(c["n"]):
+                continue
+            same = (c["token"] == c["token"][-1]) & (c["i"] == c["i"][-1]) & (c["j"] == c["j"][-1])
+            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last cell may go on
+            if last:
+                yield from pairs({k: v[:last] for k, v in c.items()})
+            held = {k: v[last:] for k, v in c.items()}
+        if held and len(held["n"]):
+            yield from pairs(held)
 
     return run
 
@@ -262,7 +249,7 @@ def apart(named: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     parts = F.ceil(F.col("c") / cell).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("token", "sid", "n", "r", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    sorted_rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    sorted_rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "own")
     return sorted_rows.mapInArrow(_apart(percent), "a long, b long").distinct()
 
 
