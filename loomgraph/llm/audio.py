@@ -16,6 +16,8 @@ from loomgraph.llm._shared import same_text, ship
 
 #: Bytes to which a payload is padded with spaces.
 UNIT = 192
+#: Stored bytes that a task turns into features at once; a longer clip is alone.
+BATCH_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -23,8 +25,8 @@ class Audio:
     """Rates in Hz, lengths in samples at ``rate``; thresholds in the natural log of a frame's mean energy."""
 
     stored_rate: int = 16_000
-    up: int = 1
-    down: int = 2
+    up: int = 441
+    down: int = 640
     taps: int = 16
     frame: int = 200
     hop: int = 80
@@ -65,11 +67,11 @@ def resample(x: np.ndarray, a: Audio, bank: np.ndarray) -> np.ndarray:
     pad = np.zeros(len(x) + 2 * a.taps, np.float32)
     pad[a.taps : a.taps + len(x)] = x
     view = np.lib.stride_tricks.sliding_window_view(pad, a.taps)
-    m = np.arange(out) * a.down
+    taps = np.ascontiguousarray(bank[:, ::-1])
     y = np.empty(out, np.float32)
-    for p in range(a.up):
-        at = np.flatnonzero(m % a.up == p) if a.up > 1 else slice(None)
-        y[at] = view[m[at] // a.up + a.taps // 2 + 1] @ bank[p][::-1]
+    for lo in range(0, out, 1 << 15):  # bounded memory for long clips
+        at = np.arange(lo, min(out, lo + (1 << 15))) * a.down
+        y[lo : lo + len(at)] = np.einsum("ij,ij->i", view[at // a.up + a.taps // 2 + 1], taps[at % a.up])
     return y
 
 
@@ -116,11 +118,20 @@ def load(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def parts(batch: pa.RecordBatch, column: str):
+    """Slices of a batch of about BATCH_BYTES in a binary column."""
+    ends = np.cumsum([0, *(len(x.as_buffer()) for x in batch.column(column))])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BATCH_BYTES, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _media(a: Audio):
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in parts(batch, "text"):
                 raw = part.column("text").to_pylist()
                 media = [store(x + b" " * (-len(x) % UNIT if x else UNIT), a) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -129,7 +140,12 @@ def _media(a: Audio):
 
 
 def encode_audio(docs: DataFrame, a: Audio = Audio()) -> DataFrame:
-    """(doc_id, n_bytes, media) per row of ``docs`` (doc_id, text): the text's UTF-8 as a WAV file."""
+    """(doc_id, n_bytes, media) per row of ``docs`` (doc_id, text): the text's UTF-8 as a WAV file.
+
+    Null and empty texts are one unit of spaces; a null doc_id stays null;
+    repeated rows give equal files; a very long text is one file; an empty table
+    gives an empty result; other columns are ignored.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(same_text("text"), "UTF-8").alias("text"))
     return rows.mapInArrow(_media(a), "doc_id long, n_bytes long, media binary")
@@ -137,7 +153,7 @@ def encode_audio(docs: DataFrame, a: Audio = Audio()) -> DataFrame:
 
 FEATURES = (
     "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload binary, seconds double, frames long, "
-    "blocks array<struct<start:double,end:double,frames:int,log_mel:array<float>>>, spans array<struct<start:double,end:double>>"
+    "tensors binary, spans array<struct<start:double,end:double>>"
 )
 
 
@@ -146,50 +162,52 @@ def _features(a: Audio):
 
     def run(batches):
         bank, mel = polyphase(a), mel_bank(a)
-        block = pa.struct([("start", pa.float64()), ("end", pa.float64()), ("frames", pa.int32()), ("log_mel", pa.list_(pa.float32()))])
         span = pa.struct([("start", pa.float64()), ("end", pa.float64())])
+        kinds = {"media_bytes": pa.int64(), "media_sha256": pa.string(), "payload": pa.binary(), "seconds": pa.float64(), "frames": pa.int64(), "tensors": pa.binary(), "spans": pa.list_(span)}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                yield _rows(batch.slice(lo, 64), block, span, bank, mel)
-
-    def _rows(batch, block, span, bank, mel):
-        names = ["doc_id", "n_bytes", "media_bytes", "media_sha256", "payload", "seconds", "frames", "blocks", "spans"]
-        columns: dict[str, list] = {k: [] for k in names[2:]}
-        tensors, starts, ends, counts, sizes = [], [], [], [], []
-        for m in batch.column("media"):
-            media = m.as_py()
-            payload = load(media)
-            x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-            features, energy = log_mel(resample(x, a, bank), a, mel)
-            n = len(features)
-            full = np.zeros((-(-n // a.block) * a.block, a.mels), np.float32)
-            full[:n] = features
-            k = len(full) // a.block
-            tensors.append(full.reshape(k, -1))
-            first = np.arange(k) * a.block
-            last = np.minimum(first + a.block, n)
-            starts.append(first * a.hop / a.rate)
-            ends.append(((last - 1) * a.hop + a.frame) / a.rate)
-            counts.append((last - first).astype(np.int32))
-            sizes.append(k)
-            columns["media_bytes"].append(len(media))
-            columns["media_sha256"].append(hashlib.sha256(media).hexdigest())
-            columns["payload"].append(payload)
-            columns["seconds"].append(len(x) / a.stored_rate)
-            columns["frames"].append(n)
-            columns["spans"].append([{"start": s * a.hop / a.rate, "end": ((e - 1) * a.hop + a.frame) / a.rate} for s, e in segments(energy, a)])
-        cells = tensor_array(np.concatenate(tensors), (a.block, a.mels)).storage
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * a.block * a.mels, pa.int32()), cells.flatten())
-        items = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends)), pa.array(np.concatenate(counts)), lists], fields=list(block))
-        blocks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), items)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_bytes"), pa.array(columns["media_bytes"], pa.int64()), pa.array(columns["media_sha256"], pa.string()), pa.array(columns["payload"], pa.binary()), pa.array(columns["seconds"], pa.float64()), pa.array(columns["frames"], pa.int64()), blocks, pa.array(columns["spans"], pa.list_(span))],
-            names=names,
-        )
+            for part in parts(batch, "media"):
+                columns: dict[str, list] = {k: [] for k in kinds}
+                for m in part.column("media"):
+                    for k, x in one(m.as_py(), bank, mel).items():
+                        columns[k].append(x)
+                arrays = [pa.array(columns[k], t) for k, t in kinds.items()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *arrays], names=["doc_id", "n_bytes", *kinds])
+
+    def one(media: bytes, bank, mel) -> dict:
+        payload = load(media)
+        x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
+        features, energy = log_mel(resample(x, a, bank), a, mel)
+        seconds = lambda first, last: (first * a.hop / a.rate, ((last - 1) * a.hop + a.frame) / a.rate)
+        return {
+            "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "payload": payload, "seconds": len(x) / a.stored_rate, "frames": len(features),
+            "tensors": store_tensors(features, a), "spans": [dict(zip(("start", "end"), seconds(s, e), strict=True)) for s, e in segments(energy, a)],
+        }
 
     return run
 
 
+def store_tensors(features: np.ndarray, a: Audio) -> bytes:
+    """An Arrow stream of (start, end, frames, log_mel): log_mel holds fixed-shape tensors (block, mels)."""
+    n = len(features)
+    full = np.zeros((-(-n // a.block) * a.block, a.mels), np.float32)
+    full[:n] = features
+    first = np.arange(0, n, a.block)
+    last = np.minimum(first + a.block, n)
+    table = pa.RecordBatch.from_arrays(
+        [pa.array(first * a.hop / a.rate), pa.array(((last - 1) * a.hop + a.frame) / a.rate), pa.array((last - first).astype(np.int32)), tensor_array(full, (a.block, a.mels))],
+        names=["start", "end", "frames", "log_mel"],
+    )
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_batch(table)
+    return out.getvalue()
+
+
+def read_tensors(tensors: bytes) -> pa.Table:
+    """The table of a ``tensors`` value, with its tensor type."""
+    return pa.ipc.open_stream(tensors).read_all()
+
+
 def tensor_array(values: np.ndarray, shape: tuple[int, ...]) -> pa.FixedShapeTensorArray:
     """Rows of flat float32 values as a column of fixed-shape Arrow tensors."""
     flat = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1), pa.float32()), int(np.prod(shape)))
@@ -200,15 +218,17 @@ def audio_features(media: DataFrame, a: Audio = Audio()) -> DataFrame:
     """Features of ``media`` (doc_id, n_bytes, media: 8-bit mono WAV).
 
     Every file is read back, resampled with a polyphase filter, cut into
-    overlapped frames and turned into log-mel energies.  ``blocks`` holds them as
-    tensors of the fixed shape (block, mels) with their time spans in seconds
-    (the last block is padded; ``frames`` tells how far it goes); ``spans`` are
-    the segments of a hysteresis on the frames' energy.  ``payload`` is the
-    stored samples.  Equal files give equal rows.  Rows are independent, so
-    nothing is shuffled and skew has no effect.
+    overlapped frames and turned into log-mel energies.  ``tensors`` holds them as
+    an Arrow stream of fixed-shape tensors (block, mels) with their time spans in
+    seconds (the last block is padded; ``frames`` tells how far it goes), see
+    ``read_tensors``; ``spans`` are the segments of a hysteresis on the frames'
+    energy.  ``payload`` is the stored samples.  Equal files give equal rows, a
+    null doc_id stays null, a very long clip is worked on in pieces, and an empty
+    table gives an empty result; other columns are ignored.  Rows are
+    independent, so nothing is shuffled and skew has no effect.
     """
     ship(media.sparkSession)
-    return media.mapInArrow(_features(a), FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features(a), FEATURES)
 
 
 def audio_table(features: DataFrame) -> DataFrame:
@@ -218,7 +238,7 @@ def audio_table(features: DataFrame) -> DataFrame:
         ";",
         F.concat(F.lit("s="), F.round("seconds", 6).cast("string")),
         F.concat(F.lit("f="), F.col("frames").cast("string")),
-        F.concat(F.lit("mel="), F.hex(F.xxhash64("blocks"))),
+        F.concat(F.lit("mel="), F.hex(F.xxhash64("tensors"))),
         F.concat(F.lit("seg="), F.size("spans").cast("string")),
         F.concat(F.lit("act="), F.round(F.aggregate("spans", F.lit(0.0), lambda t, s: t + s["end"] - s["start"]), 3).cast("string")),
     )
