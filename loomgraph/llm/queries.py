@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm._shared import new_path
+from loomgraph.llm._shared import materialise, new_path
 from loomgraph.llm.audio import audio_features, audio_table, encode_audio
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.jaccard_join import ngram_jaccard_join
@@ -39,16 +39,20 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after an insert batch a tokenizer, a revision of the first one's counts and a replay of it."""
-    docs = table(spark, sf_dir, "documents")
-    bpe = count_tokens(docs, "byte_bpe_50k", public_tokenizers.path("byte_bpe_50k.json"))
-    words = count_tokens(docs, "words_v1")
+    """Totals after four batches: all documents are inserted, the toxic ones deleted, those of low quality revised, and the first one comes again.
+
+    The revision counts the words of its documents under version 2; their counts
+    under version 1 leave.
+    """
+    counts = materialise(count_tokens(table(spark, sf_dir, "documents"), {"byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json"), "words_v1": None}), "token-counts")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marked = materialise(counts.join(labels, "doc_id"), "labelled-counts")
     rollup = TokenRollup(spark, new_path(spark, "token-rollup"))
-    rollup.commit("insert-bpe", changes(bpe))
-    rollup.commit("insert-words", changes(words))
-    # The words are counted anew as version 2: the old counts leave, the new ones come.
-    rollup.commit("revise-words", changes(revised=(words, words.withColumn("tokenizer", F.lit("words_v2")))))
-    rollup.commit("insert-bpe", changes(bpe))  # a replay changes nothing
+    rollup.commit("insert", changes(counts))
+    rollup.commit("take-down", changes(deletes=marked.where("toxic = 1")))
+    old = marked.where("coalesce(toxic, 0) <> 1 and quality = 0 and tokenizer = 'words_v1'")
+    rollup.commit("revise-words", changes(revised=(old, old.withColumn("tokenizer", F.lit("words_v2")))))
+    rollup.commit("insert", changes(counts))  # a replay changes nothing
     return rollup.totals()
 
 
