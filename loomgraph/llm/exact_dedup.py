@@ -1,16 +1,16 @@
-"""Exact deduplication over a sharded cuckoo-filter index of live digests."""
+"""Exact deduplication over a stored index: cuckoo filters of live digests in front of bucketed content."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm._shared import fresh, materialise, same_text, ship
+from loomgraph.llm._shared import fresh, materialise, new_path, same_text, ship
 
 SLOTS, MAX_KICKS = 4, 200
-#: Digests that one shard's task holds, about.
+#: Digests that one shard's filter holds when the index is made, about.
 SHARD_DIGESTS = 200_000
 ENTRY = "d64 long, sha string, keep_id long, keep_row long, n long"
 
@@ -19,15 +19,28 @@ class CuckooFilter:
     """A partial-key cuckoo filter of 16-bit fingerprints, four a bucket.
 
     It keeps no keys: ``insert`` returns False when a kick chain overflows, and
-    the owner then builds a larger filter from its stored keys.
+    the owner then builds a larger filter from its stored keys.  A key inserted
+    twice is to be deleted twice.
     """
 
     def __init__(self, buckets: int = 256):
         self.mask = buckets - 1
-        self.slots = [[] for _ in range(buckets)]
+        self.slots: list[list[int]] = [[] for _ in range(buckets)]
+
+    @staticmethod
+    def of(keys: list[int]) -> CuckooFilter:
+        """The smallest filter, by doubling, that takes all keys."""
+        buckets = 256
+        while buckets * SLOTS * 0.9 < len(keys):
+            buckets *= 2
+        while True:
+            out = CuckooFilter(buckets)
+            if all(map(out.insert, keys)):
+                return out
+            buckets *= 2
 
     def place(self, key: int) -> tuple[int, int]:
-        return (key >> 20) & self.mask, (key & 0xFFFF) + 1
+        return (key >> 20) & self.mask, (key & 0xFFFF) or 1
 
     def other(self, bucket: int, mark: int) -> int:
         return (bucket ^ (mark * 0x5BD1E995)) & self.mask
@@ -61,118 +74,198 @@ class CuckooFilter:
                 return True
         return False
 
-    def table(self) -> np.ndarray:
-        """The fingerprints as a (buckets, 4) array, 0 where free; fingerprint 65536 is stored as 65535."""
-        out = np.zeros((len(self.slots), SLOTS), np.uint16)
+    def store(self) -> bytes:
+        """The fingerprints as (buckets, 4) little-endian 16-bit numbers, 0 where free."""
+        out = np.zeros((len(self.slots), SLOTS), "<u2")
         for k, held in enumerate(self.slots):
-            out[k, : len(held)] = np.minimum(held, 65535)
+            out[k, : len(held)] = held
+        return out.tobytes()
+
+    @staticmethod
+    def load(stored: bytes) -> CuckooFilter:
+        rows = np.frombuffer(stored, "<u2").reshape(-1, SLOTS).tolist()
+        out = CuckooFilter(len(rows))
+        out.slots = [[m for m in r if m] for r in rows]
         return out
 
 
-class DigestShard:
-    """A filter in front of the bucketed entries: a miss is new at once, a hit is verified there."""
+def probe(stored: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which keys a stored filter may hold, for all at once."""
+    table = np.frombuffer(stored, "<u2").reshape(-1, SLOTS)
+    mask = len(table) - 1
+    marks = keys & 0xFFFF
+    marks = np.where(marks == 0, 1, marks)
+    first = (keys >> 20) & mask
+    second = (first ^ (marks * 0x5BD1E995)) & mask
+    return ((table[first] == marks[:, None]) | (table[second] == marks[:, None])).any(axis=1)
+
+
+def _hits(filters: pa.Table, keys: pa.Table) -> pa.Table:
+    """The keys of one shard that its filter may hold."""
+    if not filters.num_rows:
+        return keys.slice(0, 0).select(["shard", "d64"])
+    ok = probe(filters.column("cells")[0].as_py(), keys.column("d64").to_numpy())
+    return keys.select(["shard", "d64"]).filter(pa.array(ok))
+
+
+def _revise(filters: pa.Table, keys: pa.Table) -> pa.Table:
+    """One shard's filter after its deletions, then insertions; null cells where an insertion overflows."""
+    shard = (filters if filters.num_rows else keys).column("shard")[0]
+    if not keys.num_rows:
+        return filters.select(["shard", "cells"])
+    held = CuckooFilter.load(filters.column("cells")[0].as_py())
+    live, d64 = keys.column("live").to_numpy(zero_copy_only=False), keys.column("d64").to_numpy()
+    for key in d64[~live].tolist():
+        held.delete(key)
+    fits = all(map(held.insert, d64[live].tolist()))
+    return pa.table({"shard": pa.array([shard.as_py()], pa.int32()), "cells": pa.array([held.store() if fits else None], pa.binary())})
+
+
+def _rebuild(keys: pa.Table) -> pa.Table:
+    """A larger filter of one shard from its stored keys."""
+    return pa.table({"shard": keys.column("shard").slice(0, 1).cast(pa.int32()), "cells": pa.array([CuckooFilter.of(keys.column("d64").to_pylist()).store()], pa.binary())})
+
+
+CELLS = "shard int, cells binary"
 
-    def __init__(self) -> None:
-        self.filter = CuckooFilter()
-        self.content: dict[int, list[list]] = {}  # d64: entries [sha, keep_id, keep_row, n]
-        self.resizes = 0
 
-    def find(self, d64: int, sha: str) -> list | None:
-        if d64 not in self.filter:
+class DigestIndex:
+    """Live digests under ``path``: member rows, entries bucketed by shard, and one cuckoo filter a shard.
+
+    A batch is appended: ``members`` or ``deletes`` rows as they came, the
+    ``content`` entries (one a digest: its smallest row and number of members) of
+    the digests that it touched, and the ``filters`` after it, whose ``_SUCCESS``
+    file is its commit; what a lost driver left without it is written anew.  The
+    latest entry of a digest holds.
+
+    Inserted digests are combined, map-side first, so a hot digest moves as one
+    row a task, and probe the stored filters of their shards.  A miss is new at
+    once and reads no content; hits are verified by SHA-256 in the buckets of
+    their shards alone.  Digests without live members leave the filter.  A filter
+    that overflows is built anew, larger, from the stored keys of its shard.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        ship(spark)
+        self.spark, self.path, self.batch, self.shards = spark, path.rstrip("/"), 0, 0
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        while fs.exists(place(f"{self.path}/filters/batch={self.batch + 1}/_SUCCESS")):
+            self.batch += 1
+        if self.batch:
+            self.shards = self.filters().count()
+
+    def _at(self, table: str, batch: int | None = None) -> str:
+        return f"{self.path}/{table}/batch={self.batch if batch is None else batch}"
+
+    def filters(self) -> DataFrame:
+        return self.spark.read.schema(CELLS).parquet(self._at("filters"))
+
+    def _all(self, table: str, schema: str, upto: int) -> DataFrame | None:
+        """All rows of a table's batches with their number."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = place(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [k for k in range(1, upto + 1) if fs.exists(place(self._at(table, k)))]
+        if not found:
             return None
-        return next((e for e in self.content.get(d64, ()) if e[0] == sha), None)
-
-    def add(self, d64: int, sha: str, keep_id: int | None, keep_row: int, n: int) -> None:
-        held = self.find(d64, sha)
-        if held is not None:
-            held[3] += n
-            if order(keep_id, keep_row) < order(held[1], held[2]):
-                held[1:3] = keep_id, keep_row
+        return self.spark.read.schema(f"{schema}, batch int").option("basePath", f"{self.path}/{table}").parquet(*(self._at(table, k) for k in found))
+
+    def members(self) -> DataFrame:
+        """(doc_id, row, d64, sha) of the rows that are in the index."""
+        return self._live(self.batch)
+
+    def _live(self, upto: int) -> DataFrame:
+        rows = self._all("members", "doc_id long, row long, d64 long, sha string", upto)
+        gone = self._all("deletes", "doc_id long, sha string", upto)
+        if rows is None:
+            return self.spark.createDataFrame([], "doc_id long, row long, d64 long, sha string")
+        if gone is not None:
+            g = gone.select(F.col("doc_id").alias("g"), F.col("sha").alias("s"), F.col("batch").alias("b"))
+            rows = rows.join(g, (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("batch") < F.col("b")), "left_anti")
+        return rows.select("doc_id", "row", "d64", "sha")
+
+    def _content(self, upto: int, shards: DataFrame | None = None) -> DataFrame:
+        rows = self._all("content", f"{ENTRY}, shard int", upto)
+        if rows is None:
+            return self.spark.createDataFrame([], f"{ENTRY}, shard int")
+        if shards is not None:  # at most one row a shard, as many as there are filters
+            rows = rows.where(F.col("shard").isin([r["shard"] for r in shards.distinct().collect()]))
+        names = [c for c in rows.columns if c not in ("shard", "batch")]
+        if upto == 1:
+            return rows.select(*names, "shard")
+        latest = rows.groupBy("shard", "d64", "sha").agg(F.max_by(F.struct("keep_id", "keep_row", "n"), "batch").alias("x"))
+        return latest.select("d64", "sha", "x.keep_id", "x.keep_row", "x.n", "shard").where("n > 0")
+
+    def entries(self) -> DataFrame:
+        """(d64, sha, keep_id, keep_row, n): the live digests, their smallest (doc_id, row) and number of members."""
+        return self._content(self.batch).drop("shard")
+
+    def _cogroup(self, kernel, keys: DataFrame, schema: str) -> DataFrame:
+        return self.filters().groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(kernel, schema)
+
+    def _commit(self, touched: DataFrame, keys: DataFrame) -> None:
+        """Write the touched entries and the filters after ``keys`` (shard, d64, live); the batch is then in the index."""
+        k = self.batch + 1
+        touched.repartition(F.col("shard")).write.mode("overwrite").partitionBy("shard").parquet(self._at("content", k))
+        revised = materialise(self._cogroup(_revise, keys, CELLS), "filters")
+        full = revised.where("cells is null").select("shard")
+        if not full.isEmpty():
+            stored = self._content(k, full).select("shard", "d64").distinct()
+            revised = revised.where("cells is not null").unionByName(stored.groupBy("shard").applyInArrow(_rebuild, CELLS))
+        revised.write.mode("overwrite").parquet(self._at("filters", k))
+        self.batch = k
+
+    def _start(self, digests: int) -> None:
+        self.shards = max(1, -(-digests // SHARD_DIGESTS), min(8, digests))
+        empty = F.lit(CuckooFilter().store())
+        self.spark.range(self.shards).select(F.col("id").cast("int").alias("shard"), empty.alias("cells")).write.mode("overwrite").parquet(self._at("filters", 0))
+
+    def _sharded(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("shard", F.pmod("d64", F.lit(self.shards)).cast("int"))
+
+    def insert(self, rows: DataFrame) -> None:
+        """Add ``rows`` of digests() (doc_id, row, d64, sha) as one batch."""
+        k = self.batch + 1
+        rows.select("doc_id", "row", "d64", "sha").write.mode("overwrite").parquet(self._at("members", k))
+        own = self.spark.read.schema("doc_id long, row long, d64 long, sha string").parquet(self._at("members", k))
+        order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+        combined = own.groupBy("d64", "sha").agg(F.min(order).alias("k"), F.count("*").alias("n"))
+        changes = materialise(combined.select("d64", "sha", F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"), "n"), "digest-changes")
+        if not self.shards:
+            self._start(changes.count())
+            return self._add(self._sharded(changes), None)
+        changes = self._sharded(changes)
+        hits = materialise(self._cogroup(_hits, changes.select("shard", "d64").distinct(), "shard int, d64 long"), "filter-hits")
+        return self._add(changes, None if hits.isEmpty() else hits)
+
+    def _add(self, changes: DataFrame, hits: DataFrame | None) -> None:
+        new = changes.select("shard", "d64").distinct()
+        if hits is not None:
+            known = materialise(self._content(self.batch, hits.select("shard")).join(hits.select("d64"), "d64", "left_semi"), "verified")
+            old = known.select(F.col("d64").alias("od"), F.col("sha").alias("os"), F.struct(F.col("keep_id").isNull().alias("null"), "keep_id", "keep_row").alias("ok"), F.col("n").alias("on"))
+            both = changes.join(old, (F.col("d64") == F.col("od")) & (F.col("sha") == F.col("os")), "left")
+            least = F.least(F.struct(F.col("keep_id").isNull().alias("null"), "keep_id", "keep_row"), F.col("ok"))
+            changes = both.select("d64", "sha", least["keep_id"].alias("keep_id"), least["keep_row"].alias("keep_row"), (F.col("n") + F.coalesce("on", F.lit(0))).alias("n"), "shard")
+            new = new.join(known.select("d64").distinct(), "d64", "left_anti")
+        self._commit(changes, new.select("shard", "d64", F.lit(True).alias("live")))
+
+    def delete(self, rows: DataFrame) -> None:
+        """Take out the members with the ids and digests of ``rows`` (doc_id, d64, sha); unknown ones are ignored."""
+        if not self.batch:
             return
-        known = d64 in self.content
-        self.content.setdefault(d64, []).append([sha, keep_id, keep_row, n])
-        if not known and not self.filter.insert(d64):
-            self.resize()
-
-    def resize(self) -> None:
-        """Double the buckets until every stored key fits."""
-        buckets = self.filter.mask + 1
-        while True:
-            buckets, self.resizes = buckets * 2, self.resizes + 1
-            self.filter = CuckooFilter(buckets)
-            if all(self.filter.insert(k) for k in self.content):
-                return
-
-    def remove(self, d64: int, sha: str) -> bool:
-        held = self.find(d64, sha)
-        if held is None:
-            return False
-        self.content[d64].remove(held)
-        if not self.content[d64]:
-            del self.content[d64]
-            self.filter.delete(d64)
-        return True
-
-
-def order(doc_id: int | None, row: int) -> tuple:
-    return (doc_id is None, doc_id or 0, row)
-
-
-def _combine(batches):
-    """Equal digests of one task become one row; the table of pending digests is bounded."""
-    held: dict[tuple[int, str], list] = {}
-
-    def out():
-        keys = list(held)
-        v = list(held.values())
-        held.clear()
-        return _entries([(k[0], k[1], *x) for k, x in zip(keys, v, strict=True)])
-
-    for batch in batches:
-        for d64, sha, doc, row in zip(*(batch.column(k).to_pylist() for k in ("d64", "sha", "doc_id", "row")), strict=True):
-            x = held.get((d64, sha))
-            if x is None:
-                held[d64, sha] = [doc, row, 1]
-            else:
-                x[2] += 1
-                if order(doc, row) < order(x[0], x[1]):
-                    x[0], x[1] = doc, row
-        if len(held) > SHARD_DIGESTS:
-            yield out()
-    if held:
-        yield out()
-
-
-def _entries(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("d64", pa.int64()), ("sha", pa.string()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("n", pa.int64())]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[k for k, _ in kinds])
-
-
-def _index(batches):
-    """Rows sorted by (shard, rank) run through that shard's filter; its entries leave when it is over.
-
-    rank 0: live entries, 1: deletions, 2: insertions.
-    """
-    shard, now = None, None
-
-    def entries(s):
-        rows = [(d64, *e) for d64, held in s.content.items() for e in held]
-        for k in range(0, len(rows), 50_000):
-            yield _entries(rows[k : k + 50_000])
-
-    for batch in batches:
-        for number, rank, d64, sha, keep_id, keep_row, n in zip(*(batch.column(k).to_pylist() for k in ("shard", "rank", "d64", "sha", "keep_id", "keep_row", "n")), strict=True):
-            if number != shard:
-                if now is not None:
-                    yield from entries(now)
-                shard, now = number, DigestShard()
-            if rank == 1:
-                now.remove(d64, sha)
-            else:
-                now.add(d64, sha, keep_id, keep_row, n)
-    if now is not None:
-        yield from entries(now)
+        k = self.batch + 1
+        rows.select("doc_id", "sha").distinct().write.mode("overwrite").parquet(self._at("deletes", k))
+        asked = materialise(self._sharded(rows.select("d64", "sha").distinct()), "asked")
+        hits = materialise(self._cogroup(_hits, asked.select("shard", "d64").distinct(), "shard int, d64 long"), "filter-hits")
+        before = self._content(self.batch, hits.select("shard")).join(hits.select("d64"), "d64", "left_semi")
+        known = materialise(before.join(asked.select("d64", "sha"), ["d64", "sha"], "left_semi"), "verified")
+        order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+        left = self._live(k).join(known.select("d64", "sha"), ["d64", "sha"], "left_semi").groupBy("d64", "sha").agg(F.min(order).alias("k"), F.count("*").alias("m"))
+        after = known.select("d64", "sha", "shard").join(left, ["d64", "sha"], "left")
+        touched = materialise(after.select("d64", "sha", F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"), F.coalesce("m", F.lit(0)).alias("n"), "shard"), "touched")
+        still = before.select("d64", "sha").join(touched.where("n = 0").select("d64", "sha"), ["d64", "sha"], "left_anti").select("d64").distinct()
+        gone = touched.where("n = 0").select("shard", "d64").distinct().join(still, "d64", "left_anti")
+        self._commit(touched, gone.select("shard", "d64", F.lit(False).alias("live")))
 
 
 def normalised(text: str | Column) -> Column:
@@ -187,41 +280,10 @@ def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
     return clean.select("doc_id", "row", F.xxhash64("t").alias("d64"), F.sha2("t", 256).alias("sha"))
 
 
-def update_index(entries: DataFrame | None, inserts: DataFrame | None, deletes: DataFrame | None = None, rows: int | None = None) -> DataFrame:
-    """The live entries (d64, sha, keep_id, keep_row, n) after deleting, then inserting.
-
-    ``inserts`` has digests() columns; ``deletes`` has d64 and sha, and takes
-    whole digests out (unknown ones are ignored).  Each shard is one cuckoo
-    filter over its stored keys; a filter hit is verified against the entries
-    bucketed under the 64-bit digest by their SHA-256, an overflowing insert
-    doubles the filter and refills it from the stored keys.  The number of
-    shards follows the rows, so a task's memory doesn't.  Insertions are
-    combined per task before they move: a hot digest is one row a task.
-    """
-    parts = []
-    if entries is not None:
-        parts.append(entries.selectExpr("0 AS rank", "*"))
-    if deletes is not None:
-        parts.append(deletes.selectExpr("1 AS rank", "d64", "sha", "cast(null as long) keep_id", "0L AS keep_row", "0L AS n"))
-    if inserts is not None:
-        ship(inserts.sparkSession)
-        parts.append(inserts.mapInArrow(_combine, ENTRY).selectExpr("2 AS rank", "*"))
-    changes = parts[0]
-    for p in parts[1:]:
-        changes = changes.unionByName(p)
-    ship(changes.sparkSession)
-    if rows is None:
-        changes = materialise(changes, "digest-changes")
-        rows = changes.count()
-    shards = max(1, -(-rows // SHARD_DIGESTS))
-    shards = max(shards, min(8, rows))
-    dealt = changes.withColumn("shard", F.pmod("d64", F.lit(shards)).cast("int")).repartition(shards, "shard")
-    return dealt.sortWithinPartitions("shard", "rank").mapInArrow(_index, ENTRY)
-
-
-def _groups(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    rows = materialise(digests(docs, row), "digests")
-    return rows, materialise(update_index(None, rows, rows=rows.count()), "digest-index")
+def _indexed(docs: DataFrame, row: str | None = None) -> DigestIndex:
+    index = DigestIndex(docs.sparkSession, new_path(docs.sparkSession, "digest-index"))
+    index.insert(digests(docs, row))
+    return index
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -229,11 +291,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical after ``normalised``.  Of equal texts the row
     with the smallest doc_id stays: nulls come last, and of repeated rows with
-    one doc_id just one is kept.  An empty table gives an empty result; other
-    columns are ignored.
+    one doc_id just one is kept.  Null texts count as empty, very long ones are
+    digested whole.  An empty table gives an empty result; other columns are
+    ignored.
     """
-    rows, groups = _groups(docs)
-    joined = rows.join(groups.select(F.col("sha").alias("s"), "keep_id", "keep_row", "n"), F.col("sha") == F.col("s"))
+    index = _indexed(docs)
+    groups = index.entries().select(F.col("sha").alias("s"), "keep_id", "keep_row", "n")
+    joined = index.members().join(groups, F.col("sha") == F.col("s"))
     return joined.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
@@ -245,5 +309,5 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """
     (row,) = fresh(docs.columns, "row")
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
-    _, groups = _groups(numbered, row)
-    return numbered.join(groups.select(F.col("keep_row").alias(row)).hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
+    kept = _indexed(numbered, row).entries().select(F.col("keep_row").alias(row))
+    return numbered.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
