@@ -26,24 +26,32 @@ def source_targets(sized: DataFrame, max_copies: int = 3) -> DataFrame:
 
     Sources in order of code point, null last, weigh 1, 2, 3, repeating, and
     share the total size by weight.  No target exceeds ``max_copies`` times its
-    source's size; the excess is shared again by weight.  In order of
-    cap / weight the capped sources come first, so prefix sums give the common
-    level of the others at once.  The windows span the table of sources, one
-    narrow row each.
+    source's size; the excess is shared again by weight, one sum over the sources
+    a round, until none is above.  Sources are ranked by a range partitioning and
+    the counts of its parts, so their number may grow with the data.  An empty
+    table has no sources.
     """
+    order = F.col("source").asc_nulls_last()
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    caps = per.withColumn("place", place).withColumn("weight", (F.col("place") - 1) % 3 + 1).withColumn("cap", F.col("source_size") * max_copies)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = caps.withColumn("total", F.sum("source_size").over(everything)).withColumn(
-        "level",
-        (F.col("total") - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        / F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-    )
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "place", "level"))
-    level = F.min(fits).over(everything)["level"]
-    return levels.withColumn("common", level).select("source", "source_size", "units", "weight", F.least(F.col("cap").cast("double"), F.coalesce(F.col("common") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
+    ranged = per.repartitionByRange(order).sortWithinPartitions(order)
+    parts = materialise(ranged.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id() % (1 << 33)), "sources")
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    before = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    caps = parts.join(before, "part").select("source", "source_size", "units", ((F.col("before") + F.col("k")) % 3 + 1).alias("weight"), (F.col("source_size") * max_copies).alias("cap"))
+    caps = materialise(caps, "source-caps")
+    level, capped = None, None
+    while True:
+        full = F.lit(False) if level is None else F.col("cap") < F.col("weight") * level
+        now = caps.agg(F.sum("source_size").alias("total"), F.sum(F.when(full, F.col("cap"))).alias("cap"), F.sum(F.when(~full, F.col("weight"))).alias("weight"), F.count_if(full).alias("n")).first()
+        if now["weight"] is None:
+            level = None  # every source is capped, or there is none
+            break
+        if now["n"] == capped:
+            break
+        level, capped = (now["total"] - (now["cap"] or 0)) / now["weight"], now["n"]
+    share = F.col("cap").cast("double")
+    target = share if level is None else F.least(share, F.col("weight") * F.lit(float(level)))
+    return caps.select("source", "source_size", "units", "weight", target.alias("target"))
 
 
 #: Fold of one node.  State: the open document (its index and share) and those taken.  A step moves
@@ -80,8 +88,8 @@ def mix(docs: DataFrame, max_copies: int = 3, fan_in: int = FAN_IN, seed: int =
     copies.  Its whole part is given to all; the fraction is settled by pivotal
     rounding: two documents pass words to each other until one is all in or all
     out, and the other goes on.  Every fold keeps the source's sum of words; the
-    last open document is rounded to the nearer side, so the words taken miss
-    the target by half a document at most.
+    last open document is drawn by its share, so each document keeps its expected
+    copies and the words taken miss the target by one document at most.
 
     Leaves hold about ``fan_in`` documents by a hash of the id, whatever the
     source's size, largest first; the one open document of each goes up a tree
@@ -90,8 +98,8 @@ def mix(docs: DataFrame, max_copies: int = 3, fan_in: int = FAN_IN, seed: int =
 
     Rows repeated with one id, source and size share their copies.  Documents
     without words (null text too) take nothing; null ids and sources are values
-    like others, null sources come last.  An empty table gives an empty result.
-    Other columns are ignored.
+    like others, null sources come last.  Very long documents are documents like
+    others.  An empty table gives an empty result.  Other columns are ignored.
     """
     sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
     targets = materialise(source_targets(sized, max_copies), "targets")
@@ -116,7 +124,7 @@ def mix(docs: DataFrame, max_copies: int = 3, fan_in: int = FAN_IN, seed: int =
         done = nodes.select("source", F.posexplode("u").alias("i", "x"), "f").where("i <> f.open").select("source", F.col("x.leaf").alias("leaf"), F.array_contains("f.won", F.col("i")).alias("taken"))
         settled_above = done if settled_above is None else settled_above.unionByName(done)
         blocks = -(-blocks // fan_in)
-    root = nodes.select("source", F.col("u")[F.col("f.open")]["leaf"].alias("leaf"), (F.col("f.p") >= 0.5).alias("taken"))
+    root = nodes.select("source", F.col("u")[F.col("f.open")]["leaf"].alias("leaf"), (uniform(F.lit(seed), F.lit("root"), F.col("source")) < F.col("f.p")).alias("taken"))
     settled_above = root if settled_above is None else settled_above.unionByName(root)
 
     above = settled_above.select(F.col("source").alias("s"), "leaf", "taken")
@@ -127,7 +135,11 @@ def mix(docs: DataFrame, max_copies: int = 3, fan_in: int = FAN_IN, seed: int =
 
 
 def mixed_documents(docs: DataFrame, max_copies: int = 3) -> DataFrame:
-    """The rows of ``docs`` as often as ``mix`` takes them, with all their columns (documents without words go)."""
+    """The rows of ``docs`` as often as ``mix`` takes them, with all their columns.
+
+    Documents without words (null and blank texts too) go, as the mix takes
+    nothing of them; repeated rows share their copies; an empty table stays empty.
+    """
     d, s, n, c, w, k = fresh(docs.columns, "d", "s", "n", "c", "w", "k")
     copies = mix(docs, max_copies).groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n)).agg(F.max("copies").alias(c)).where(F.col(c) > 0)
     joined = docs.withColumn(w, word_count()).join(

@@ -245,22 +245,54 @@ def test_substring_dedup_repeats_within_a_text(spark):
         assert (r.n_words, r.n_removed) == (len(w), sum(gone))
 
 
-def test_license_scan(docs, empty):
-    got = {(r.doc_id, r.n_words, r.n_base, r.base_labels): r for r in licenses.license_labels(docs).collect()}
-    assert got[15, 8, 1, "cc-by"].labels == "cc-by"
-    r = got[18, 12, 2, "gpl,reserved"]
-    assert (r.first_word, r.last_word, r.score) == (5, 9, 1.0) and "reserved-notice" in r.labels
-    assert got[7, 0, 0, ""].first_word is None
+def brute_base(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    places = [(k, label) for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")) for k in range(len(words)) if words[k : k + phrase.count(" ") + 1] == phrase.split()]
+    return len(words), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_scan(spark, docs, empty):
+    more = [(60, "CC-BY cc by; CC BY"), (61, "General  Public\nLicense general public licenses"), (62, "all rights reserved all rights reserved."), (63, "éall rights reserved"), (64, "cc"), (65, "x\x00cc\x7fby")]
+    for df, rows in ((docs, [(i, t) for i, t, _ in ROWS]), (spark.createDataFrame(more, "doc_id long, text string"), more)):
+        got = licenses.license_labels(df).collect()
+        want = collections.Counter((i, *brute_base(t)) for i, t in rows)
+        assert collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == want
+        assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and (r.score > 0) == bool(r.labels) and r.score < 1 for r in got)
+    assert "reserved-notice" in next(r for r in licenses.license_labels(docs).collect() if r.doc_id == 18).labels
     assert licenses.license_scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_license_texts_are_accepted_and_altered_ones_are_not(label):
+    template = licenses.TEMPLATES[label]
+    a = licenses.Automaton(template)
+    fold = lambda t: t.encode().translate(licenses.FOLD).split()
+    filled = re.sub(r"<<\w+:(\d+)>>", lambda m: " ".join(["foo"] * int(m[1])), template)
+    full, least = filled.replace("[[", " ").replace("]]", " "), re.sub(r"<<\w+:\d+>>", " ", template)
+    while "[[" in least:
+        least = re.sub(r"\[\[(?:(?!\[\[|\]\]).)*\]\]", " ", least, flags=re.DOTALL)
+    for text in (full, least):
+        words = fold(text)
+        assert a.match(words, 0) == len(words)
+    words = fold(least)
+    for k in range(0, len(words), max(1, len(words) // 9)):  # mandatory wording altered, missing or doubled
+        altered = [*words[:k], b"zzz", *words[k + 1 :]]
+        assert a.match(altered, 0) < len(altered)
+    assert a.match(words[:-1], 0) == -1
+
+
 def test_template_automata():
     a = licenses.Automaton("start [[ maybe this ]] of <<x:2>> end")
     words = lambda t: [w.encode() for w in t.split()]
     for text, end in [("start of end", 3), ("start maybe this of end", 5), ("start of a b end", 5), ("start of a b c end", -1), ("start maybe of end", -1), ("start off end", -1)]:
         assert a.match(words(text), 0) == end
-    with pytest.raises(ValueError):
-        licenses.Automaton("<<x:3>>")
+    nested = licenses.Automaton("a [[ b [[ c ]] <<x>> d ]] e")
+    for text, end in [("a e", 2), ("a b d e", 4), ("a b c d e", 5), ("a b q q q q q d e", 9), ("a b c e", -1), ("a c d e", -1)]:
+        assert nested.match(words(text), 0) == end
+    assert nested.lead == 0 and licenses.Automaton("<<x>> a b").lead is None
+    for broken in ("<<x:3>>", "a [[ b", "a ]] b"):
+        with pytest.raises(ValueError):
+            licenses.Automaton(broken)
 
 
 def test_toxicity_learns_stems_and_scores_alone(spark, docs, empty):
