@@ -1,8 +1,8 @@
 """Dependency graphs: closure, cycles, levels, orders and paths.
 
 All functions take edges (source, target), source depending on target.  Loops
-run on the driver over whole tables, double the path length each round and cut
-lineage with checkpoints; nothing but counts is collected.
+run on the driver over whole tables and cut lineage with checkpoints every few
+rounds; nothing but counts is collected.  ``closure`` alone holds pairs.
 """
 
 from __future__ import annotations
@@ -34,16 +34,84 @@ def nodes(edges: DataFrame, *others: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def components(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+#: Rounds of a loop that run as one job before its lineage is cut.
+ROUNDS = 4
+
+
+def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, depth) of the sources that reach no cycle, and the edges (source, target) of the others.
+
+    Each round keeps the edges whose target still has edges of its own, so a
+    source's depth, the edges of its longest path, is the number of rounds that
+    it lasts.  Tables only shrink; the rounds are as many as the depth.
+    """
+    left = cut(edges.select("source", "target").distinct())
+    n, k, ages = left.count(), 0, None
+    while n:
+        own = []
+        step = left
+        for _ in range(ROUNDS):
+            k += 1
+            own.append(step.select(F.col("source").alias("id"), F.lit(k).cast("long").alias("depth")))
+            step = step.join(step.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+        block = own[0]
+        for o in own[1:]:
+            block = block.unionByName(o)
+        block = cut(block.groupBy("id").agg(F.max("depth").alias("depth")))
+        ages = block if ages is None else ages.unionByName(block)
+        left = cut(step)
+        m = left.count()
+        if m == n:
+            break
+        n = m
+    if ages is None:
+        return left.select(F.col("source").alias("id"), F.lit(0).cast("long").alias("depth")), left
+    depth = ages.groupBy("id").agg(F.max("depth").alias("depth")).join(left.select(F.col("source").alias("id")).distinct(), "id", "left_anti")
+    return depth, left
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): nodes on cycles with the smallest node of their strongly connected component.
 
-    Two nodes are in one when each reaches the other.  A self-edge alone is not
-    a cycle here.
+    Peeling from both ends leaves what lies on or between cycles.  There each
+    node takes the smallest node that reaches it as its colour; the nodes of a
+    colour that reach back to that smallest node are its component.  What is left
+    goes round again.  No table exceeds the edges; a self-edge alone is not a
+    cycle here.
     """
-    r = reach if reach is not None else closure(edges)
-    back = r.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    both = r.intersect(back).where("source <> target")
-    return both.groupBy(F.col("source").alias("id")).agg(F.least(F.min("target"), F.col("id")).alias("component"))
+    rest = edges.where("source <> target")
+    done = None
+    while True:
+        rest = _turned(peel(_turned(peel(rest)[1]))[1])
+        rest = cut(rest)
+        if rest.isEmpty():
+            return done if done is not None else rest.select(F.col("source").alias("id"), F.col("target").alias("component"))
+        colour = cut(nodes(rest).withColumn("c", F.col("id")))
+        before = None
+        while (now := colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]) != before:
+            before = now
+            for _ in range(ROUNDS):
+                sent = rest.join(colour.toDF("source", "c"), "source").select(F.col("target").alias("id"), "c")
+                colour = colour.unionByName(sent).groupBy("id").agg(F.min("c").alias("c"))
+            colour = cut(colour)
+        inner = rest.join(colour.toDF("source", "c"), "source").join(colour.toDF("target", "d"), "target").where("c = d").select("source", "target", "c")
+        inner = cut(inner)
+        found = cut(colour.where("id = c"))
+        n = 0
+        while (m := found.count()) != n:
+            n = m
+            for _ in range(ROUNDS):
+                back = inner.join(found.toDF("target", "f"), "target").select(F.col("source").alias("id"), "c")
+                found = found.unionByName(back).distinct()
+            found = cut(found)
+        whole = found.join(found.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "c").select("id", F.col("c").alias("component"))
+        done = whole if done is None else done.unionByName(whole)
+        gone = found.select("id")
+        rest = rest.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti").select("source", "target")
 
 
 def cycle_edges(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
@@ -70,67 +138,91 @@ def cycle_paths(edges: DataFrame) -> DataFrame:
 
 
 def would_cycle(edges: DataFrame, proposed: DataFrame) -> DataFrame:
-    """``proposed`` (source, target) with creates_cycle: the target already reaches the source, or is it."""
-    r = closure(edges).select(F.col("source").alias("target"), F.col("target").alias("source"), F.lit(True).alias("back"))
-    return proposed.join(r, ["source", "target"], "left").select("source", "target", (F.coalesce("back", F.lit(False)) | (F.col("source") == F.col("target"))).alias("creates_cycle"))
-
-
-def longest(edges: DataFrame, reach: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(source, depth) of nodes that reach no cycle and have dependencies; (id) of those that do reach one."""
-    r = reach if reach is not None else closure(edges)
-    loops = r.where("source = target").select("source")
-    bad = r.join(loops.toDF("target"), "target", "left_semi").select(F.col("source").alias("id")).distinct()
-    good = edges.select("source", "target").distinct().join(bad.toDF("source"), "source", "left_anti")
-    paths = cut(good.withColumn("len", F.lit(1).cast("long")))
-    before = None
-    while (now := paths.agg(F.count("*"), F.sum("len")).first()) != before:
-        before = now
-        step = paths.alias("a").join(paths.alias("b"), F.col("a.target") == F.col("b.source")).select(F.col("a.source"), F.col("b.target"), (F.col("a.len") + F.col("b.len")).alias("len"))
-        paths = cut(paths.union(step).groupBy("source", "target").agg(F.max("len").alias("len")))
-    return paths.groupBy("source").agg(F.max("len").alias("depth")), bad
+    """``proposed`` (source, target) with creates_cycle: the target already reaches the source, or is it.
 
-
-def levels(edges: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """(id, depth, level, n_dependencies, n_dependents, n_transitive, is_leaf, is_root) of every node.
+    Only the targets start a search, and each ends when its sources are found.
+    A node that reaches no cycle is followed only while it is deeper than some
+    source that its start looks for, since paths lead to smaller depths.
+    """
+    e = cut(edges.select("source", "target").distinct())
+    depth, left = peel(e)
+    level = cut(nodes(e).join(depth, "id", "left").join(left.select(F.col("source").alias("id"), F.lit(True).alias("loops")).distinct(), "id", "left").select("id", F.when(F.col("loops").isNull(), F.coalesce("depth", F.lit(0))).alias("depth")))
+    asked = cut(proposed.select(F.col("target").alias("start"), F.col("source").alias("goal")).where("start <> goal").distinct())
+    goals = asked.join(level.toDF("goal", "low"), "goal")
+    least = cut(goals.groupBy("start").agg(F.min(F.coalesce("low", F.lit(0))).alias("least")))
+    seen = front = cut(least.select("start", F.col("start").alias("id")))
+    found = None
+    while not front.isEmpty():
+        step = front.join(e, F.col("id") == F.col("source")).select("start", F.col("target").alias("id")).distinct()
+        step = step.join(level, "id").join(least, "start").where("depth is null or depth >= least").select("start", "id")
+        front = cut(step.join(seen, ["start", "id"], "left_anti"))
+        hit = front.join(asked.toDF("s", "goal"), (F.col("start") == F.col("s")) & (F.col("id") == F.col("goal"))).select("start", "goal")
+        found = cut(hit if found is None else found.unionByName(hit))
+        seen = cut(seen.unionByName(front))
+        open_ = asked.join(found, ["start", "goal"], "left_anti").select("start").distinct()
+        front = cut(front.join(open_, "start", "left_semi"))
+    none = F.lit(False)
+    if found is None:
+        return proposed.select("source", "target", (F.col("source") == F.col("target")).alias("creates_cycle"))
+    back = found.select(F.col("goal").alias("source"), F.col("start").alias("target"), F.lit(True).alias("back"))
+    return proposed.join(back, ["source", "target"], "left").select("source", "target", (F.coalesce("back", none) | (F.col("source") == F.col("target"))).alias("creates_cycle"))
+
+
+def levels(edges: DataFrame, extra: DataFrame | None = None, transitive: bool = False) -> DataFrame:
+    """(id, depth, level, n_dependencies, n_dependents, is_leaf, is_root) of every node.
 
     depth: edges of the longest path to a leaf.  level: ``root`` at depth 0,
     ``shallow`` at 1, ``medium`` up to 3, ``deep`` beyond; on or above a cycle
     ``unknown`` with depth 0.  is_leaf: no dependencies; is_root: no dependents.
+    ``transitive`` adds n_transitive, which needs all pairs of ``closure``.
     """
-    e = edges.select("source", "target").distinct()
-    r = closure(e)
-    depth, bad = longest(e, r)
+    e = cut(edges.select("source", "target").distinct())
+    depth, left = peel(e)
+    bad = left.select(F.col("source").alias("id")).distinct()
     every = nodes(e, extra) if extra is not None else nodes(e)
     out = (
-        every.join(depth.withColumnRenamed("source", "id"), "id", "left")
+        every.join(depth, "id", "left")
         .join(bad.withColumn("bad", F.lit(True)), "id", "left")
         .join(e.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_dependencies")), "id", "left")
         .join(e.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n_dependents")), "id", "left")
-        .join(r.groupBy(F.col("source").alias("id")).agg(F.count_if(F.col("source") != F.col("target")).alias("n_transitive")), "id", "left")
     )
+    counts = ["n_dependencies", "n_dependents"]
+    if transitive:
+        counts.append("n_transitive")
+        out = out.join(closure(e).groupBy(F.col("source").alias("id")).agg(F.count_if(F.col("source") != F.col("target")).alias("n_transitive")), "id", "left")
     d, unknown = F.coalesce("depth", F.lit(0)), F.coalesce("bad", F.lit(False))
     return out.select(
         "id",
         d.alias("depth"),
         F.when(unknown, "unknown").when(d == 0, "root").when(d == 1, "shallow").when(d <= 3, "medium").otherwise("deep").alias("level"),
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_dependencies", "n_dependents", "n_transitive")),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
         (F.col("n_dependencies").isNull() & ~unknown).alias("is_leaf"),
         F.col("n_dependents").isNull().alias("is_root"),
     )
 
 
+def level_counts(leveled: DataFrame) -> DataFrame:
+    """(level, n): how many nodes are on each level."""
+    return leveled.groupBy("level").agg(F.count("*").alias("n"))
+
+
+def most_needed(edges: DataFrame) -> DataFrame:
+    """(id, n): the node that most others depend on; of several the smallest."""
+    e = edges.select("source", "target").distinct()
+    return e.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1)
+
+
 def execution_order(leveled: DataFrame, reverse: bool = False) -> DataFrame:
     """(id, position) by depth, then id; a valid topological order of an acyclic graph.
 
-    Positions are a global rank, so they are made from the counts of each depth
-    and a rank inside it.
+    Positions are a global rank: nodes are dealt by ranges of (depth, id) and
+    ranked inside their part, and the counts of the parts before it are added.
     """
-    per = Window.partitionBy("depth").orderBy("id")
-    before = leveled.groupBy("depth").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)))
-    out = leveled.withColumn("k", F.row_number().over(per)).join(before, "depth").select("id", (F.coalesce("before", F.lit(0)) + F.col("k") - 1).alias("position"))
-    if reverse:
-        return out.crossJoin(leveled.agg(F.count("*").alias("n"))).select("id", (F.col("n") - 1 - F.col("position")).alias("position"))
-    return out
+    order = [F.col("depth").desc(), F.col("id").desc()] if reverse else [F.col("depth"), F.col("id")]
+    ranged = leveled.select("id", "depth").repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.select("id", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("k")))
+    before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    return ranged.join(before, "part").select("id", (F.coalesce("before", F.lit(0)) + F.col("k")).alias("position"))
 
 
 def critical_path(edges: DataFrame) -> DataFrame:
@@ -179,11 +271,23 @@ def isolated(all_nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def report(edges: DataFrame, all_nodes: DataFrame) -> DataFrame:
     """One row: node and edge counts, cycles, nodes on them, self-edges, isolated nodes, depth, validity."""
-    e = edges.select("source", "target").distinct()
+    e = cut(edges.select("source", "target").distinct())
     scc = components(e)
     cyc = scc.agg(F.count_distinct("component").alias("n_cycles"), F.count("*").alias("n_on_cycles"))
     own = e.agg(F.count("*").alias("n_edges"), F.count_if(F.col("source") == F.col("target")).alias("n_self"))
-    deep = levels(e).agg(F.max("depth").alias("max_depth"))
+    deep = peel(e)[0].agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
     alone = isolated(all_nodes, e).agg(F.count("*").alias("n_isolated"))
     total = nodes(e, all_nodes).agg(F.count("*").alias("n_nodes"))
     return total.crossJoin(own).crossJoin(cyc).crossJoin(alone).crossJoin(deep).withColumn("is_valid", (F.col("n_cycles") == 0) & (F.col("n_self") == 0))
+
+
+def typed_report(edges: DataFrame, edge_type: str = "REQUIRES") -> DataFrame:
+    """``report`` of the edges of one type of ``edges`` (source, target, edge_type), with the nodes of all types."""
+    return report(edges.where(F.col("edge_type") == edge_type), nodes(edges))
+
+
+def new_cycles(edges: DataFrame, added: DataFrame) -> DataFrame:
+    """(component, n_nodes, n_added): the cycles of ``edges`` and ``added`` together that an added edge lies on."""
+    scc = cut(components(edges.select("source", "target").union(added.select("source", "target"))))
+    inside = cycle_edges(added.select("source", "target").distinct(), scc).groupBy("component").agg(F.count("*").alias("n_added"))
+    return scc.groupBy("component").agg(F.count("*").alias("n_nodes")).join(inside, "component")

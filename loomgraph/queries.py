@@ -352,10 +352,12 @@ def edge_would_cycle(spark, d):
     return graph.would_cycle(_req(spark, d), proposed)
 
 
-@query("dag_report", f"""{CYC} SELECT (SELECT count(*) FROM embeddings) AS n_nodes, (SELECT count(*) FROM ce) AS n_edges, 0::BIGINT AS n_self, (SELECT count(DISTINCT component) FROM scc) AS n_cycles, (SELECT count(*) FROM scc) AS n_on_cycles,
-    (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT source FROM ce UNION SELECT target FROM ce)) AS n_isolated, (SELECT count(*) FROM scc) = 0 AS is_valid""")
+@query("dag_report", f"""{CYC}, bad AS (SELECT id FROM scc UNION SELECT r.source FROM reach r JOIN scc s ON s.id = r.target), ok AS (SELECT * FROM ce WHERE source NOT IN (SELECT id FROM bad)),
+    good AS (SELECT source, target, 1 AS len FROM ok UNION SELECT g.source, o.target, g.len + 1 FROM good g JOIN ok o ON o.source = g.target) SELECT (SELECT count(*) FROM embeddings) AS n_nodes, (SELECT count(*) FROM ce) AS n_edges, 0::BIGINT AS n_self, (SELECT count(DISTINCT component) FROM scc) AS n_cycles, (SELECT count(*) FROM scc) AS n_on_cycles,
+    (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT source FROM ce UNION SELECT target FROM ce)) AS n_isolated,
+    (SELECT coalesce(max(len), 0)::BIGINT FROM good) AS max_depth, (SELECT count(*) FROM scc) = 0 AS is_valid""")
 def dag_report(spark, d):
-    return graph.report(fx.cyclic(spark, d), fx.skills(spark, d)).drop("max_depth")
+    return graph.report(fx.cyclic(spark, d), fx.skills(spark, d))
 
 
 @query("isolated_nodes", f"{with_('edges')} SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT source FROM edges WHERE edge_type = 'ENHANCES' UNION SELECT target FROM edges WHERE edge_type = 'ENHANCES')")
@@ -367,7 +369,26 @@ def isolated_nodes(spark, d):
     (SELECT count(*) FROM req WHERE source = i.id) AS n_dependencies, (SELECT count(*) FROM req WHERE target = i.id) AS n_dependents, (SELECT count(*) FROM reach WHERE source = i.id) AS n_transitive,
     i.depth = 0 AS is_leaf, NOT EXISTS (SELECT 1 FROM req WHERE target = i.id) AS is_root FROM depths i""")
 def dep_levels(spark, d):
-    return graph.levels(_req(spark, d))
+    return graph.levels(_req(spark, d), transitive=True)
+
+
+@query("level_histogram", f"""{LEVELS} SELECT CASE WHEN depth = 0 THEN 'root' WHEN depth = 1 THEN 'shallow' WHEN depth <= 3 THEN 'medium' ELSE 'deep' END AS level, count(*) AS n FROM depths GROUP BY 1""")
+def level_histogram(spark, d):
+    return graph.level_counts(graph.levels(_req(spark, d)))
+
+
+@query("typed_dag_report", f"""{LEVELS} SELECT (SELECT count(*) FROM (SELECT source FROM edges UNION SELECT target FROM edges)) AS n_nodes, (SELECT count(*) FROM req) AS n_edges, 0::BIGINT AS n_self, (SELECT count(*) FROM reach WHERE source = target) AS n_cycles,
+    (SELECT count(*) FROM (SELECT source AS id FROM edges UNION SELECT target FROM edges) WHERE id NOT IN (SELECT id FROM ids)) AS n_isolated, (SELECT max(depth) FROM depths) AS max_depth, true AS is_valid""")
+def typed_dag_report(spark, d):
+    return graph.typed_report(fx.edges(spark, d).where("source <> target")).drop("n_on_cycles")
+
+
+@query("new_cycles", f"""{CYC} SELECT s.component, count(*) AS n_nodes, any_value(a.n_added) AS n_added FROM scc s JOIN (SELECT x.component, count(*) AS n_added FROM (SELECT vec_id // 2 AS source, vec_id AS target FROM embeddings WHERE vec_id % 50 = 1 AND vec_id > 1 AND vec_id % 100 = 1) e
+    JOIN scc x ON x.id = e.source JOIN scc y ON y.id = e.target AND y.component = x.component GROUP BY 1) a ON a.component = s.component GROUP BY 1""")
+def new_cycles(spark, d):
+    e = fx.cyclic(spark, d)
+    added = e.where("target % 100 = 1 and target > source")
+    return graph.new_cycles(e.join(added, ["source", "target"], "left_anti"), added)
 
 
 @query("dep_metrics", f"""{LEVELS} SELECT count(*) AS n_nodes, (SELECT count(*) FROM req) AS n_edges, max(depth) AS max_depth, round((SELECT count(*) FROM req)::DOUBLE / count(*), 2) AS avg_dependencies, count(*) FILTER (WHERE depth = 0) AS n_leaves FROM depths""")
@@ -393,7 +414,7 @@ def critical_path(spark, d):
 
 @query("bottleneck", f"{REQ} SELECT target AS id, count(*) AS n FROM req GROUP BY 1 ORDER BY n DESC, id LIMIT 1")
 def bottleneck(spark, d):
-    return _req(spark, d).distinct().groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1)
+    return graph.most_needed(_req(spark, d))
 
 
 @query("missing_deps", f"{REQ} SELECT source, target FROM req WHERE target % 17 = 0")
