@@ -227,9 +227,10 @@ def test_substring_dedup(docs, empty):
             if seen[tuple(w[k : k + 35])] > 1:
                 gone[k : k + 35] = [True] * 35
         expected[i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)] += 1
-    got = substring_dedup.substring_dedup(docs, 35).collect()
-    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == expected
-    assert all(sum(s["end"] - s["start"] for s in r.spans) == r.n_removed for r in got)
+    for hot in (substring_dedup.HOT, 2):  # groups settled whole, and taken apart
+        got = substring_dedup.substring_dedup(docs, 35, hot=hot).collect()
+        assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == expected
+        assert all(sum(s["end"] - s["start"] for s in r.spans) == r.n_removed for r in got)
     assert substring_dedup.substring_dedup(empty, 35).count() == 0
 
 
@@ -239,10 +240,37 @@ def test_substring_dedup_repeats_within_a_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words = [WORD.findall(t) for t in texts]
     seen = collections.Counter(tuple(w[k : k + 10]) for w in words for k in range(len(w) - 9))
-    for r in substring_dedup.substring_dedup(df, 10, 4).collect():
-        w = words[r.doc_id]
-        gone = [any(seen[tuple(w[k : k + 10])] > 1 for k in range(max(0, j - 9), min(j, len(w) - 10) + 1)) for j in range(len(w))]
-        assert (r.n_words, r.n_removed) == (len(w), sum(gone))
+    for hot in (substring_dedup.HOT, 3):
+        for r in substring_dedup.substring_dedup(df, 10, 4, hot).collect():
+            w = words[r.doc_id]
+            gone = [any(seen[tuple(w[k : k + 10])] > 1 for k in range(max(0, j - 9), min(j, len(w) - 10) + 1)) for j in range(len(w))]
+            assert (r.n_words, r.n_removed) == (len(w), sum(gone))
+
+
+def test_substring_dedup_of_many_overlapping_passages(spark, monkeypatch):
+    """Random cuts of shared passages among own words: partial matches at both ends, in small batches."""
+    rng = np.random.default_rng(11)
+    shared = [passage(100 + k, 80).split() for k in range(3)]
+    texts = []
+    for k in range(60):
+        w = []
+        for _ in range(3):
+            p = shared[int(rng.integers(0, 3))]
+            a, b = sorted(rng.integers(0, 81, 2))
+            w += [f"own{k}x{x}" for x in rng.integers(0, 50, int(rng.integers(0, 30)))] + p[a:b]
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    words = [t.split() for t in texts]
+    seen = collections.Counter(tuple(w[k : k + 20]) for w in words for k in range(len(w) - 19))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for hot in (substring_dedup.HOT, 4):
+            got = {r.doc_id: r for r in substring_dedup.substring_dedup(df, 20, 5, hot).collect()}
+            for k, w in enumerate(words):
+                gone = [any(seen[tuple(w[i : i + 20])] > 1 for i in range(max(0, j - 19), min(j, len(w) - 20) + 1)) for j in range(len(w))]
+                assert got[k].n_removed == sum(gone) and got[k].kept_text == " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def brute_base(text):

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import public_tokenizers
 import pytest
@@ -125,3 +126,47 @@ def test_held_out_rule(spark):
 
     got = {r.id: r.h for r in spark.range(50).select("id", toxicity.held_out("id").alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
+
+
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, row long, size long, score string, Sid string, d int"
+
+
+def edge_rows():
+    words = " ".join(f"w{k * 7919 % 9973}" for k in range(300))
+    rows = [(1, words, "en", "a"), (2, words + " ", "en", "a"), (3, words.replace("w3", "v3", 2), "en", "b"), (3, words.replace("w3", "v3", 2), "en", "b"), (4, None, None, None), (5, "", "de", "a"), (6, " \t", "de", None)]
+    rows += [(None, "no id here at all but words", "en", "a"), (None, None, None, None), (7, words * 40, "en", "c"), (8, "x" * 60_000, "en", "c"), (9, "one", "en", "a"), (10, "日本 語 é", "ja", "b")]
+    return [(i, t, lang, s, 1, 2, 3, "x", "y", 4) for i, t, lang, s in rows]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_of_edge_cases(spark, tmp_path, name):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names and an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = edge_rows()
+    docs = spark.createDataFrame(rows, EDGE)
+    labels = spark.createDataFrame([(1, 0, 0), (9, 0, 1), (None, 1, 1), (10, None, None), (77, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = stage(spark, docs, str(tmp_path)).collect()
+    ids = collections.Counter(r.doc_id for r in got)
+    every = collections.Counter(r[0] for r in rows)
+    none = stage(spark, docs.limit(0), str(tmp_path))
+    assert none.count() == 0
+    if name != "best_fit_packing":
+        assert none.columns == docs.columns and all(tuple(r) in set(rows) for r in got)
+    if name == "toxicity":
+        assert all(ids[i] in (0, every[i]) for i in every)
+    elif name == "exact_dedup":  # a trailing space tells 1 and 2 apart; null and empty texts are one
+        assert ids == collections.Counter([1, 2, 3, 4, 6, None, 7, 8, 9, 10])
+    elif name == "ngram_jaccard_join":
+        assert all(ids[i] == every[i] for i in (4, 5, 6, 7, 8, 9, 10)) and ids[2] == 0 and ids[1] == 1 and ids[3] == 0 and ids[None] == 2
+    elif name == "mix_sources":
+        assert not {4, 5, 6} & set(ids) and all(n <= 3 * every[i] for i, n in ids.items())
+    else:
+        assert collections.Counter(r.doc_id for r in got if r.piece == 0) == every
+        assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+
+
+def test_stages_of_no_labels(spark, tmp_path):
+    docs = spark.createDataFrame(edge_rows(), EDGE)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
