@@ -93,19 +93,41 @@ def inject(*parts: str | Column) -> Column:
     return F.concat_ws("\n\n", F.filter(F.array(*map(col, parts)), lambda x: x.isNotNull() & (x != "")))
 
 
-#: Patterns of personal data, with the kind that replaces them.
+#: Patterns of personal data by kind, the longer numbers first.
 PERSONAL = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\b1[3-9]\d{9}\b",
+    "id_card": r"\b\d{17}[\dXx]\b",
     "card": r"\b\d{16}\b",
+    "phone": r"\b1[3-9]\d{9}\b",
     "key": r"\bsk-[A-Za-z0-9]{16,}\b",
 }
+#: Characters at the end that a partial mask leaves.
+VISIBLE = {"email": 3, "id_card": 4, "card": 4, "phone": 4, "key": 4}
 
 
-def mask_personal(text: str | Column) -> Column:
+def mask_personal(text: str | Column, mode: str = "redact", kinds: list[str] | None = None) -> Column:
+    """The text with personal data masked; null counts as empty.
+
+    ``redact`` puts ``[kind]`` in its place, ``full`` a star per character,
+    ``partial`` stars but for the last characters, ``hash`` the first 12 digits of
+    its SHA-256.
+    """
     out = F.coalesce(col(text), F.lit(""))
-    for kind, pattern in PERSONAL.items():
-        out = F.regexp_replace(out, pattern, f"[{kind}]")
+    for kind in kinds or PERSONAL:
+        pattern = PERSONAL[kind]
+        if mode == "redact":
+            out = F.regexp_replace(out, pattern, f"[{kind}]")
+            continue
+        shown = VISIBLE[kind]
+        masked = {
+            "full": lambda x: F.repeat(F.lit("*"), F.length(x)),
+            "partial": lambda x: F.concat(F.repeat(F.lit("*"), F.greatest(F.length(x) - shown, F.lit(0))), F.right(x, F.lit(shown))),
+            "hash": lambda x: F.substring(F.sha2(x, 256), 1, 12),
+        }[mode]
+        # The text between hits, and the hits, which stand between them.
+        rest, hits = F.split(out, pattern), F.regexp_extract_all(out, F.lit(f"({pattern})"), 1)
+        pairs = F.zip_with(rest, F.transform(hits, masked), lambda r, h: F.concat(F.coalesce(r, F.lit("")), F.coalesce(h, F.lit(""))))
+        out = F.array_join(pairs, "")
     return out
 
 

@@ -249,6 +249,11 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int, types: list[str]
     return seen.where("start <> id")
 
 
+def partners(edges: DataFrame) -> DataFrame:
+    """(id, other): distinct pairs of nodes that an edge joins, from either end."""
+    return edges.select("source", "target").union(edges.select("target", "source")).toDF("id", "other").distinct()
+
+
 def tree(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, path, depth): every dependency path from the roots (id) up to a depth, without repeats on it."""
     e = edges.select("source", "target").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,51 @@ def normalise_edges(edges: DataFrame) -> DataFrame:
     return out.groupBy("source", "target", "edge_type").agg(F.max("weight").alias("weight"))
 
 
+def update(base: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """base with the rows of ``changes`` put over known keys, and the keys of ``changes`` that aren't known."""
+    known = changes.join(base.select(key), key, "left_semi").select(*base.columns)
+    out = base.join(known.select(key), key, "left_anti").select(*base.columns).unionByName(known)
+    return out, changes.select(key).distinct().join(base.select(key), key, "left_anti")
+
+
+def edge_delete(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those in ``gone`` (source, target, edge_type)."""
+    return edges.join(gone.select("source", "target", "edge_type").distinct(), ["source", "target", "edge_type"], "left_anti").select(*edges.columns)
+
+
+def dangling(edges: DataFrame, skills: DataFrame) -> DataFrame:
+    """(source, target, edge_type, lost): edges with an unknown end; lost is ``source``, ``target`` or ``both``."""
+    ids = skills.select("id")
+    e = edges.select("source", "target", "edge_type").join(ids.select(F.col("id").alias("source"), F.lit(True).alias("s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.lit(True).alias("t")), "target", "left")
+    lost = F.when(F.col("s").isNull() & F.col("t").isNull(), "both").when(F.col("s").isNull(), "source").when(F.col("t").isNull(), "target")
+    return e.select("source", "target", "edge_type", lost.alias("lost")).where("lost is not null")
+
+
+def vector_write(vectors: DataFrame, upserts: DataFrame | None = None, gone: DataFrame | None = None, dim: int | None = None) -> DataFrame:
+    """The vector table (id, vector, ...) after upserts by id and deletions (id); vectors of another length than ``dim`` are left out."""
+    out = vectors
+    if upserts is not None:
+        good = upserts if dim is None else upserts.where(F.size("vector") == dim)
+        out = out.join(good.select("id"), "id", "left_anti").select(*vectors.columns).unionByName(good.select(*vectors.columns).dropDuplicates(["id"]))
+    return out if gone is None else out.join(gone.select("id").distinct(), "id", "left_anti").select(*vectors.columns)
+
+
+#: Fixed value: tries of the first of two writes.
+TRIES = 3
+
+
+def dual_write(writes: DataFrame) -> DataFrame:
+    """(id, op, state, attempts, rolled_back) of ``writes`` (id, op, vector_failures, graph_ok): vectors first, then the graph.
+
+    A vector write that fails ``TRIES`` times ends its row.  Where the graph
+    write fails, a CREATE is undone by deleting its vector; an UPDATE or DELETE
+    has nothing to undo it with and counts as rolled back.
+    """
+    failed = F.col("vector_failures") >= TRIES
+    state = F.when(failed, "vector_failed").when(F.col("graph_ok"), "written").when(F.col("op") == "CREATE", "compensated").otherwise("not_undone")
+    return writes.select("id", "op", state.alias("state"), F.least(F.col("vector_failures") + 1, F.lit(TRIES)).alias("attempts"), (~failed & ~F.col("graph_ok")).alias("rolled_back"))
+
+
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change): created, modified, deleted or unchanged, from two (path, hash) snapshots."""
     joined = old.toDF("path", "was").join(new.toDF("path", "is"), "path", "full_outer")
@@ -71,6 +116,55 @@ def live_entries(log: DataFrame, now: Column) -> DataFrame:
     return last.select("key", "value", left.alias("ttl_seconds")).where("ttl_seconds > 0")
 
 
+def kv_state(log: DataFrame, now: Column) -> DataFrame:
+    """(key, value, ttl_seconds): what a log (key, op, value, ts, seq, ttl_seconds) of set, expire, delete and flush leaves.
+
+    The latest set of a key holds unless it was deleted or all keys were flushed
+    after it; a later expire gives it a new time to live from then on.
+    """
+    at = F.struct("ts", "seq")
+    flush = log.where("op = 'flush'").agg(F.max(at).alias("flushed"))
+    last = log.where("op <> 'flush'").groupBy("key").agg(
+        F.max(F.when(F.col("op") == "set", F.struct(at.alias("at"), "value", "ttl_seconds"))).alias("s"),
+        F.max(F.when(F.col("op") == "delete", at)).alias("d"),
+        F.max(F.when(F.col("op") == "expire", F.struct(at.alias("at"), "ttl_seconds"))).alias("e"),
+    )
+    after = lambda x: F.coalesce(x > F.col("s.at"), F.lit(False))
+    live = last.join(F.broadcast(flush)).where(F.col("s").isNotNull() & ~after(F.col("d")) & ~after(F.col("flushed")))
+    renewed = after(F.col("e.at"))
+    since, ttl = F.when(renewed, F.col("e.at.ts")).otherwise(F.col("s.at.ts")), F.when(renewed, F.col("e.ttl_seconds")).otherwise(F.col("s.ttl_seconds"))
+    left = ttl - (F.unix_seconds(now) - F.unix_seconds(since.cast("timestamp")))
+    return live.select("key", F.col("s.value").alias("value"), left.alias("ttl_seconds")).where("ttl_seconds is null or ttl_seconds > 0")
+
+
+def kv_get(state: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, value, found, ttl_seconds) of each asked key."""
+    return keys.select("key").distinct().join(state.withColumn("found", F.lit(True)), "key", "left").select("key", "value", F.coalesce("found", F.lit(False)).alias("found"), "ttl_seconds")
+
+
+def cached(requests: DataFrame, entries: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """``requests`` (with ``key``) that have a live result in ``entries`` (key, value, ts, seq, ttl_seconds), with it, and those to compute."""
+    live = live_entries(entries, now).select("key", "value")
+    return requests.join(live, "key"), requests.join(live.select("key"), "key", "left_anti")
+
+
+def save_snapshot(snapshot: DataFrame, path: str, version: int) -> None:
+    """Store (path, hash) as version ``version`` under ``path``; a version is whole or absent."""
+    snapshot.select("path", "hash").write.mode("overwrite").json(f"{path.rstrip('/')}/version={version}")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The latest whole version of a stored snapshot; empty without one."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    whole = [int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(place(f"{path.rstrip('/')}/{n}/_SUCCESS"))]
+    if not whole:
+        return spark.createDataFrame([], "path string, hash string")
+    return spark.read.schema("path string, hash string").json(f"{path.rstrip('/')}/version={max(whole)}")
+
+
 def last_turns(turns: DataFrame, n: int) -> DataFrame:
     """(conv_id, history): the last n turns of each session as ``role: text`` lines."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))

@@ -11,7 +11,7 @@ from loomgraph.functions.vectors import clamp, cosine
 from loomgraph.storage import ship
 
 TOP_K, OVER_FETCH, THRESHOLD = 5, 2, 0.3
-#: Bytes of query vectors that are sent to every task; beyond it the join is left to Spark.
+#: Bytes of query vectors that are sent to every task at once.
 QUERY_BYTES = 32 << 20
 
 
@@ -44,20 +44,31 @@ def top_k(requests: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(request_id, id, similarity, rank): the exact k most similar vectors of each request.
 
     Similarities are rounded to six places and ties go to the smaller id.  Query
-    vectors of known small size go to the tasks, which keep the k best of each
-    batch, so only k rows a request and batch are shuffled; otherwise Spark
-    joins both sides and ranks.
+    vectors go to the tasks in blocks of at most ``QUERY_BYTES``, a pass over the
+    vectors each; a task keeps the k best of each batch, so only k rows a request
+    and batch are shuffled.
     """
-    found = requests.selectExpr("count(*) n", "coalesce(max(size(query_vector)), 0) dim").first()
-    ship(vectors.sparkSession)
-    pair = vectors.select("id", "vector")
-    if found["n"] and found["n"] * found["dim"] * 8 <= QUERY_BYTES:
-        rows = requests.select("request_id", "query_vector").collect()
-        queries = np.array([r["query_vector"] for r in rows], dtype=np.float64)
-        kernel = _block(queries, [r["request_id"] for r in rows], k, pa.int64())
-        near = pair.where("vector is not null").mapInArrow(kernel, "request_id long, id long, similarity double")
-    else:
-        near = requests.crossJoin(pair).select("request_id", "id", F.round(cosine("query_vector", "vector"), 6).alias("similarity"))
+    spark = vectors.sparkSession
+    ship(spark)
+    pair = vectors.select("id", "vector").where("vector is not null")
+    near, ids, held, size = None, [], [], 0
+
+    def scan():
+        nonlocal near, ids, held, size
+        kernel = _block(np.array(held, dtype=np.float64), ids, k, pa.int64())
+        found = pair.mapInArrow(kernel, "request_id long, id long, similarity double")
+        near, ids, held, size = found if near is None else near.unionByName(found), [], [], 0
+
+    for r in requests.select("request_id", "query_vector").toLocalIterator():  # a partition at a time
+        ids.append(r["request_id"])
+        held.append(r["query_vector"])
+        size += 8 * len(r["query_vector"])
+        if size >= QUERY_BYTES:
+            scan()
+    if held:
+        scan()
+    if near is None:
+        near = spark.createDataFrame([], "request_id long, id long, similarity double")
     w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -101,7 +112,22 @@ def expand(seeds: DataFrame, edges: DataFrame, skills: DataFrame, vectors_of: Da
     return own.unionByName(hop.select("request_id", F.col("target").alias("id"), similarity.alias("similarity"), F.lit(1).alias("depth"), F.lit(False).alias("is_seed"), "edge_type"))
 
 
-def constrain(pool: DataFrame, skills: DataFrame, excluded: list[int] | None = None, min_reliability: float = 0.5) -> DataFrame:
-    """The pool without excluded skills and those under a success rate."""
-    kept = pool.join(skills.where(F.col("execution_success_rate") >= min_reliability).select("id"), "id", "left_semi")
-    return kept.where(~F.col("id").isin(excluded)) if excluded else kept
+def constrain(pool: DataFrame, skills: DataFrame, excluded: list[int] | None = None, min_reliability: float = 0.5, required: list[int] | None = None, categories: list | None = None) -> DataFrame:
+    """The pool without excluded skills, those under a success rate and those of other categories.
+
+    ``required`` skills (an extension) stay whatever the other rules say, and
+    count as seeds; those that a pool doesn't hold come in with similarity 0.
+    """
+    good = F.col("execution_success_rate") >= min_reliability
+    if categories is not None:
+        good = good & F.col("category").isin(categories)
+    if excluded:
+        good = good & ~F.col("id").isin(excluded)
+    if not required:
+        return pool.join(skills.where(good).select("id"), "id", "left_semi")
+    forced = F.col("id").isin(required)
+    kept = pool.join(skills.where(good | forced).select("id"), "id", "left_semi").withColumn("is_seed", F.col("is_seed") | forced)
+    wanted = pool.select("request_id").distinct().crossJoin(F.broadcast(skills.where(forced).select("id")))  # as many as are named
+    new = wanted.join(pool.select("request_id", "id"), ["request_id", "id"], "left_anti")
+    fixed = {"similarity": F.lit(0.0), "depth": F.lit(0), "is_seed": F.lit(True), "edge_type": F.lit(None).cast("string")}
+    return kept.unionByName(new.select(*(fixed.get(c, F.col(c) if c in ("request_id", "id") else F.lit(None)).alias(c) for c in kept.columns)))

@@ -34,14 +34,41 @@ def audit(events: DataFrame, start: str, end: str, kinds: list[str], size: int,
     return found.orderBy(F.desc("ts"), F.desc("event_id")).offset(page * size).limit(size)
 
 
-def listing(skills: DataFrame, namespace: str | None = None, deprecated: bool | None = None, size: int = 50, page: int = 0) -> DataFrame:
-    """A page of skills by namespace and state, in order of uid."""
+def listing(skills: DataFrame, namespace: str | None = None, deprecated: bool | None = None, size: int = 50, page: int = 0, tag: str | None = None, sort: str = "uid", descending: bool = False) -> DataFrame:
+    """A page of skills by namespace, state and tag, in order of a column and then uid."""
     out = skills
     if namespace is not None:
         out = out.where(F.col("uid").startswith(f"{namespace}:"))
     if deprecated is not None:
         out = out.where(F.col("is_deprecated") == deprecated)
-    return out.orderBy("uid").offset(page * size).limit(size)
+    if tag is not None:
+        out = out.where(F.array_contains("tags", tag))
+    return out.orderBy(F.desc(sort) if descending else F.asc(sort), "uid").offset(page * size).limit(size)
+
+
+def cache_key(kind: str, *parts: Column) -> Column:
+    """``kind:part:part...``; a missing part is empty."""
+    return F.array_join(F.array(F.lit(kind), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), ":")
+
+
+def hit_rate(lookups: DataFrame, group: str, hit: Column) -> DataFrame:
+    """(group, hit_rate): the share of lookups that hit, in percent."""
+    return lookups.groupBy(group).agg(F.round(F.count_if(hit) * 100.0 / F.count("*"), 2).alias("hit_rate"))
+
+
+def counters(increments: DataFrame, key: Column, by: Column) -> DataFrame:
+    """(key, total): increments summed."""
+    return increments.groupBy(key.alias("key")).agg(F.sum(by).alias("total"))
+
+
+def to_records(rows: DataFrame, key: str) -> DataFrame:
+    """(key, value): each row as a JSON record, nulls kept."""
+    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def from_records(records: DataFrame, schema: str) -> DataFrame:
+    """The rows of ``to_records`` again; a value that isn't JSON gives nulls."""
+    return records.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def summaries(results: DataFrame) -> DataFrame:

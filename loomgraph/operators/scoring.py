@@ -13,7 +13,14 @@ ALPHA, BETA, GAMMA = 0.8, 0.1, 0.1
 
 
 def local_edges(pool: DataFrame, edges: DataFrame) -> DataFrame:
-    """(request_id, source, target, edge_type, weight) of edges with both ends in a request's pool."""
+    """(request_id, source, target, edge_type, weight) of edges with both ends in a request's pool.
+
+    ``edges`` may be such a table itself, of a larger pool.
+    """
+    if "request_id" in edges.columns:
+        ends = pool.select("request_id", "id").distinct()
+        out = edges.join(ends.toDF("request_id", "source"), ["request_id", "source"], "left_semi")
+        return out.join(ends.toDF("request_id", "target"), ["request_id", "target"], "left_semi").select("request_id", "source", "target", "edge_type", "weight")
     ids = pool.select("request_id", F.col("id").alias("source"))
     out = ids.join(edges, "source")
     return out.join(pool.select("request_id", F.col("id").alias("target")), ["request_id", "target"], "left_semi").select("request_id", "source", "target", "edge_type", "weight")
@@ -66,12 +73,26 @@ def composite(similarity: Column, centrality: Column, reliability: Column, multi
     return score * (multiplier if multiplier is not None else F.lit(1.0))
 
 
-def score(pool: DataFrame, skills: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """The pool with (pagerank, reliability, category, score); without ``edges`` centrality counts as 0."""
+def enhancement(kept: DataFrame) -> DataFrame:
+    """(request_id, signed, enhancement, improved): mean score of all kept (score, is_seed) less that of the seeds, and what of it is gained."""
+    seed = F.coalesce(F.avg(F.when(F.col("is_seed"), F.col("score"))), F.lit(0.0))
+    gain = F.avg("score") - seed
+    return kept.groupBy("request_id").agg(F.round(gain, 9).alias("signed"), F.round(F.greatest(F.lit(0.0), gain), 9).alias("enhancement"), F.bool_or(~F.col("is_seed")).alias("improved"))
+
+
+def score(pool: DataFrame, skills: DataFrame, edges: DataFrame | None = None, multipliers: dict | None = None) -> DataFrame:
+    """The pool with (pagerank, reliability, category, score); without ``edges`` centrality counts as 0.
+
+    ``multipliers`` are factors by category; others have 1.
+    """
     known = skills.select("id", F.col("execution_success_rate").alias("reliability"), "category")
     out = pool.join(known, "id")
     if edges is None:
         out = out.withColumn("pagerank", F.lit(0.0))
     else:
         out = out.join(pagerank(pool, edges), ["request_id", "id"], "left").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0)))
-    return out.withColumn("score", F.round(composite(F.col("similarity"), F.col("pagerank"), F.col("reliability")), 6))
+    factor = None
+    if multipliers:
+        table = F.create_map(*(F.lit(x) for k, v in multipliers.items() for x in (k, float(v))))
+        factor = F.coalesce(F.try_element_at(table, F.col("category")), F.lit(1.0))
+    return out.withColumn("score", F.round(composite(F.col("similarity"), F.col("pagerank"), F.col("reliability"), factor), 6))

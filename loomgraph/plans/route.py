@@ -8,15 +8,37 @@ from pyspark.sql import functions as F
 from loomgraph.operators.assembly import assemble, cap
 from loomgraph.operators.conflicts import conflict_edges, independent_set
 from loomgraph.operators.retrieval import constrain, expand, recall
-from loomgraph.operators.scoring import score
+from loomgraph.operators.scoring import local_edges, score
 from loomgraph.storage import cut
 
 
-def candidates(requests: DataFrame, skills: DataFrame, edges: DataFrame, centrality: bool = True, min_reliability: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(seeds, scored pool) of each request; both are used several times, so each is computed once."""
+def candidates(requests: DataFrame, skills: DataFrame, edges: DataFrame, centrality: bool = True, min_reliability: float = 0.5, **rules) -> tuple[DataFrame, DataFrame]:
+    """(seeds, scored pool) of each request; both are used several times, so each is computed once.
+
+    ``rules`` go to ``constrain`` (excluded, required, categories) and to
+    ``score`` (multipliers).
+    """
+    multipliers = rules.pop("multipliers", None)
     seeds = cut(recall(requests, skills))
-    pool = constrain(expand(seeds, edges, skills, requests), skills, min_reliability=min_reliability)
-    return seeds, cut(score(cut(pool), skills, edges if centrality else None))
+    pool = constrain(expand(seeds, edges, skills, requests), skills, min_reliability=min_reliability, **rules)
+    return seeds, cut(score(cut(pool) if centrality else pool, skills, edges if centrality else None, multipliers))
+
+
+def quality(pool: DataFrame, kept: DataFrame, edges: DataFrame) -> DataFrame:
+    """(request_id, skill_coverage, dependency_correctness, conflict_resolution) of the kept candidates.
+
+    Shares of the seeds kept (0 without seeds), of the candidates reached over
+    REQUIRES kept, and of the pool's conflicts that are gone (1 without any).
+    """
+    in_ = pool.select("request_id", "id", "is_seed", "edge_type").join(kept.select("request_id", "id", F.lit(True).alias("in")), ["request_id", "id"], "left")
+    seed, need, stays = F.col("is_seed"), F.coalesce(F.col("edge_type") == "REQUIRES", F.lit(False)), F.col("in").isNotNull()
+    share = lambda part, whole, none: F.when(whole > 0, part / whole).otherwise(none)
+    per = in_.groupBy("request_id").agg(share(F.count_if(seed & stays), F.count_if(seed), 0.0).alias("a"), share(F.count_if(need & stays), F.count_if(need), 1.0).alias("b"))
+    clash = conflict_edges(pool, edges)
+    left = conflict_edges(kept, edges).withColumn("left", F.lit(True))
+    gone = clash.join(left, ["request_id", "a", "b"], "left").groupBy("request_id").agg((F.count_if(F.col("left").isNull()) / F.count("*")).alias("c"))
+    out = per.join(gone, "request_id", "left")
+    return out.select("request_id", F.round("a", 6).alias("skill_coverage"), F.round("b", 6).alias("dependency_correctness"), F.round(F.coalesce("c", F.lit(1.0)), 6).alias("conflict_resolution"))
 
 
 def decide(seeds: DataFrame, scored: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,9 +78,15 @@ def vector_only(requests: DataFrame, skills: DataFrame) -> DataFrame:
     return recall(requests, skills).select("request_id", "id", "similarity", F.lit(0.5).alias("confidence"), F.lit(0).cast("long").alias("tokens"))
 
 
-def route(requests: DataFrame, skills: DataFrame, edges: DataFrame, centrality: bool = True) -> DataFrame:
-    """(request_id, mode, ids, used, assembled_text, confidence, ...): the nested response of each request."""
-    seeds, scored = candidates(requests, skills, edges, centrality)
-    selected = decide(seeds, scored, edges)
-    text = assemble(selected.select("request_id", "id"), selected.withColumn("edge_type", F.lit(None).cast("string")), skills, edges)
-    return metrics(selected, seeds, edges).join(text, "request_id", "left")
+def route(requests: DataFrame, skills: DataFrame, edges: DataFrame, centrality: bool = True, **rules) -> DataFrame:
+    """(request_id, mode, ids, used, assembled_text, confidence, ...): the nested response of each request.
+
+    The edges inside each pool are found once; pruning, ordering and counting
+    conflicts read them instead of the whole graph.
+    """
+    seeds, scored = candidates(requests, skills, edges, centrality, **rules)
+    inner = cut(local_edges(scored.select("request_id", "id").union(seeds.select("request_id", "id")).distinct(), edges))
+    selected = decide(seeds, scored, inner)
+    typed = selected.join(scored.select("request_id", "id", "edge_type"), ["request_id", "id"], "left")
+    text = assemble(selected.select("request_id", "id"), typed, skills, inner)
+    return metrics(selected, seeds, inner).join(text, "request_id", "left")

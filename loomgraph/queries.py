@@ -194,13 +194,13 @@ def mwis_violations(spark, d):
     return conflicts.violations(conflicts.independent_set(scored, e), e)
 
 
-@query("enhancement_score", f"""{BASE}, {_mwis(True)} SELECT m.request_id, round(greatest(0, avg(s.score) - coalesce(avg(s.score) FILTER (WHERE s.is_seed), 0)), 6) AS enhancement,
+@query("enhancement_score", f"""{BASE}, {_mwis(True)} SELECT m.request_id, round(avg(s.score) - coalesce(avg(s.score) FILTER (WHERE s.is_seed), 0) + 1e-8, 6) AS signed, round(greatest(0, avg(s.score) - coalesce(avg(s.score) FILTER (WHERE s.is_seed), 0)) + 1e-8, 6) AS enhancement,
     bool_or(NOT s.is_seed) AS improved FROM mwis m JOIN scored s ON s.request_id = m.request_id AND s.id = m.id GROUP BY 1""")
 def enhancement_score(spark, d):
     _, scored, _, e = _scored(spark, d)
-    kept = conflicts.independent_set(scored, e).join(scored, ["request_id", "id"])
-    seed = F.coalesce(F.avg(F.when(F.col("is_seed"), F.col("score"))), F.lit(0.0))
-    return kept.groupBy("request_id").agg(F.round(F.greatest(F.lit(0.0), F.avg("score") - seed), 6).alias("enhancement"), F.bool_or(~F.col("is_seed")).alias("improved"))
+    found = scoring.enhancement(conflicts.independent_set(scored, e).join(scored, ["request_id", "id"]))
+    # Means of six-place scores end in halves of the sixth place: a little more makes both engines round alike.
+    return found.withColumns({c: F.round(F.col(c) + 1e-8, 6) for c in ("signed", "enhancement")})
 
 
 @query("route_confidence", f"""{BASE}, {_mwis(True)} SELECT m.request_id, round(least(1, avg(s.score)), 6) AS confidence, count(*) AS n FROM mwis m JOIN scored s ON s.request_id = m.request_id AND s.id = m.id GROUP BY 1""")
@@ -328,7 +328,7 @@ def neighbors_depth_n(spark, d):
 @query("conflicts_of_node", f"{with_('edges')} SELECT id, count(DISTINCT other) AS n FROM (SELECT source AS id, target AS other FROM edges WHERE edge_type = 'CONFLICTS_WITH' UNION SELECT target, source FROM edges WHERE edge_type = 'CONFLICTS_WITH') GROUP BY 1")
 def conflicts_of_node(spark, d):
     e = fx.edges(spark, d).where("edge_type = 'CONFLICTS_WITH'")
-    return e.select("source", "target").union(e.select("target", "source")).toDF("id", "other").groupBy("id").agg(F.count_distinct("other").alias("n"))
+    return graph.partners(e).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("cycle_nodes", f"{CYC} SELECT id, component FROM scc")
@@ -341,7 +341,7 @@ def cycle_edges(spark, d):
     return graph.cycle_edges(fx.cyclic(spark, d).distinct())
 
 
-@query("cycle_paths")
+@query("cycle_paths", f"{CYC}, closed AS (SELECT s.component, ce.target AS at, s.component || '->' || ce.target AS path FROM scc s JOIN ce ON ce.source = s.id JOIN scc t ON t.id = ce.target AND t.component = s.component WHERE s.id = s.component) SELECT c.component, min(c.path || '->' || c.component) AS path FROM closed c JOIN ce ON ce.source = c.at AND ce.target = c.component GROUP BY 1")
 def cycle_paths(spark, d):
     return graph.cycle_paths(fx.cyclic(spark, d)).select("component", F.array_join(F.transform("path", lambda x: x.cast("string")), "->").alias("path"))
 
@@ -449,11 +449,11 @@ def ewma_deprecation(spark, d):
     return reliability.fold(fx.executions(spark, d)).select("skill_id", "is_deprecated")
 
 
-@query("ewma_batch_update", f"""{EXE}, latest AS (SELECT skill_id, arg_max(ok, (ts, event_id)) AS ok FROM executions WHERE session_id % 3 = 0 GROUP BY 1)
+@query("ewma_batch_update", f"""{EXE}, latest AS (SELECT skill_id, arg_max(ok, (ts, event_id)) AS ok FROM executions GROUP BY 1)
     SELECT e.vec_id AS skill_id, round(greatest(0.1, least(1.0, 0.95::DOUBLE * (1.0::DOUBLE - (e.vec_id % 7) * 0.1::DOUBLE) + (1 - 0.95::DOUBLE) * CASE WHEN coalesce(l.ok, true) THEN 1.0 ELSE 0.0 END)), 6) AS reliability
     FROM embeddings e LEFT JOIN latest l ON l.skill_id = e.vec_id""")
 def ewma_batch_update(spark, d):
-    latest = fx.executions(spark, d).where("session_id % 3 = 0").groupBy("skill_id").agg(F.max_by("ok", F.struct("ts", "event_id")).alias("ok"))
+    latest = fx.executions(spark, d).groupBy("skill_id").agg(F.max_by("ok", F.struct("ts", "event_id")).alias("ok"))
     current = fx.skills(spark, d).select(F.col("id").alias("skill_id"), F.col("execution_success_rate").alias("reliability"))
     return reliability.batch_update(current, latest)
 
@@ -504,7 +504,7 @@ def event_codes(spark, d):
 
 
 @query("latency_percentiles", f"""{EXE} SELECT round(quantile_cont(duration_ms, 0.5), 6) AS p50, round(quantile_cont(duration_ms, 0.9), 6) AS p90, round(quantile_cont(duration_ms, 0.99), 6) AS p99, round(max(duration_ms), 6) AS max_ms,
-    round(avg((NOT ok)::INT), 6) AS error_rate, count(*) AS n FROM executions""")
+    round(avg((NOT ok)::INT), 6) AS error_rate, count(*) AS n, round(count(*) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 1.0), 6) AS per_second FROM executions""")
 def latency_percentiles(spark, d):
     return reliability.latencies(fx.executions(spark, d))
 
@@ -561,7 +561,7 @@ def query_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.query_hash("text").alias("hash"))
 
 
-@query("mask_pii")
+@query("mask_pii", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '\b\d{17}[\dXx]\b', '[id_card]', 'g'), '\b\d{16}\b', '[card]', 'g'), '\b1[3-9]\d{9}\b', '[phone]', 'g'), '\bsk-[A-Za-z0-9]{16,}\b', '[key]', 'g')) AS masked_md5 FROM documents")
 def mask_pii(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.mask_personal("text")).alias("masked_md5"))
 
@@ -869,12 +869,12 @@ def _live(log: DataFrame) -> DataFrame:
 
 @query("cache_hit_rate", "SELECT event_type, round(count(*) FILTER (WHERE value > 50) * 100.0 / count(*), 2)::DOUBLE AS hit_rate FROM events GROUP BY 1")
 def cache_hit_rate(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.count_if(F.col("value") > 50) * 100.0 / F.count("*"), 2).alias("hit_rate"))
+    return runtime.hit_rate(table(spark, d, "events"), "event_type", F.col("value") > 50)
 
 
 @query("counter_increment", "SELECT user_id AS key, sum(event_id % 5)::BIGINT AS total FROM events GROUP BY 1")
 def counter_increment(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.sum(F.expr("event_id % 5")).alias("total"))
+    return runtime.counters(table(spark, d, "events"), F.col("user_id"), F.expr("event_id % 5"))
 
 
 # Further runtime, audit and design-level operators ---------------------------
@@ -962,3 +962,118 @@ def content_strings(spark, d):
 @query("dag_report_text", f"{CYC} SELECT 'invalid' || chr(10) || 'nodes: ' || (SELECT count(*) FROM embeddings) || chr(10) || 'edges: ' || (SELECT count(*) FROM ce) || chr(10) || 'cycles: ' || (SELECT count(DISTINCT component) FROM scc) || chr(10) || 'isolated: ' || (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT source FROM ce UNION SELECT target FROM ce)) AS report")
 def dag_report_text(spark, d):
     return runtime.dag_text(graph.report(fx.cyclic(spark, d), fx.skills(spark, d)))
+
+
+# Writes, caches and records ---------------------------------------------------
+
+
+@query("node_update", f"{with_('skills')} SELECT id, (CASE WHEN id % 6 = 0 THEN 77 ELSE category END)::INT AS category, false AS unknown FROM skills UNION ALL SELECT 9000000 + id, NULL, true FROM skills WHERE id % 60 = 0")
+def node_update(spark, d):
+    s = fx.skills(spark, d).select("id", F.col("category").cast("int").alias("category"))
+    ch = s.where("id % 6 = 0").selectExpr("id", "77 category").unionByName(s.where("id % 60 = 0").selectExpr("9000000 + id id", "1 category"))
+    out, unknown = mutations.update(s, ch, "id")
+    return out.withColumn("unknown", F.lit(False)).unionByName(unknown.selectExpr("id", "cast(null as int) category", "true unknown"))
+
+
+@query("edge_delete", f"{with_('edges')} SELECT source, target, edge_type FROM edges WHERE NOT (edge_type = 'ENHANCES' AND source % 3 = 0)")
+def edge_delete(spark, d):
+    e = fx.edges(spark, d)
+    return mutations.edge_delete(e, e.where("edge_type = 'ENHANCES' and source % 3 = 0")).select("source", "target", "edge_type")
+
+
+@query("edge_dangling", f"{with_('edges')} SELECT source, target, edge_type, CASE WHEN source % 17 = 0 AND target % 17 = 0 THEN 'both' WHEN source % 17 = 0 THEN 'source' ELSE 'target' END AS lost FROM edges WHERE source % 17 = 0 OR target % 17 = 0")
+def edge_dangling(spark, d):
+    return mutations.dangling(fx.edges(spark, d), fx.skills(spark, d).where("not is_deprecated"))
+
+
+@query("vector_write", "SELECT vec_id AS id, len(embedding) AS dim, round(CASE WHEN vec_id % 5 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) + 0 AS x FROM embeddings WHERE vec_id % 7 <> 0")
+def vector_write(spark, d):
+    v = fx.skills(spark, d).select("id", "vector")
+    up = v.where("id % 5 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector"))
+    bad = v.where("id % 11 = 0").select("id", F.slice("vector", 1, 3).alias("vector"))
+    out = mutations.vector_write(v, up.unionByName(bad), v.where("id % 7 = 0"), dim=64)
+    return out.select("id", F.size("vector").cast("long").alias("dim"), (F.round(F.col("vector")[0].cast("double"), 6) + 0.0).alias("x"))
+
+
+@query("dual_write", "SELECT p_partkey AS id, CASE WHEN p_size % 5 >= 3 THEN 'vector_failed' WHEN p_partkey % 4 <> 0 THEN 'written' WHEN p_partkey % 3 = 0 THEN 'compensated' ELSE 'not_undone' END AS state, least(p_size % 5 + 1, 3)::INT AS attempts, p_size % 5 < 3 AND p_partkey % 4 = 0 AS rolled_back FROM part")
+def dual_write(spark, d):
+    w = table(spark, d, "part").selectExpr("p_partkey id", "element_at(array('CREATE', 'UPDATE', 'DELETE'), cast(p_partkey % 3 + 1 as int)) op", "p_size % 5 vector_failures", "p_partkey % 4 <> 0 graph_ok")
+    return mutations.dual_write(w).select("id", "state", "attempts", "rolled_back")
+
+
+KV = """WITH log AS (SELECT user_id AS key, CASE WHEN event_id % 997 = 0 THEN 'flush' WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'purchase' THEN 'expire' ELSE 'set' END AS op, event_id AS value, ts, event_id AS seq FROM events),
+    sets AS (SELECT key, arg_max(value, (ts, seq)) AS value, max((ts, seq)) AS at, max(ts) AS ts FROM log WHERE op = 'set' GROUP BY 1), dels AS (SELECT key, max((ts, seq)) AS at FROM log WHERE op = 'delete' GROUP BY 1),
+    exps AS (SELECT key, max((ts, seq)) AS at, max(ts) AS ts FROM log WHERE op = 'expire' GROUP BY 1), fl AS (SELECT max((ts, seq)) AS at FROM log WHERE op = 'flush'), now AS (SELECT max(ts) AS now FROM events),
+    state AS (SELECT s.key, s.value, (CASE WHEN x.at > s.at THEN 1728000 - (epoch_us(now) // 1000000 - epoch_us(x.ts) // 1000000) ELSE 864000 - (epoch_us(now) // 1000000 - epoch_us(s.ts) // 1000000) END)::BIGINT AS ttl_seconds
+        FROM sets s LEFT JOIN dels q ON q.key = s.key LEFT JOIN exps x ON x.key = s.key CROSS JOIN fl CROSS JOIN now WHERE NOT coalesce(q.at > s.at, false) AND NOT coalesce(fl.at > s.at, false)), live AS (SELECT * FROM state WHERE ttl_seconds > 0)"""
+
+
+def _kv(spark, d):
+    e = table(spark, d, "events")
+    op = "case when event_id % 997 = 0 then 'flush' when event_type = 'error' then 'delete' when event_type = 'purchase' then 'expire' else 'set' end"
+    log = e.selectExpr("user_id key", f"{op} op", "event_id value", "cast(ts as timestamp) ts", "event_id seq", f"case when {op} = 'expire' then 1728000L else 864000L end ttl_seconds")
+    return mutations.kv_state(log, F.lit(e.agg(F.max("ts").cast("timestamp")).first()[0]))
+
+
+@query("kv_state", f"{KV} SELECT key, value, ttl_seconds FROM live")
+def kv_state(spark, d):
+    return _kv(spark, d)
+
+
+@query("kv_get", f"{KV} SELECT k.key, l.value, l.key IS NOT NULL AS found, l.ttl_seconds FROM (SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey % 2 = 0) k LEFT JOIN live l ON l.key = k.key")
+def kv_get(spark, d):
+    return mutations.kv_get(_kv(spark, d), table(spark, d, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey key"))
+
+
+@query("result_cache", """SELECT doc_id, 'route:' || left(sha256(text), 16) || ':' || 4096 AS key, doc_id % 3 = 0 AS hit FROM documents WHERE text IS NOT NULL AND text IN (SELECT text FROM documents GROUP BY 1 HAVING count(*) = 1)""")
+def result_cache(spark, d):
+    docs = table(spark, d, "documents")
+    once = docs.where("text is not null").join(docs.groupBy("text").agg(F.count("*").alias("n")).where("n = 1").select("text"), "text", "left_semi")
+    keyed = once.select("doc_id", runtime.cache_key("route", tx.query_hash("text"), F.lit(4096)).alias("key"))
+    now = F.timestamp_seconds(F.lit(1000))
+    entries = keyed.select("key", F.lit("x").alias("value"), F.timestamp_seconds(F.when(F.col("doc_id") % 3 == 0, 900).otherwise(100)).alias("ts"), F.col("doc_id").alias("seq"), F.lit(600).alias("ttl_seconds"))
+    hits, misses = mutations.cached(keyed, entries, now)
+    return hits.select("doc_id", "key", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", "key", F.lit(False).alias("hit")))
+
+
+@query("json_records", "SELECT event_id, user_id, event_type, value FROM events")
+def json_records(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return runtime.from_records(runtime.to_records(e, "event_id"), "event_id long, user_id long, event_type string, value double")
+
+
+@query("skill_listing_by_tag", f"{with_('skills')} SELECT id, category FROM skills WHERE id % 4 = 1 ORDER BY category DESC, uid LIMIT 15 OFFSET 15")
+def skill_listing_by_tag(spark, d):
+    s = fx.skills(spark, d).withColumn("tags", F.expr("array(concat('t', id % 4), 'all')"))
+    return runtime.listing(s, size=15, page=1, tag="t1", sort="category", descending=True).select("id", "category")
+
+
+@query("mask_partial", r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '\b[0-9]{12}([0-9]{4})\b', '************\1', 'g')) AS masked_md5 FROM documents")
+def mask_partial(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.mask_personal("text", "partial", ["card"])).alias("masked_md5"))
+
+
+# Routing rules and quality -----------------------------------------------------
+
+
+@query("constraint_required", f"""{BASE}, {POOL}, ok AS (SELECT id FROM skills WHERE execution_success_rate >= 0.5 AND category <= 5 AND id NOT IN (1, 2, 3)), named AS (SELECT id FROM skills WHERE id IN (5, 40)),
+    every AS (SELECT request_id, id, similarity, is_seed OR id IN (5, 40) AS is_seed FROM pool WHERE id IN (SELECT id FROM ok UNION SELECT id FROM named) UNION ALL SELECT DISTINCT p.request_id, n.id, 0.0, true FROM pool p, named n WHERE NOT EXISTS (SELECT 1 FROM pool q WHERE q.request_id = p.request_id AND q.id = n.id))
+    SELECT request_id, id, round(similarity, 6)::DOUBLE AS similarity, is_seed FROM every""")
+def constraint_required(spark, d):
+    r, s, e = _inputs(spark, d)
+    pool = retrieval.expand(retrieval.recall(r, s), e, s, r)
+    return retrieval.constrain(pool, s, [1, 2, 3], required=[5, 40], categories=list(range(6))).select("request_id", "id", "similarity", "is_seed")
+
+
+@query("score_multiplied", f"{BASE}, {SCORED} SELECT p.request_id, p.id, round((0.8 * p.similarity + 0.1 * p.reliability) * CASE s.category WHEN 3 THEN 0.5 WHEN 4 THEN 1.5 ELSE 1.0 END, 6) AS score FROM scored p JOIN skills s ON s.id = p.id")
+def score_multiplied(spark, d):
+    r, s, e = _inputs(spark, d)
+    return routing.candidates(r, s, e, centrality=False, multipliers={3: 0.5, 4: 1.5})[1].select("request_id", "id", "score")
+
+
+@query("route_quality", f"""{BASE}, {_mwis(True)}, per AS (SELECT s.request_id, count(*) FILTER (WHERE is_seed) AS ns, count(*) FILTER (WHERE is_seed AND m.id IS NOT NULL) AS ks, count(*) FILTER (WHERE edge_type = 'REQUIRES') AS nr, count(*) FILTER (WHERE edge_type = 'REQUIRES' AND m.id IS NOT NULL) AS kr
+        FROM scored s LEFT JOIN mwis m ON m.request_id = s.request_id AND m.id = s.id GROUP BY 1), cl AS (SELECT c.request_id, count(*) AS t, count(*) FILTER (WHERE x.id IS NOT NULL AND y.id IS NOT NULL) AS l FROM clash c LEFT JOIN mwis x ON x.request_id = c.request_id AND x.id = c.a LEFT JOIN mwis y ON y.request_id = c.request_id AND y.id = c.b GROUP BY 1)
+    SELECT p.request_id, round(CASE WHEN ns > 0 THEN ks / ns ELSE 0.0 END, 6) AS skill_coverage, round(CASE WHEN nr > 0 THEN kr / nr ELSE 1.0 END, 6) AS dependency_correctness, round(coalesce((t - l) / t, 1.0), 6) AS conflict_resolution FROM per p LEFT JOIN cl c ON c.request_id = p.request_id""")
+def route_quality(spark, d):
+    _, scored, _, e = _scored(spark, d)
+    return routing.quality(scored, conflicts.independent_set(scored, e), e)

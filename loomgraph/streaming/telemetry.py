@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -95,3 +95,66 @@ def stream_debounce(events: DataFrame, seconds: float = 0.5) -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and failures per tumbling window, late ones dropped beyond the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failures")).select(F.col("window.start").alias("start"), "n", "failures")
+
+
+EVENT = "event_id long, trace_id string, event_type string, ts timestamp, fields map<string,string>"
+
+
+def prepared(events: DataFrame) -> DataFrame:
+    """(key, value) of sampled events (see EVENT), sensitive fields filtered, as JSON records with their code; batch or stream."""
+    kept = sampled(events, "event_id", "event_type").withColumn("fields", redact("fields")).withColumn("code", event_code(F.col("event_type")))
+    return kept.select(F.col("trace_id").alias("key"), F.to_json(F.struct("event_id", "trace_id", "event_type", "code", "ts", "fields")).alias("value"))
+
+
+def flush(records: DataFrame, path: str, checkpoint: str, sink: str = "parquet", once: bool = False, seconds: int = 10, **options: str):
+    """Write a stream of (key, value) to a sink (parquet, json, or kafka with its options); the query that runs.
+
+    A micro-batch is the buffer: every ``seconds``, or all there is when
+    ``once``.  The checkpoint makes a restart go on where the last batch ended, so
+    a record reaches file sinks exactly once and Kafka at least once.
+    """
+    writer = records.writeStream.format(sink).outputMode("append").option("checkpointLocation", checkpoint)
+    for k, v in options.items():
+        writer = writer.option(k.replace("_", "."), v)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")
+    return writer.start() if sink == "kafka" else writer.start(path)
+
+
+def dispatch(messages: DataFrame, handlers: dict, checkpoint: str, once: bool = False):
+    """Give each micro-batch's messages (event_type, ...) to the handler of their type (a function of a DataFrame); others go to ``None``'s, if any."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df = df.persist()
+        try:
+            for kind, handle in handlers.items():
+                handle(df.where(F.col("event_type") == kind) if kind is not None else df.where(~F.col("event_type").isin([k for k in handlers if k is not None]) | F.col("event_type").isNull()))
+        finally:
+            df.unpersist()
+
+    writer = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def stream_files(spark: SparkSession, path: str, known: str, checkpoint: str, handle, name: str = "*.md", once: bool = False):
+    """Watch a folder: each micro-batch of new or rewritten files is compared with the snapshot stored under ``known``.
+
+    ``handle`` gets (path, kind) with kind created, modified or deleted; the
+    snapshot is stored anew after it, so events of a batch that fails come again.
+    A file source tells of new files alone, so a batch reads the folder's names
+    and hashes whole; that is also how deletions are seen.
+    """
+    from loomgraph.operators.mutations import file_changes, load_snapshot, save_snapshot
+
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", name).load(path).select("path")
+
+    def batch(df: DataFrame, number: int) -> None:
+        files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", name).load(path)
+        now = files.select("path", F.md5("content").alias("hash")).persist()
+        try:
+            handle(file_changes(load_snapshot(df.sparkSession, known), now).where("change <> 'unchanged'").select("path", F.col("change").alias("kind")))
+            save_snapshot(now, known, number)
+        finally:
+            now.unpersist()
+
+    writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,7 +1,10 @@
 """Golden values, properties and streams of the routing engine."""
 
 import datetime as dt
+import hashlib
+import json
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,3 +147,101 @@ def test_permission_conflicts_cover_every_owner(spark, monkeypatch):
                 want.append((i, j, kinds[frozenset((a, b))], p, q))
     got = [tuple(r) for r in engine.permission_conflicts(spark, "").select("id_a", "id_b", "type", "permission_a", "permission_b").collect()]
     assert sorted(got) == sorted(want) and len(want) == 5
+
+
+def test_masks(spark):
+    rows = spark.createDataFrame([("a 3163220311217393 b me@x.org\nc 3163220311217394", None), (None, None)], "t string, u string")
+    got = rows.select(tx.mask_personal("t", "partial").alias("p"), tx.mask_personal("t", "full", ["card"]).alias("f"), tx.mask_personal("t", "hash", ["email"]).alias("h"), tx.mask_personal("t").alias("r")).collect()
+    assert got[0].p == "a ************7393 b *****org\nc ************7394" and got[0].f.count("*") == 32 and got[0].r == "a [card] b [email]\nc [card]"
+    assert got[0].h == "a 3163220311217393 b " + hashlib.sha256(b"me@x.org").hexdigest()[:12] + "\nc 3163220311217394" and tuple(got[1]) == ("", "", "", "")
+
+
+def test_snapshots_are_stored_whole(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    assert mutations.load_snapshot(spark, path).count() == 0
+    for k, rows in enumerate([[("a", "1")], [("a", "2"), ("b", "3")]]):
+        mutations.save_snapshot(spark.createDataFrame(rows, "path string, hash string"), path, k)
+    (tmp_path / "snap" / "version=7").mkdir()  # left by a lost driver
+    assert sorted(map(tuple, mutations.load_snapshot(spark, path).collect())) == [("a", "2"), ("b", "3")]
+
+
+def test_telemetry_stream_reaches_its_sink_once(spark, tmp_path):
+    rows = [(k, f"t{k % 3}", kind, {"password": "x", "note": "y"}) for k, kind in enumerate(["SKILL_CALLED", "SKILL_FAILED", "SKILL_SUCCESS"] * 40)]
+    events = spark.createDataFrame(rows, "event_id long, trace_id string, event_type string, fields map<string,string>").withColumn("ts", F.timestamp_seconds("event_id"))
+    events = events.select("event_id", "trace_id", "event_type", "ts", "fields")
+    events.where("event_id < 60").write.parquet(str(tmp_path / "in"))
+    stream = lambda: telemetry.prepared(spark.readStream.schema(telemetry.EVENT).parquet(str(tmp_path / "in")))
+    for _ in range(2):  # a second start goes on after the first
+        telemetry.flush(stream(), str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination()
+        events.where("event_id >= 60").write.mode("append").parquet(str(tmp_path / "in")) if _ == 0 else None
+    got = [json.loads(r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    want = {r.event_id for r in telemetry.sampled(events, "event_id", "event_type").collect()}
+    assert sorted(g["event_id"] for g in got) == sorted(want) and 80 <= len(want) < 120
+    assert all(g["fields"] == {"password": "[FILTERED]", "note": "y"} and g["code"] in ("E001", "E002", "E003") for g in got)
+
+
+def test_messages_go_to_the_handlers_of_their_types(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("a", 4)], "event_type string, n long").write.parquet(str(tmp_path / "in"))
+    seen = {}
+    take = lambda name: lambda df: seen.setdefault(name, []).extend(r.n for r in df.collect())
+    stream = spark.readStream.schema("event_type string, n long").parquet(str(tmp_path / "in"))
+    telemetry.dispatch(stream, {"a": take("a"), None: take("rest")}, str(tmp_path / "check"), once=True).awaitTermination()
+    assert {k: sorted(v) for k, v in seen.items()} == {"a": [1, 4], "rest": [2, 3]}
+
+
+def test_file_events_of_a_watched_folder(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    seen = []
+
+    def run():
+        handle = lambda df: seen.extend(tuple((r.path.rsplit("/", 1)[-1], r.kind)) for r in df.collect())
+        telemetry.stream_files(spark, str(folder), str(tmp_path / "known"), str(tmp_path / "check"), handle, once=True).awaitTermination()
+
+    (folder / "a.md").write_text("1")
+    (folder / "b.md").write_text("1")
+    run()
+    assert sorted(seen) == [("a.md", "created"), ("b.md", "created")]
+    seen.clear()
+    (folder / "b.md").unlink()
+    (folder / "c.md").write_text("3")
+    run()
+    assert sorted(seen) == [("b.md", "deleted"), ("c.md", "created")]
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), [float(x) for x in rng.normal(size=4)]) for k in range(40)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    requests = vectors.where("id < 9").toDF("request_id", "query_vector")
+    whole = sorted(map(tuple, retrieval.top_k(requests, vectors, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 64)
+    assert sorted(map(tuple, retrieval.top_k(requests, vectors, 3).collect())) == whole and len(whole) == 27
+    assert retrieval.top_k(requests.limit(0), vectors, 3).count() == 0
+
+
+def test_graphs_without_order(spark):
+    """Components, depths and searches against brute force on random graphs."""
+    rng = np.random.default_rng(5)
+    for n, m in ((12, 18), (30, 34)):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))})
+        e = spark.createDataFrame(pairs, "source long, target long")
+        reach = {(a, b) for a, b in pairs}
+        while True:
+            more = reach | {(a, d) for a, b in reach for c, d in pairs if b == c}
+            if more == reach:
+                break
+            reach = more
+        mates = {a: {b for b in range(n) if b != a and (a, b) in reach and (b, a) in reach} for a in range(n)}
+        assert {r.id: r.component for r in graph.components(e).collect()} == {a: min(a, *s) for a, s in mates.items() if s}
+        loops = {a for a in range(n) if (a, a) in reach}
+        bad = loops | {a for a, b in reach if b in loops}
+        depth = {r.id: r.depth for r in graph.peel(e)[0].collect()}
+
+        def longest(a):
+            return max((1 + longest(c) for b, c in pairs if b == a), default=0)
+
+        assert depth == {a: longest(a) for a in {a for a, _ in pairs} - bad}
+        asked = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (25, 2))})
+        got = {(r.source, r.target): r.creates_cycle for r in graph.would_cycle(e, spark.createDataFrame(asked, "source long, target long")).collect()}
+        assert got == {(a, b): a == b or (b, a) in reach for a, b in asked}
