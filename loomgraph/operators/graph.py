@@ -70,15 +70,27 @@ def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return depth, left
 
 
-def _turned(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+def core(edges: DataFrame) -> DataFrame:
+    """The edges on or between cycles: those that stay when nodes without a way in or out are taken off again and again."""
+    left = cut(edges.select("source", "target").distinct())
+    n = left.count()
+    while n:
+        step = left
+        for _ in range(ROUNDS):
+            step = step.join(step.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+            step = step.join(step.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target")
+        left = cut(step)
+        m = left.count()
+        if m == n:
+            break
+        n = m
+    return left
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): nodes on cycles with the smallest node of their strongly connected component.
 
-    Peeling from both ends leaves what lies on or between cycles.  There each
-    node takes the smallest node that reaches it as its colour; the nodes of a
+    In the ``core`` each node takes the smallest node that reaches it as its colour; the nodes of a
     colour that reach back to that smallest node are its component.  What is left
     goes round again.  No table exceeds the edges; a self-edge alone is not a
     cycle here.
@@ -86,8 +98,7 @@ def components(edges: DataFrame) -> DataFrame:
     rest = edges.where("source <> target")
     done = None
     while True:
-        rest = _turned(peel(_turned(peel(rest)[1]))[1])
-        rest = cut(rest)
+        rest = core(rest)
         if rest.isEmpty():
             return done if done is not None else rest.select(F.col("source").alias("id"), F.col("target").alias("component"))
         colour = cut(nodes(rest).withColumn("c", F.col("id")))

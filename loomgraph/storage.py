@@ -1,8 +1,10 @@
-"""Where iterative plans cut their lineage: checkpoints in a folder that all executors share."""
+"""Where iterative plans cut their lineage: tables in a folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -21,24 +23,33 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
-    where = Path(tempfile.mkdtemp(prefix="loomgraph-ship-")) / "loomgraph_code.zip"
+    made = Path(tempfile.mkdtemp(prefix="loomgraph-ship-"))
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    where = made / "loomgraph_code.zip"
     where.write_bytes(packed.getvalue())
     sc.addPyFile(str(where))  # read by the driver only, which serves it to the executors
     sc._loomgraph_shipped = True
 
 
-def prepare(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; where unset, a folder of our own on a local master only."""
+def folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where unset, one of our own on a local master only."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not sc.master.startswith("local["):
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints/loomgraph-{uuid.uuid4().hex}")
+    own = getattr(sc, "_loomgraph_cuts", None)
+    if own is None:
+        own = sc._loomgraph_cuts = f"file:{tempfile.gettempdir()}/checkpoints/loomgraph-{uuid.uuid4().hex}"
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder."""
-    prepare(df.sparkSession)
-    return df.checkpoint()
+    """df, written to the checkpoint folder and read back, which computes it once; deleted when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
