@@ -262,16 +262,30 @@ def route_mode(spark, d):
     return routing.decide(seeds, scored, e).select("request_id", "mode").distinct()
 
 
-@query("route_selected")
+_ITEM = "{'similarity': similarity, 'id': id, 'is_seed': is_seed, 'score': score}"
+SELECTED = DECIDED + f""", so AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS k FROM surv),
+    pushed AS (SELECT request_id, similarity, {_ITEM} AS x, row_number() OVER (PARTITION BY request_id ORDER BY k) AS p FROM so WHERE k > 5 AND is_seed),
+    capping AS (SELECT request_id, 0::BIGINT AS p, list({_ITEM}) AS t FROM so WHERE k <= 5 GROUP BY 1
+        UNION ALL SELECT request_id, p, CASE WHEN len(weaker) = 0 THEN t ELSE list_append(list_filter(t, lambda y: y.id <> least_id), x) END
+        FROM (SELECT *, weaker[1].id AS least_id FROM (SELECT c.request_id, u.p, c.t, u.x, list_sort(list_filter(c.t, lambda y: NOT y.is_seed AND y.similarity < u.similarity)) AS weaker FROM capping c JOIN pushed u ON u.request_id = c.request_id AND u.p = c.p + 1))),
+    capped AS (SELECT c.request_id, unnest(c.t) AS x FROM capping c JOIN (SELECT request_id, max(p) AS p FROM capping GROUP BY 1) m ON m.request_id = c.request_id AND m.p = c.p),
+    selected AS (SELECT c.request_id, x.id AS id, x.similarity AS similarity, x.is_seed AS is_seed, x.score AS score, 'enhanced' AS mode FROM capped c JOIN flags f ON f.request_id = c.request_id WHERE improved
+        UNION ALL SELECT z.request_id, z.id, z.similarity, true, z.similarity, 'baseline' FROM seeds z JOIN flags f ON f.request_id = z.request_id WHERE NOT improved)"""
+
+
+@query("route_selected", f"{SELECTED} SELECT request_id, id, similarity, is_seed, score, mode FROM selected")
 def route_selected(spark, d):
     seeds, scored, _, e = _scored(spark, d)
     return routing.decide(seeds, scored, e)
 
 
-@query("route_metrics")
+@query("route_metrics", f"""{SELECTED}, left_over AS (SELECT request_id, count(*) AS n FROM (SELECT DISTINCT p.request_id, least(e.source, e.target) AS a, greatest(e.source, e.target) AS b FROM edges e JOIN selected p ON p.id = e.source JOIN selected q ON q.id = e.target AND q.request_id = p.request_id
+        WHERE e.edge_type IN ('CONFLICTS_WITH', 'SUBSTITUTES') AND e.source <> e.target) GROUP BY 1), per AS (SELECT request_id, any_value(mode) AS mode, count(*) AS n_selected, count(*) FILTER (WHERE is_seed) AS n FROM selected GROUP BY 1)
+    SELECT z.request_id, p.mode, coalesce(n_selected, 0) AS n_selected, round(coalesce(p.n, 0) / z.n, 6) AS seed_coverage, coalesce(l.n, 0) AS n_conflicts FROM (SELECT request_id, count(*) AS n FROM seeds GROUP BY 1) z LEFT JOIN per p ON p.request_id = z.request_id LEFT JOIN left_over l ON l.request_id = z.request_id""")
 def route_metrics(spark, d):
+    """Without the confidence, which ``route_confidence`` compares."""
     seeds, scored, _, e = _scored(spark, d)
-    return routing.metrics(routing.decide(seeds, scored, e), seeds, e)
+    return routing.metrics(routing.decide(seeds, scored, e), seeds, e).drop("confidence")
 
 
 @query("route_full")
