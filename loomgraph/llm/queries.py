@@ -18,7 +18,7 @@ from loomgraph.llm.packing import pack
 from loomgraph.llm.rollups import TokenRollup, changes, count_tokens
 from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.toxicity import held_out, toxicity_scores, train
-from loomgraph.llm.warc import round_trip
+from loomgraph.llm.warc import base32_sha1, round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the assembled captures: a response's of the payload in its row, a revisit's of its response's."""
     found = round_trip(table(spark, sf_dir, "pages"))
+    payload = F.col("response.payload")
     return found.select(
         F.col("response.page_id").alias("page_id"),
-        "payload_bytes",
-        "payload_digest",
+        F.coalesce(F.length(payload).cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
+        F.coalesce(base32_sha1(payload), F.col("payload_digest")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         "refers_to",
         F.col("request.record_id").isNotNull().alias("has_request"),
@@ -87,8 +89,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
-    return packed.drop("ids")
+    """Places and digests of the packed pieces, whose ids the operator gives too."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm._shared import materialise, new_path, ship
+from loomgraph.llm._shared import materialise, new_path, scrap, ship
 
 END = "\r\n\r\n"
 #: Payload bytes of one archive file, about; a single larger record is a file's own.
@@ -232,12 +232,29 @@ def resolve_revisits(found: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, with_payload: bool = False) -> DataFrame:
+def attach_payloads(found: DataFrame, records: DataFrame) -> DataFrame:
+    """``found`` (see ``assemble``) with the payload of each response in ``response.payload``.
+
+    Captures are put together from narrow records; payloads move in this one
+    join, to the place of their record, so a payload that many captures revisit
+    is met once.
+    """
+    own = records.where("type = 'response'").select(F.col("file").alias("f"), F.col("place").alias("o"), F.col("payload").alias("body"))
+    joined = found.hint("shuffle_hash").join(own, (F.col("response.file") == F.col("f")) & (F.col("response.place") == F.col("o")), "left")
+    return joined.withColumn("response", F.col("response").withField("payload", F.col("body"))).select(*found.columns)
+
+
+def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, with_payload: bool = True) -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back and assemble the captures.
 
-    An empty table gives an empty result; other columns of ``pages`` are ignored.
+    Null html is an empty payload, a null url an empty one and a null page_id is
+    left out of its headers; repeated rows are captures of their own that revisit
+    one of them; a very long page is an archive's record like others.  An empty
+    table gives an empty result; other columns of ``pages`` are ignored.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, min_revisit_bytes)
-    return resolve_revisits(assemble(read_archives(spark, path, with_payload)))
+    scrap(spark)
+    found = resolve_revisits(assemble(read_archives(spark, path, False)))
+    return attach_payloads(found, read_archives(spark, path)) if with_payload else found
