@@ -212,7 +212,8 @@ def license_labels(docs: DataFrame) -> DataFrame:
     """The summary columns of ``license_scan``: places, labels and a score of 0 to 1.
 
     The score grows with the evidence: n / (n + 1) for the n words of the longest
-    match, 0 without one.
+    match, 0 without one.  Texts without words have no places, empty labels and
+    score 0; nulls, repeated rows and empty tables are as in ``license_scan``.
     """
     m = license_scan(docs)
     base = F.filter("matches", lambda x: x["kind"] == "base")

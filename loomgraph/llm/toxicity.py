@@ -274,7 +274,11 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "score_") -> DataFrame:
-    """``docs`` with all its columns and the score of its text as column ``name``."""
+    """``docs`` with all its columns and the score of its text as column ``name``.
+
+    Null texts score as empty ones do and stay null, repeated rows score alike,
+    an empty table stays empty; ``name`` must not be a column yet.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_score(shared, name, True), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

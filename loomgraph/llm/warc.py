@@ -80,7 +80,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
 
     Requests and metadata name the response in WARC-Concurrent-To.  A revisit
     has no block and names the record it repeats in WARC-Refers-To.  The files
-    are gzipped; their number follows the payload bytes.
+    are gzipped; their number follows the payload bytes.  Nulls are empty payloads
+    and urls, and absent page ids; repeated rows are records of their own; an
+    empty table writes no records; other columns are ignored.
     """
     spark = pages.sparkSession
     rows, repeated = captures(pages, min_revisit_bytes)
@@ -178,7 +180,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     """A row per record of the archives under ``path`` (gzipped or plain); see RECORDS.
 
     ``payload_bytes`` and, for responses, ``digest`` are computed from the bytes
-    read; ``payload`` itself is left null without ``with_payload``.
+    read; ``payload`` itself is left null without ``with_payload``.  A file is
+    read whole by one task, a record leaves as it is met; headers that are absent
+    are null; no files give no rows; a file that isn't a WARC or ends within a
+    record is an error.
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,txt,warc}").load(path).select("path", "content")
@@ -193,7 +198,9 @@ def assemble(records: DataFrame) -> DataFrame:
     record id, or null; ``metadata`` an array in order of record id, empty if
     there are none.  Records that name no known capture form no row.  A record id
     met again counts once, that with the smallest (file, place).  Every capture
-    has few records, so groups stay small whatever the payloads repeat.
+    has few records, so groups stay small whatever the payloads repeat.  Records
+    without an id or names are in no row; no records give no rows; other columns
+    are ignored.
     """
     record = F.struct("file", "place", "type", "record_id", "refers_to", "uri", "page_id", "digest", "fields", "http_head", "payload", "payload_bytes")
     capture = F.when(F.col("type").isin("response", "revisit"), F.array("record_id")).when(F.col("type").isin("request", "metadata"), F.col("concurrent_to"))
