@@ -73,6 +73,25 @@ def char_tokens(text: str | Column) -> Column:
     return F.floor(F.length(F.coalesce(col(text), F.lit(""))) / 4).cast("int")
 
 
+def bpe_tokens(text: str | Column, vocabulary: str) -> Column:
+    """The ids that the tokenizer of a vocabulary file makes of a text, counted; 0 for null and empty texts.
+
+    The file is read by the tasks, so its path must be known to all executors.
+    """
+
+    def count(texts):
+        import pyarrow as pa
+        from tokenizers import Tokenizer
+
+        if vocabulary not in made:
+            made[vocabulary] = Tokenizer.from_file(vocabulary)
+        found = made[vocabulary].encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        return pa.array([len(x.ids) for x in found], pa.int64())
+
+    made: dict = {}
+    return F.arrow_udf(count, "long")(col(text))
+
+
 def query_hash(text: str | Column) -> Column:
     return F.substring(F.sha2(col(text), 256), 1, 16)
 

@@ -66,6 +66,21 @@ def fold(events: DataFrame, initial: float = 1.0, alpha: float = ALPHA, floor: f
     return g.select("skill_id", "n_events", F.round(F.element_at("p", -1)["s"]["r"], 6).alias("reliability"), flag.alias("is_deprecated"))
 
 
+#: Fixed value: the reason of a deprecation by reliability.
+REASON = "low_reliability"
+
+
+def deprecation_writes(skills: DataFrame, folded: DataFrame) -> DataFrame:
+    """(skill_id, is_deprecated, deprecation_reason, deprecation_reliability): the skills whose state changes after ``fold``.
+
+    ``skills`` (id, is_deprecated); a skill that recovers loses its reason.
+    """
+    now = folded.select(F.col("skill_id"), F.col("is_deprecated").alias("now"), "reliability")
+    changed = skills.select(F.col("id").alias("skill_id"), "is_deprecated").join(now, "skill_id").where(F.col("now") != F.coalesce("is_deprecated", F.lit(False)))
+    why = lambda x: F.when(F.col("now"), x)
+    return changed.select("skill_id", F.col("now").alias("is_deprecated"), why(F.lit(REASON)).alias("deprecation_reason"), why(F.col("reliability")).alias("deprecation_reliability"))
+
+
 def batch_update(current: DataFrame, results: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """One step for every (skill_id, reliability); a skill without a result counts as success."""
     out = current.join(results.select("skill_id", "ok"), "skill_id", "left")

@@ -463,6 +463,11 @@ def ewma_deprecation(spark, d):
     return reliability.fold(fx.executions(spark, d)).select("skill_id", "is_deprecated")
 
 
+@query("deprecation_writes", f"{FOLDED} SELECT f.skill_id, f.is_deprecated, CASE WHEN f.is_deprecated THEN 'low_reliability' END AS deprecation_reason, CASE WHEN f.is_deprecated THEN f.reliability END AS deprecation_reliability FROM folded f WHERE f.is_deprecated <> (f.skill_id % 17 = 0)")
+def deprecation_writes(spark, d):
+    return reliability.deprecation_writes(fx.skills(spark, d), reliability.fold(fx.executions(spark, d)))
+
+
 @query("ewma_batch_update", f"""{EXE}, latest AS (SELECT skill_id, arg_max(ok, (ts, event_id)) AS ok FROM executions GROUP BY 1)
     SELECT e.vec_id AS skill_id, round(greatest(0.1, least(1.0, 0.95::DOUBLE * (1.0::DOUBLE - (e.vec_id % 7) * 0.1::DOUBLE) + (1 - 0.95::DOUBLE) * CASE WHEN coalesce(l.ok, true) THEN 1.0 ELSE 0.0 END)), 6) AS reliability
     FROM embeddings e LEFT JOIN latest l ON l.skill_id = e.vec_id""")

@@ -245,3 +245,19 @@ def test_graphs_without_order(spark):
         asked = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (25, 2))})
         got = {(r.source, r.target): r.creates_cycle for r in graph.would_cycle(e, spark.createDataFrame(asked, "source long, target long")).collect()}
         assert got == {(a, b): a == b or (b, a) in reach for a, b in asked}
+
+
+def test_bpe_tokens(spark):
+    vocabularies = pytest.importorskip("public_tokenizers")
+    path = vocabularies.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    texts = ["push the branch", "", None, "größer 日本"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", tx.bpe_tokens("t", path).alias("n")).collect()
+    assert {r.k: r.n for r in got} == {k: len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
+def test_deprecation_writes_tell_changes(spark):
+    skills = spark.createDataFrame([(1, False), (2, True), (3, True), (4, None)], "id long, is_deprecated boolean")
+    folded = spark.createDataFrame([(1, True, 0.2), (2, False, 0.9), (3, True, 0.2), (4, False, 0.9)], "skill_id long, is_deprecated boolean, reliability double")
+    assert sorted(map(tuple, reliability.deprecation_writes(skills, folded).collect())) == [(1, True, "low_reliability", 0.2), (2, False, None, None)]
