@@ -16,7 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 #: Odd multipliers of the prefix-sum hashes (any odd 64-bit values do).
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True

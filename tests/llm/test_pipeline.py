@@ -158,7 +158,7 @@ def test_stage_of_edge_cases(spark, tmp_path, name):
     elif name == "exact_dedup":  # a trailing space tells 1 and 2 apart; null and empty texts are one
         assert ids == collections.Counter([1, 2, 3, 4, 6, None, 7, 8, 9, 10])
     elif name == "ngram_jaccard_join":
-        assert all(ids[i] == every[i] for i in (4, 5, 6, 7, 8, 9, 10)) and ids[2] == 0 and ids[1] == 1 and ids[3] == 0 and ids[None] == 2
+        assert all(ids[i] == every[i] for i in (4, 5, 6, 8, 9, 10)) and ids[1] == 1 and not {2, 3, 7} & set(ids) and ids[None] == 2
     elif name == "mix_sources":
         assert not {4, 5, 6} & set(ids) and all(n <= 3 * every[i] for i, n in ids.items())
     else:
