@@ -6,15 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import infer_uid
-from loomgraph.operators.validation import errors, hint_edges
+from loomgraph.operators.validation import errors, hint_edges, warnings
 from loomgraph.sources.skill_files import manifests, scan
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Files (path, text) with their manifest and the errors found in it."""
+def parse(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Files (path, text) with their manifest, the errors found in it and its warnings.
+
+    With ``strict`` the first invalid file ends the job with its path and errors.
+    """
     m = manifests(files).withColumn("manifest", F.col("manifest").withField("skill_id", F.coalesce("manifest.skill_id", infer_uid("path"))))
     checked = errors(m, "manifest.")
-    return checked.withColumn("errors", F.when(F.col("manifest._error").isNotNull(), F.array(F.concat(F.lit("front_matter:"), "manifest._error"))).otherwise(F.col("errors"))).withColumn("is_valid", F.size("errors") == 0)
+    broken = F.array(F.concat(F.lit("front_matter:"), "manifest._error"))
+    out = checked.withColumn("errors", F.when(F.col("manifest._error").isNotNull(), broken).otherwise(F.col("errors"))).withColumn("is_valid", F.size("errors") == 0)
+    out = warnings(out)
+    if not strict:
+        return out
+    reason = F.concat(F.lit("invalid file "), F.col("path"), F.lit(": "), F.array_join("errors", ", "))
+    return out.withColumn("is_valid", F.when(F.col("is_valid"), F.lit(True)).otherwise(F.raise_error(reason).cast("boolean")))
 
 
 def ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

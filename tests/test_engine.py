@@ -261,3 +261,14 @@ def test_deprecation_writes_tell_changes(spark):
     skills = spark.createDataFrame([(1, False), (2, True), (3, True), (4, None)], "id long, is_deprecated boolean")
     folded = spark.createDataFrame([(1, True, 0.2), (2, False, 0.9), (3, True, 0.2), (4, False, 0.9)], "skill_id long, is_deprecated boolean, reliability double")
     assert sorted(map(tuple, reliability.deprecation_writes(skills, folded).collect())) == [(1, True, "low_reliability", 0.2), (2, False, None, None)]
+
+
+def test_strict_parsing_ends_at_an_invalid_file(spark):
+    head = "---\nskill_id: a:b\nversion: 1.0.0\nintent_description: " + "does a thing " * 5 + "\npermissions:\n  - fs:read:/x\nauthor: 7\ncolour: red\n---\n# T\n"
+    good = spark.createDataFrame([("/s/a/b/SKILL.md", head)], "path string, text string")
+    row = ingest.parse(good, strict=True).first()
+    assert row.is_valid and row.warnings == ["author:type", "colour:unknown"]
+    bad = good.unionByName(spark.createDataFrame([("/s/a/c/SKILL.md", head.replace("1.0.0", "one"))], "path string, text string"))
+    assert sorted(r.is_valid for r in ingest.parse(bad).collect()) == [False, True]
+    with pytest.raises(Exception, match="version:pattern"):
+        ingest.parse(bad, strict=True).select("is_valid").collect()
