@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,11 +58,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def scrap(spark: SparkSession, *written: DataFrame) -> None:
     """Delete tables of ``materialise`` whose last reader has run.
 
-    The driver's collection lets Spark's cleaner remove the shuffle files of
-    jobs that are over too; nothing that is still referred to goes.
+    Collections of Python's and then the JVM's garbage let Spark's cleaner remove
+    the shuffle files of jobs that are over too; what is still referred to stays.
     """
     for df in written:
         delete(spark, df._written_to)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
