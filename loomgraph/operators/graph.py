@@ -34,8 +34,8 @@ def nodes(edges: DataFrame, *others: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-#: Rounds of a loop that run as one job before its lineage is cut.
-ROUNDS = 4
+#: Rounds of a loop that run as one job before its lineage is cut; a round names its table twice, so few.
+ROUNDS = 2
 
 
 def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,11 +75,8 @@ def core(edges: DataFrame) -> DataFrame:
     left = cut(edges.select("source", "target").distinct())
     n = left.count()
     while n:
-        step = left
-        for _ in range(ROUNDS):
-            step = step.join(step.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
-            step = step.join(step.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target")
-        left = cut(step)
+        step = left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        left = cut(step.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
         m = left.count()
         if m == n:
             break
