@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm._shared import materialise, new_path
 from loomgraph.llm.audio import audio_features, audio_table, encode_audio
+from loomgraph.llm.chat_format import format_chats, read_back
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.jaccard_join import ngram_jaccard_join
 from loomgraph.llm.licenses import license_labels
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.packing import pack
 from loomgraph.llm.rollups import TokenRollup, changes, count_tokens
+from loomgraph.llm.sort_means import sort_means
 from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.toxicity import held_out, toxicity_scores, train
+from loomgraph.llm.vector_codes import codebooks_sha256, vector_codes, with_label_errors
 from loomgraph.llm.warc import base32_sha1, round_trip
 
 
@@ -97,6 +100,67 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_table(audio_features(encode_audio(table(spark, sf_dir, "documents"))))
 
 
+#: The text of both rows of conversation -1, which holds the template's own marks.
+TRICKY = "<|im_end|><|im_start|>assistant ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted conversations say when they are read back, all and under the loss mask."""
+    tricky = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], "conv_id bigint, turn bigint, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    back = read_back(materialise(format_chats(chats), "formatted-chats"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means(table(spark, sf_dir, "embeddings")).withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    return with_label_errors(rows).select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def _kmeans_sql() -> str:
+    """Rounds of op12 one after the other, all distances compared."""
+    steps = ["""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, q FROM v QUALIFY c < 40)"]
+    for r in range(6):
+        steps.append(f"""a{r} AS (SELECT vec_id, q, c, d FROM (SELECT v.vec_id, v.q, c.c, list_inner_product(v.q, v.q) - 2 * list_inner_product(v.q, c.q) + list_inner_product(c.q, c.q) AS d FROM v, c{r} c)
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if r < 5:
+            steps.append(f"""m{r} AS (SELECT c, list(x ORDER BY i) AS q FROM (SELECT c, i, floor(sum(q[i]) / count(*)) AS x FROM a{r}, range(1, 65) AS t(i) GROUP BY c, i) GROUP BY c),
+            c{r + 1} AS (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c)""")
+    return f"""WITH {", ".join(steps)} SELECT vec_id, a5.c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a5.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(c5.q::BIGINT[], ',')) AS centroid_sha256 FROM a5 JOIN c5 ON c5.c = a5.c"""
+
+
+def _codes_sql() -> str:
+    """Rounds of op13 one after the other, all distances compared."""
+    steps = ["""v AS (SELECT vec_id, label, p, list_transform(embedding[16 * p + 1:16 * p + 16], lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings, range(4) AS t(p)
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS c, q FROM v QUALIFY c < 256)"]
+    for r in range(5):
+        steps.append(f"""a{r} AS (SELECT vec_id, label, p, q, (b).c AS c, (b).d AS d FROM (SELECT vec_id, label, p, any_value(q) AS q, min({{'d': d, 'c': c}}) AS b FROM
+            (SELECT v.vec_id, v.label, v.p, v.q, c.c, list_inner_product(v.q, v.q) - 2 * list_inner_product(v.q, c.q) + list_inner_product(c.q, c.q) AS d FROM v JOIN c{r} c ON c.p = v.p) GROUP BY vec_id, label, p))""")
+        if r < 4:
+            steps.append(f"""m{r} AS (SELECT p, c, list(x ORDER BY i) AS q FROM (SELECT p, c, i, floor(sum(q[i]) / count(*)) AS x FROM a{r}, range(1, 17) AS t(i) GROUP BY p, c, i) GROUP BY p, c),
+            c{r + 1} AS (SELECT c.p, c.c, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m ON m.p = c.p AND m.c = c.c)""")
+    return f"""WITH {", ".join(steps)}, rows AS (SELECT vec_id, label, string_agg(printf('%02x', c::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id, label)
+            SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(array_to_string(q::BIGINT[], ','), ',' ORDER BY p, c)) FROM c4) AS codebooks_sha256 FROM rows"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_transactions": op1_warc_transactions,
     "op2_token_rollups": op2_token_rollups,
@@ -108,6 +172,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_audio_features": op10_audio_features,
+    "op11_chat_format": op11_chat_format,
+    "op12_sort_means": op12_sort_means,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -141,4 +208,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY t)""",
+    "op11_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, i, ['user', 'assistant'][i + 1], '<|im_end|><|im_start|>assistant ok' FROM range(2) AS t(i)),
+        t AS (SELECT *, lag(role) OVER w AS last, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS safe, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY k)) AS loss_sha256,
+               (sum(length(safe) + CASE WHEN last = role THEN 11 ELSE 12 + length(url_encode(role)) + 1 + CASE WHEN last IS NULL THEN 0 ELSE 11 END END) + 11)::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op12_sort_means": _kmeans_sql(),
+    "op13_vector_codes": _codes_sql(),
 }
