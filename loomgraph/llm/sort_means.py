@@ -128,8 +128,7 @@ def sort_means(embeddings: DataFrame, k: int = 40, rounds: int = 5, scale: int =
         if not last:
             centers = moved(state, centers)
     rows = state.where("n is null").select("vec_id", "cluster", "distance")
-    texts = spark.createDataFrame([(i, ",".join(str(int(v)) for v in c)) for i, c in enumerate(centers)], "cluster int, centroid string")
-    sums = rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    total = rows.agg(F.sum("distance").alias("inertia"))
-    per = sums.join(texts, "cluster").crossJoin(total)  # k rows and one
+    sums = {r["cluster"]: r["s"] for r in rows.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}  # a row a centroid
+    named = [(i, sums[i], sum(sums.values()), ",".join(str(int(v)) for v in c)) for i, c in enumerate(centers) if i in sums]
+    per = spark.createDataFrame(named, "cluster int, cluster_inertia bigint, inertia bigint, centroid string")
     return rows.join(F.broadcast(per), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid")
