@@ -6,9 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """base with ``changes`` (same columns) put over it by key; ``keep`` columns of known rows stay as they were."""
-    c = changes.select(*(F.col(x).alias(f"{x}_new") for x in base.columns)).withColumn("hit_", F.lit(True))
+def last_rows(changes: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
+    """One row of each key: that with the greatest ``order`` column, of equal ones (or without it) the greatest row."""
+    keys = [key] if isinstance(key, str) else key
+    row = F.struct(*([F.col(order).alias("order_")] if order else []), *(F.col(c) for c in changes.columns))
+    return changes.groupBy(*(F.col(k).alias(f"{k}_key") for k in keys)).agg(F.max(row).alias("row_")).select(*(F.col(f"row_.{c}").alias(c) for c in changes.columns))
+
+
+def upsert(base: DataFrame, changes: DataFrame, key: str, keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """base with ``changes`` (its columns) put over it by key; ``keep`` columns of known rows stay as they were.
+
+    Of several changes of a key the one with the greatest ``order`` holds (see ``last_rows``).
+    """
+    c = last_rows(changes, key, order).select(*(F.col(x).alias(f"{x}_new") for x in base.columns)).withColumn("hit_", F.lit(True))
     out = base.join(c, F.col(key) == F.col(f"{key}_new"), "full_outer")
     known = F.col(key).isNotNull()
 
@@ -27,11 +37,14 @@ def delete_nodes(skills: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
     return skills.join(ids, "id", "left_anti"), left
 
 
-def edge_upsert(edges: DataFrame, changes: DataFrame, skills: DataFrame) -> DataFrame:
-    """Edges with changes over them by (source, target, edge_type); changes with an unknown end are left out."""
+def edge_upsert(edges: DataFrame, changes: DataFrame, skills: DataFrame, order: str | None = None) -> DataFrame:
+    """Edges with changes over them by (source, target, edge_type); changes with an unknown end are left out.
+
+    Of several changes of an edge the one with the greatest ``order`` holds (see ``last_rows``).
+    """
     key = ["source", "target", "edge_type"]
     ids = skills.select("id")
-    ok = changes.join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi").select(*edges.columns)
+    ok = last_rows(changes, key, order).join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi").select(*edges.columns)
     return edges.join(ok, key, "left_anti").select(*edges.columns).unionByName(ok)
 
 
@@ -43,9 +56,12 @@ def normalise_edges(edges: DataFrame) -> DataFrame:
     return out.groupBy("source", "target", "edge_type").agg(F.max("weight").alias("weight"))
 
 
-def update(base: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """base with the rows of ``changes`` put over known keys, and the keys of ``changes`` that aren't known."""
-    known = changes.join(base.select(key), key, "left_semi").select(*base.columns)
+def update(base: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """base with the rows of ``changes`` put over known keys, and the keys of ``changes`` that aren't known.
+
+    Of several changes of a key the one with the greatest ``order`` holds (see ``last_rows``).
+    """
+    known = last_rows(changes, key, order).join(base.select(key), key, "left_semi").select(*base.columns)
     out = base.join(known.select(key), key, "left_anti").select(*base.columns).unionByName(known)
     return out, changes.select(key).distinct().join(base.select(key), key, "left_anti")
 
@@ -63,31 +79,18 @@ def dangling(edges: DataFrame, skills: DataFrame) -> DataFrame:
     return e.select("source", "target", "edge_type", lost.alias("lost")).where("lost is not null")
 
 
-def vector_write(vectors: DataFrame, upserts: DataFrame | None = None, gone: DataFrame | None = None, dim: int | None = None) -> DataFrame:
-    """The vector table (id, vector, ...) after upserts by id and deletions (id); vectors of another length than ``dim`` are left out."""
+def vector_write(vectors: DataFrame, upserts: DataFrame | None = None, gone: DataFrame | None = None, dim: int | None = None, order: str | None = None) -> DataFrame:
+    """The vector table (id, vector, ...) after upserts by id and deletions (id); vectors of another length than ``dim`` are left out.
+
+    Of several upserts of an id the one with the greatest ``order`` holds (see ``last_rows``).
+    """
     out = vectors
     if upserts is not None:
         good = upserts if dim is None else upserts.where(F.size("vector") == dim)
-        out = out.join(good.select("id"), "id", "left_anti").select(*vectors.columns).unionByName(good.select(*vectors.columns).dropDuplicates(["id"]))
+        out = out.join(good.select("id"), "id", "left_anti").select(*vectors.columns).unionByName(last_rows(good, "id", order).select(*vectors.columns))
     return out if gone is None else out.join(gone.select("id").distinct(), "id", "left_anti").select(*vectors.columns)
 
 
-#: Fixed value: tries of the first of two writes.
-TRIES = 3
-
-
-def dual_write(writes: DataFrame) -> DataFrame:
-    """(id, op, state, attempts, rolled_back) of ``writes`` (id, op, vector_failures, graph_ok): vectors first, then the graph.
-
-    A vector write that fails ``TRIES`` times ends its row.  Where the graph
-    write fails, a CREATE is undone by deleting its vector; an UPDATE or DELETE
-    has nothing to undo it with and counts as rolled back.
-    """
-    failed = F.col("vector_failures") >= TRIES
-    state = F.when(failed, "vector_failed").when(F.col("graph_ok"), "written").when(F.col("op") == "CREATE", "compensated").otherwise("not_undone")
-    return writes.select("id", "op", state.alias("state"), F.least(F.col("vector_failures") + 1, F.lit(TRIES)).alias("attempts"), (~failed & ~F.col("graph_ok")).alias("rolled_back"))
-
-
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change): created, modified, deleted or unchanged, from two (path, hash) snapshots."""
     joined = old.toDF("path", "was").join(new.toDF("path", "is"), "path", "full_outer")

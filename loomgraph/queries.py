@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import fixtures as fx
@@ -14,23 +11,10 @@ from loomgraph.functions import text as tx
 from loomgraph.operators import assembly, code_facts, conflicts, graph, mutations, relations, reliability, retrieval, runtime, scoring, validation
 from loomgraph.plans import ingest
 from loomgraph.plans import route as routing
+from loomgraph.registry import ORACLES, QUERIES, query
 from loomgraph.sources import skill_files
 from loomgraph.streaming import telemetry
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
 # Retrieval ------------------------------------------------------------------
 
 SIMS = """sims AS (SELECT r.request_id, s.id, s.is_deprecated, round(list_cosine_similarity(r.query_vector::DOUBLE[], s.vector::DOUBLE[]), 6) + 0 AS similarity FROM requests r CROSS JOIN skills s),
@@ -715,7 +699,7 @@ def language_alias(spark, d):
 # Ingestion and synchronisation ----------------------------------------------
 
 
-def _skill_texts(spark, d):
+def skill_texts(spark, d):
     """Skill files written as text from part rows: front matter, a paragraph and a fenced block."""
     return table(spark, d, "part").selectExpr(
         "concat('/skills/ns', p_partkey % 5, '/s', p_partkey, '/SKILL.md') path",
@@ -728,18 +712,18 @@ def _skill_texts(spark, d):
 
 @query("frontmatter_extract", r"SELECT p_partkey AS id, 'ns' || (p_partkey % 5) || ':s' || p_partkey AS skill_id, CASE WHEN p_partkey % 11 = 0 THEN 'v' ELSE '' END || '1.0.' || p_size AS version, p_partkey % 11 <> 0 AS is_valid FROM part")
 def frontmatter_extract(spark, d):
-    return ingest.parse(_skill_texts(spark, d)).select("id", "manifest.skill_id", "manifest.version", "is_valid")
+    return ingest.parse(skill_texts(spark, d)).select("id", "manifest.skill_id", "manifest.version", "is_valid")
 
 
 @query("code_blocks", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'bash' ELSE 'go' END AS language, 3::INT AS line_start, 7::INT AS line_end, p_partkey % 3 = 0 AS is_entrypoint FROM part UNION ALL SELECT p_partkey, 'js', 8, 10, true FROM part WHERE p_partkey % 2 = 0")
 def code_blocks(spark, d):
-    f = skill_files.blocks(skill_files.split(_skill_texts(spark, d))).withColumn("b", F.explode("blocks"))
+    f = skill_files.blocks(skill_files.split(skill_texts(spark, d))).withColumn("b", F.explode("blocks"))
     return f.select("id", "b.language", "b.line_start", "b.line_end", "b.is_entrypoint")
 
 
 @query("blocks_by_language", "SELECT p_partkey AS id, (p_partkey % 3 = 2)::BIGINT AS n_go, CASE WHEN p_partkey % 3 = 0 THEN 'python' WHEN p_partkey % 2 = 0 THEN 'js' END AS entry_language FROM part")
 def blocks_by_language(spark, d):
-    f = skill_files.blocks(skill_files.split(_skill_texts(spark, d)))
+    f = skill_files.blocks(skill_files.split(skill_texts(spark, d)))
     return f.select("id", F.size(skill_files.by_language("blocks", "Go")).cast("long").alias("n_go"), skill_files.entrypoint("blocks")["language"].alias("entry_language"))
 
 
@@ -756,13 +740,13 @@ def code_fact_counts(spark, d):
 
 @query("hint_edges", "SELECT 'ns' || (p_partkey % 5) || ':s' || p_partkey AS source, 'ns' || (p_partkey % 5) || ':s' || (p_partkey // 2) AS target, 'REQUIRES' AS edge_type, 1.0::DOUBLE AS weight FROM part UNION ALL SELECT 'ns' || (p_partkey % 5) || ':s' || p_partkey, 'ns0:s1', 'ENHANCES', 0.8 FROM part WHERE p_partkey % 3 = 0")
 def hint_edges(spark, d):
-    rows = ingest.parse(_skill_texts(spark, d)).select(F.col("manifest.skill_id").alias("uid"), F.col("manifest.topology_hints").alias("hints"))
+    rows = ingest.parse(skill_texts(spark, d)).select(F.col("manifest.skill_id").alias("uid"), F.col("manifest.topology_hints").alias("hints"))
     return validation.hint_edges(rows, "uid", "hints")
 
 
 @query("import_stats", "SELECT count(*) AS total, count(*) FILTER (WHERE p_partkey % 11 <> 0) AS imported, count(*) FILTER (WHERE p_partkey % 11 = 0) AS failed, round(100.0 * count(*) FILTER (WHERE p_partkey % 11 <> 0) / count(*), 2)::DOUBLE AS success_rate FROM part")
 def import_stats(spark, d):
-    return ingest.statistics(ingest.parse(_skill_texts(spark, d)))
+    return ingest.statistics(ingest.parse(skill_texts(spark, d)))
 
 
 INFER = with_("edges") + """, dec AS (SELECT source, target, max(edge_type) AS dt FROM edges WHERE edge_type IN ('REQUIRES', 'ENHANCES') AND source % 2 = 0 GROUP BY 1, 2 HAVING count(DISTINCT edge_type) = 1),
@@ -964,7 +948,7 @@ def hashed_embedding(spark, d):
 
 @query("inferred_path_ids", "SELECT p_partkey AS id, 'ns' || (p_partkey % 5) || ':s' || p_partkey AS uid FROM part")
 def inferred_path_ids(spark, d):
-    return _skill_texts(spark, d).select("id", tx.infer_uid("path").alias("uid"))
+    return skill_texts(spark, d).select("id", tx.infer_uid("path").alias("uid"))
 
 
 @query("session_last_calls", f"{EXE} SELECT session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS k FROM executions) WHERE k <= 10")
@@ -1014,12 +998,6 @@ def vector_write(spark, d):
     return out.select("id", F.size("vector").cast("long").alias("dim"), (F.round(F.col("vector")[0].cast("double"), 6) + 0.0).alias("x"))
 
 
-@query("dual_write", "SELECT p_partkey AS id, CASE WHEN p_size % 5 >= 3 THEN 'vector_failed' WHEN p_partkey % 4 <> 0 THEN 'written' WHEN p_partkey % 3 = 0 THEN 'compensated' ELSE 'not_undone' END AS state, least(p_size % 5 + 1, 3)::INT AS attempts, p_size % 5 < 3 AND p_partkey % 4 = 0 AS rolled_back FROM part")
-def dual_write(spark, d):
-    w = table(spark, d, "part").selectExpr("p_partkey id", "element_at(array('CREATE', 'UPDATE', 'DELETE'), cast(p_partkey % 3 + 1 as int)) op", "p_size % 5 vector_failures", "p_partkey % 4 <> 0 graph_ok")
-    return mutations.dual_write(w).select("id", "state", "attempts", "rolled_back")
-
-
 KV = """WITH log AS (SELECT user_id AS key, CASE WHEN event_id % 997 = 0 THEN 'flush' WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'purchase' THEN 'expire' ELSE 'set' END AS op, event_id AS value, ts, event_id AS seq FROM events),
     sets AS (SELECT key, arg_max(value, (ts, seq)) AS value, max((ts, seq)) AS at, max(ts) AS ts FROM log WHERE op = 'set' GROUP BY 1), dels AS (SELECT key, max((ts, seq)) AS at FROM log WHERE op = 'delete' GROUP BY 1),
     exps AS (SELECT key, max((ts, seq)) AS at, max(ts) AS ts FROM log WHERE op = 'expire' GROUP BY 1), fl AS (SELECT max((ts, seq)) AS at FROM log WHERE op = 'flush'), now AS (SELECT max(ts) AS now FROM events),
@@ -1096,3 +1074,8 @@ def score_multiplied(spark, d):
 def route_quality(spark, d):
     _, scored, _, e = _scored(spark, d)
     return routing.quality(scored, conflicts.independent_set(scored, e), e)
+
+
+from loomgraph import stored_queries  # noqa: E402, F401  registers its own
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -45,11 +45,16 @@ def folder(spark: SparkSession) -> str:
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder and read back, which computes it once; deleted when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the checkpoint folder, deleted when the driver's JVM ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder and read back, which computes it once; deleted when the driver's JVM ends."""
+    path = new_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
