@@ -4,75 +4,134 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.vectors import clamp, cosine
-from loomgraph.storage import ship
+from loomgraph.storage import cut, ship
 
 TOP_K, OVER_FETCH, THRESHOLD = 5, 2, 0.3
 #: Bytes of query vectors that are sent to every task at once.
 QUERY_BYTES = 32 << 20
 
 
-def _block(queries: np.ndarray, ids: list[int], k: int, kind: pa.DataType):
-    """Per batch of vectors one matrix product, then the k best of the batch for each request."""
+def unit(column: pa.Array, dim: int) -> np.ndarray:
+    """The rows of a list column of ``dim`` numbers at length 1; a null vector stays null."""
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+#: Below any similarity.
+NONE = -(1 << 40)
+#: Similarities that a task holds at once.
+CELLS = 1 << 22
+
+
+class Best:
+    """The k most similar rows of each request so far, similarities in millionths, ties to the smaller id."""
+
+    def __init__(self, requests: int, k: int):
+        self.near = np.full((requests, k), NONE, np.int64)
+        self.ids = np.full((requests, k), np.iinfo(np.int64).max, np.int64)
+
+    def add(self, rows: np.ndarray | slice, similarity: np.ndarray, ids: np.ndarray) -> None:
+        """Offer requests ``rows`` the similarities of ``ids``, which ascend."""
+        k, n = self.near.shape[1], len(ids)
+        near = np.where(np.isfinite(similarity), np.rint(similarity * 1e6), NONE).astype(np.int64)
+        if n > k:  # of one batch the k best, by a key that no two share
+            key = near * n - np.arange(n)
+            best = np.argpartition(-key, k - 1, axis=1)[:, :k]
+            near, ids = np.take_along_axis(near, best, 1), ids[best]
+        else:
+            ids = np.broadcast_to(ids, near.shape)
+        near, ids = np.concatenate([self.near[rows], near], 1), np.concatenate([self.ids[rows], ids], 1)
+        order = np.lexsort((ids, -near), axis=1)[:, :k]
+        self.near[rows], self.ids[rows] = np.take_along_axis(near, order, 1), np.take_along_axis(ids, order, 1)
+
+    def batches(self, names: np.ndarray):
+        """(request_id, id, similarity) of what was offered."""
+        row, at = np.nonzero(self.near > NONE)
+        for s in range(0, len(row), 1 << 16):
+            r, c = row[s : s + (1 << 16)], at[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(self.ids[r, c]), pa.array(self.near[r, c] / 1e6 + 0.0)], names=["request_id", "id", "similarity"])
+
+
+def _scan(queries: np.ndarray, names: np.ndarray, k: int):
+    """Per batch of vectors one matrix product; a task gives the k best of all its batches."""
 
     def run(batches):
-        q = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
+        best = Best(len(names), k)
         for batch in batches:
-            own = batch.column("id").to_numpy(zero_copy_only=False)
-            if not len(own):
-                continue
-            v = np.array(batch.column("vector").to_pylist(), dtype=np.float64)
-            norm = np.linalg.norm(v, axis=1)
-            sim = np.where(norm > 0, (q @ v.T) / np.maximum(norm, 1e-300), 0.0)
-            sim = np.round(sim, 6) + 0.0
-            m = min(k, len(own))
-            out: list = [[], [], []]
-            for row, request in enumerate(ids):
-                best = np.lexsort((own, -sim[row]))[:m]
-                out[0].append(np.full(m, request))
-                out[1].append(own[best])
-                out[2].append(sim[row][best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])).cast(kind), pa.array(np.concatenate(out[2]))], names=["request_id", "id", "similarity"])
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            if len(ids):
+                order = np.argsort(ids, kind="stable")
+                vectors, step = unit(batch.column("vector"), queries.shape[1])[order].T, max(1, CELLS // len(ids))
+                for s in range(0, len(names), step):
+                    best.add(slice(s, s + step), queries[s : s + step] @ vectors, ids[order])
+        yield from best.batches(names)
 
     return run
 
 
-def top_k(requests: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(request_id, id, similarity, rank): the exact k most similar vectors of each request.
+def blocks(requests: DataFrame, size: int):
+    """(names, unit query vectors) of ``requests`` (request_id, query_vector), about ``size`` bytes at a time.
 
-    Similarities are rounded to six places and ties go to the smaller id.  Query
-    vectors go to the tasks in blocks of at most ``QUERY_BYTES``, a pass over the
-    vectors each; a task keeps the k best of each batch, so only k rows a request
-    and batch are shuffled.
+    The driver holds one block, read a partition at a time.
     """
-    spark = vectors.sparkSession
-    ship(spark)
-    pair = vectors.select("id", "vector").where("vector is not null")
-    near, ids, held, size = None, [], [], 0
-
-    def scan():
-        nonlocal near, ids, held, size
-        kernel = _block(np.array(held, dtype=np.float64), ids, k, pa.int64())
-        found = pair.mapInArrow(kernel, "request_id long, id long, similarity double")
-        near, ids, held, size = found if near is None else near.unionByName(found), [], [], 0
-
-    for r in requests.select("request_id", "query_vector").toLocalIterator():  # a partition at a time
-        ids.append(r["request_id"])
+    names, held, dim = [], [], None
+    for r in requests.select("request_id", "query_vector").where("request_id is not null and query_vector is not null").toLocalIterator():
+        dim = dim or len(r["query_vector"])
+        if len(r["query_vector"]) != dim:
+            raise ValueError("query vectors differ in length")
+        names.append(r["request_id"])
         held.append(r["query_vector"])
-        size += 8 * len(r["query_vector"])
-        if size >= QUERY_BYTES:
-            scan()
+        if 8 * dim * len(held) >= size:
+            yield np.array(names), unit(pa.array(held), dim)
+            names, held = [], []
     if held:
-        scan()
-    if near is None:
-        near = spark.createDataFrame([], "request_id long, id long, similarity double")
+        yield np.array(names), unit(pa.array(held), dim)
+
+
+def ranked(near: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def over_blocks(requests: DataFrame, search, k: int, spark: SparkSession) -> DataFrame:
+    """(request_id, id, similarity, rank) of ``search(names, queries)``, a block of requests at a time.
+
+    Where there are several blocks each one's result is written before the next
+    is read, so neither the plan nor the driver holds more than one.
+    """
+    found, last = None, None
+    for names, queries in blocks(requests, QUERY_BYTES):
+        if last is not None:
+            done = cut(ranked(last, k))
+            found = done if found is None else found.unionByName(done)
+        last = search(names, queries)
+    if last is None:
+        return spark.createDataFrame([], "request_id long, id long, similarity double, rank int")
+    return ranked(last, k) if found is None else found.unionByName(ranked(last, k))
+
+
+def top_k(requests: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(request_id, id, similarity, rank): the exact k most similar vectors of each request.
+
+    Similarities are rounded to six places and ties go to the smaller id; vectors
+    of another length than the queries', null ones and null ids have none, null
+    queries no result.  Query vectors go to the tasks in blocks of at most
+    ``QUERY_BYTES``, a pass over the vectors each; a task keeps the k best of all
+    its vectors, so k rows a request and task are shuffled.
+    """
+    ship(vectors.sparkSession)
+    pair = vectors.select(F.col("id").cast("long").alias("id"), "vector").where("id is not null and vector is not null")
+
+    def search(names: np.ndarray, queries: np.ndarray) -> DataFrame:
+        return pair.where(F.size("vector") == queries.shape[1]).mapInArrow(_scan(queries, names, k), "request_id long, id long, similarity double")
+
+    return over_blocks(requests, search, k, vectors.sparkSession)
+
+
 def recall(requests: DataFrame, skills: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
     """(request_id, id, similarity, rank): seeds.
 

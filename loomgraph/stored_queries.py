@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import fixtures as fx
 from loomgraph.fixtures import table, with_
+from loomgraph.operators.collection import Collection
 from loomgraph.plans import sync
 from loomgraph.registry import query
 from loomgraph.sources.store import Change, Store, Table
@@ -95,3 +96,40 @@ def incremental_import(spark, d):
         bad = store.read("errors", v).agg(F.count_distinct("path").alias("n_errors")).select(F.lit(name).alias("state"), F.lit(None).cast("string").alias("uid"), F.lit(None).cast("string").alias("version"), F.lit(0).cast("long").alias("n_edges"), "n_errors")
         out = rows.unionByName(bad) if out is None else out.unionByName(rows).unionByName(bad)
     return out
+
+
+def _collection(spark, d) -> Collection:
+    """All vectors with label and id as attributes, probes measured."""
+    v = table(spark, d, "embeddings").selectExpr("vec_id id", "embedding vector", "label category", "vec_id number")
+    found = Collection.create(spark, new_folder(spark, "vectors"), 64, v, "category int, number long")
+    found.upsert("load", v)
+    found.tune()
+    return found
+
+
+def _queries(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id request_id", "embedding query_vector")
+
+
+@query("ann_topk")
+def ann_topk(spark, d):
+    """The ten nearest by probing, of every vector whose id is divisible by 50; tests compare with the exact ones."""
+    return _collection(spark, d).search(_queries(spark, d), 10).select("request_id", "id", "similarity", "rank")
+
+
+@query(
+    "vector_collection",
+    """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN list_transform(embedding, lambda x: -x::DOUBLE) ELSE embedding::DOUBLE[] END AS vector, CASE WHEN vec_id % 9 = 0 THEN 3 ELSE label END AS category, vec_id AS number FROM embeddings WHERE vec_id % 7 <> 2),
+    q AS (SELECT vec_id AS request_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT request_id, id, round(list_cosine_similarity(q::DOUBLE[], vector), 6) + 0 AS similarity FROM q, v WHERE category = 3 AND number >= 10)
+    SELECT request_id, id, similarity, (row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, id))::INT AS rank FROM s QUALIFY rank <= 5""",
+)
+def vector_collection(spark, d):
+    """Exact search with a condition on a collection that was made, loaded with rows of wrong lengths, changed twice and thinned."""
+    found = _collection(spark, d)
+    v = found.rows()
+    found.upsert("wrong", v.selectExpr("id", "slice(vector, 1, 63) vector", "-1 category", "number"))
+    turned = v.where("id % 9 = 0").selectExpr("id", "transform(vector, x -> -x) vector", "3 category", "number", "1 turn")
+    found.upsert("change", turned.unionByName(turned.withColumn("category", F.lit(8)).withColumn("turn", F.lit(0))), order="turn")
+    found.delete("thin", v.where("id % 7 = 2").select("id"))
+    again = Collection.create(spark, found.store.path, 64, v)
+    return again.exact(_queries(spark, d), 5, where="category = 3 and number >= 10")

@@ -1,10 +1,13 @@
 """Stored tables, incremental imports and vector collections."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import mutations
+from loomgraph.operators import mutations, retrieval
+from loomgraph.operators.collection import Collection
 from loomgraph.plans import ingest, sync
+from loomgraph.queries import QUERIES
 from loomgraph.sources.store import Change, Conflict, Store, Table
 
 N = Table("id long, v string, w double", ("id",), 4)
@@ -166,3 +169,90 @@ def test_repeated_keys_of_changes(spark):
     edges = spark.createDataFrame([(1, 2, "REQUIRES", 1.0)], "source long, target long, edge_type string, weight double")
     new = spark.createDataFrame([(1, 2, "REQUIRES", 0.2, 1), (1, 2, "REQUIRES", 0.4, 2), (2, 9, "REQUIRES", 1.0, 1)], "source long, target long, edge_type string, weight double, turn int")
     assert rows(mutations.edge_upsert(edges, new, base, order="turn")) == [(1, 2, "REQUIRES", 0.4)]
+
+
+def blobs(spark, n=1500, dim=16, groups=12):
+    rng = np.random.default_rng(1)
+    middle = rng.normal(0, 1, (groups, dim))
+    v = middle[rng.integers(0, groups, n)] + rng.normal(0, 0.15, (n, dim))
+    v[: n // 3] = v[0]  # a third of all are one vector
+    rows = [(i, x.tolist(), int(i % 4)) for i, x in enumerate(v)]
+    return v, spark.createDataFrame(rows, "id long, vector array<double>, kind int")
+
+
+def near(v, ids, k, ok=lambda i: True):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for i in ids:
+        sim = np.round(u @ u[i], 6)
+        out[i] = [int(j) for j in sorted(range(len(v)), key=lambda j: (-sim[j], j)) if ok(j)][:k]
+    return out
+
+
+def found(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r["rank"]):
+        out.setdefault(r.request_id, []).append(r.id)
+    return out
+
+
+def share(got, want):
+    return np.mean([len(set(got.get(i, ())) & set(x)) / len(x) for i, x in want.items()])
+
+
+def test_collection_probes_few_cells_of_grouped_vectors(spark, tmp_path):
+    v, rows_ = blobs(spark)
+    c = Collection.create(spark, f"file:{tmp_path}/c", 16, rows_, "kind int")
+    assert c.upsert("load", rows_) == 2 and c.upsert("load", rows_) == 2 and c.rows().count() == 1500
+    probes = c.tune()
+    assert len(c.centers) == 39 and probes < 20 and Collection(spark, c.store.path).probes == probes
+    asked = rows_.where("id % 50 = 7").selectExpr("id request_id", "vector query_vector")
+    want = near(v, range(7, 1500, 50), 10)
+    assert found(c.exact(asked, 10)) == want and share(found(c.search(asked, 10)), want) >= 0.9
+    whole = c.search(asked, 10, probes=len(c.centers), refine=200)
+    assert found(whole) == want
+    some = near(v, range(7, 1500, 50), 10, lambda i: i % 4 == 1)
+    assert found(c.exact(asked, 10, "kind = 1")) == some and share(found(c.search(asked, 10, "kind = 1")), some) >= 0.9
+    rare = near(v, range(7, 1500, 50), 5, lambda i: i > 1490)
+    assert found(c.search(asked, 5, "id > 1490", probes=1)) == rare  # too few in the cells: searched exactly
+
+
+def test_collection_writes(spark, tmp_path):
+    v, rows_ = blobs(spark, 200, 8, 5)
+    c = Collection.create(spark, f"file:{tmp_path}/c", 8, rows_, "kind int")
+    c.upsert("load", rows_)
+    bad = spark.createDataFrame([(1, [1.0] * 7, 0), (2, None, 0), (None, [1.0] * 8, 0), (3, [float("nan")] + [1.0] * 7, 0), (4, [None] + [1.0] * 7, 0), (900, [2.0] * 8, 5), (900, [3.0] * 8, 4)], "id long, vector array<double>, kind int")
+    assert {(r.id, r.reason) for r in c.rejected(bad).collect()} == {(1, "dimension"), (2, "no vector"), (None, "no id"), (3, "not finite"), (4, "not finite")}
+    c.upsert("bad", bad, order="kind")
+    assert c.rows().count() == 201 and c.rows("id = 900").first()["kind"] == 5 and c.rows("id = 1").first()["vector"] == v[1].tolist()
+    c.upsert("move", spark.createDataFrame([(1, (-v[1]).tolist(), 9)], rows_.schema))
+    c.delete("gone", spark.createDataFrame([(900,), (5,), (None,)], "id long"))
+    assert c.rows().count() == 199 and c.rows("id = 1").count() == 1 and c.rows(version=2).where("id = 5").count() == 1
+    asked = spark.createDataFrame([(0, (-v[1]).tolist()), (1, [1.0] * 7)], "request_id long, query_vector array<double>")
+    assert found(c.exact(asked.where("request_id = 0"), 1)) == {0: [1]}
+    with pytest.raises(ValueError):
+        c.search(asked, 1)
+    with pytest.raises(ValueError):
+        Collection.create(spark, c.store.path, 9, rows_)
+    none = Collection.create(spark, f"file:{tmp_path}/none", 8, rows_.limit(0))
+    assert none.search(asked.where("request_id = 0"), 3).collect() == [] and none.tune() == 1
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_ann_recall(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    v = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id id", "embedding vector")
+    want = found(retrieval.top_k(v.where("id % 50 = 0").selectExpr("id request_id", "vector query_vector"), v, 10))
+    assert share(found(QUERIES["ann_topk"](spark, d)), want) >= 0.9
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    v, rows_ = blobs(spark, 300, 8, 5)
+    rows_ = rows_.unionByName(spark.createDataFrame([(None, v[0].tolist(), 0), (1001, None, 0), (1002, [1.0], 0), (1003, [float("nan")] * 8, 0)], rows_.schema))
+    asked = rows_.where("id % 10 = 0").selectExpr("id request_id", "vector query_vector")
+    want = near(v, range(0, 300, 10), 4)
+    assert found(retrieval.top_k(asked, rows_, 4)) == want
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 64 * 7)
+    monkeypatch.setattr(retrieval, "CELLS", 50)
+    assert found(retrieval.top_k(asked, rows_, 4)) == want
+    assert retrieval.top_k(asked.limit(0), rows_, 4).collect() == []
