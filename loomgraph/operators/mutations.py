@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.storage import cut
+
 
 def last_rows(changes: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
     """One row of each key: that with the greatest ``order`` column, of equal ones (or without it) the greatest row."""
@@ -151,21 +153,28 @@ def cached(requests: DataFrame, entries: DataFrame, now: Column) -> tuple[DataFr
     return requests.join(live, "key"), requests.join(live.select("key"), "key", "left_anti")
 
 
-def save_snapshot(snapshot: DataFrame, path: str, version: int) -> None:
-    """Store (path, hash) as version ``version`` under ``path``; a version is whole or absent."""
-    snapshot.select("path", "hash").write.mode("overwrite").json(f"{path.rstrip('/')}/version={version}")
+SNAPSHOT = "path string, hash string, modified timestamp, length long"
 
 
-def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The latest whole version of a stored snapshot; empty without one."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = place(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    whole = [int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(place(f"{path.rstrip('/')}/{n}/_SUCCESS"))]
-    if not whole:
-        return spark.createDataFrame([], "path string, hash string")
-    return spark.read.schema("path string, hash string").json(f"{path.rstrip('/')}/version={max(whole)}")
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(place(f"{path.rstrip('/')}/{n}/_SUCCESS")))
+
+
+def save_snapshot(snapshot: DataFrame, path: str, version: int | None = None) -> None:
+    """Store (path, hash[, modified, length]) under ``path`` as a version, the one after the latest without a number; a version is whole or absent."""
+    if version is None:
+        version = max(_snapshots(snapshot.sparkSession, path), default=-1) + 1
+    snapshot.select(*(c for c in ("path", "hash", "modified", "length") if c in snapshot.columns)).write.mode("overwrite").json(f"{path.rstrip('/')}/version={version}")
+
+
+def load_snapshot(spark: SparkSession, path: str, schema: str = "path string, hash string") -> DataFrame:
+    """The latest whole version of a stored snapshot; empty without one."""
+    whole = _snapshots(spark, path)
+    return spark.read.schema(schema).json(f"{path.rstrip('/')}/version={whole[-1]}") if whole else spark.createDataFrame([], schema)
 
 
 def last_turns(turns: DataFrame, n: int) -> DataFrame:
@@ -176,14 +185,52 @@ def last_turns(turns: DataFrame, n: int) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("h")).select("conv_id", F.array_join(F.transform("h", lambda x: x["line"]), "\n").alias("history"))
 
 
-def debounced(events: DataFrame, seconds: float, key: str) -> DataFrame:
-    """(key, accepted): events at least ``seconds`` after the last accepted one of their key, counted in order."""
-    g = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id"))).alias("e"))
+def accepted(events: DataFrame, seconds: float, key: str) -> DataFrame:
+    """(key, event_id, ts): events at least ``seconds`` after the last accepted one of their key, in order of (ts, event_id).
+
+    An event that long after the one before it is accepted whatever came earlier,
+    so the events of a key are cut there; only those of one burst, each
+    closer than ``seconds`` to the one before, are folded together.
+    """
     wait = int(seconds * 1_000_000)
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = Window.partitionBy(key).orderBy("t", "event_id")
+    rows = events.select(key, t.alias("t"), "event_id")
+    first = rows.withColumn("first", F.coalesce((F.col("t") - F.lag("t").over(order) >= wait).cast("long"), F.lit(1)))
+    bursts = first.withColumn("burst", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "burst").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("e"))
+    # Of a burst, the places of accepted events: each the first that is late enough after the one before.
+    taken = F.expr(f"""aggregate(sequence(1, size(e) - 1), array(0), (s, i) -> if(e[i].t - e[element_at(s, -1)].t >= {wait}, array_append(s, i), s))""")
+    taken = F.when(F.size("e") == 1, F.array(F.lit(0))).otherwise(taken)
+    out = bursts.select(key, F.explode(F.transform(taken, lambda i: F.get("e", i))).alias("x"))
+    return out.select(key, "x.event_id", F.timestamp_micros("x.t").alias("ts"))
 
-    def step(s: Column, e: Column) -> Column:
-        take = s["last"].isNull() | (e["t"] - s["last"] >= wait)
-        return F.struct(F.when(take, e["t"]).otherwise(s["last"]).alias("last"), (s["n"] + take.cast("long")).alias("n"))
 
-    return g.select(key, F.aggregate("e", start, step, lambda s: s["n"]).alias("accepted"))
+def debounced(events: DataFrame, seconds: float, key: str) -> DataFrame:
+    """(key, accepted): the number of ``accepted`` events of each key."""
+    return accepted(events, seconds, key).groupBy(key).agg(F.count("*").alias("accepted"))
+
+
+def moved_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, kind, old_path) of what changed between two (path, hash) snapshots: created, modified, deleted or moved.
+
+    A deleted and a created file of one hash are a move.  Of several, those of
+    one name are paired first, then the others, each in order of their paths.
+    """
+    changed = cut(old.toDF("path", "was").join(new.toDF("path", "is"), "path", "full_outer").where("was is null or is is null or was <> is"))
+    gone, came = changed.where("is is null").select(F.col("path").alias("old_path"), F.col("was").alias("hash")), changed.where("was is null").select("path", F.col("is").alias("hash"))
+    name = lambda c: F.regexp_extract(c, "[^/]*$", 0)
+    pairs = None
+    for by in (["hash", "name"], ["hash"]):
+        number = lambda df, c: df.withColumn("name", name(c)).withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(c)))  # noqa: E731, B023
+        left, right = gone, came
+        if pairs is not None:
+            left, right = gone.join(pairs, "old_path", "left_anti"), came.join(pairs, "path", "left_anti")
+        met = number(left, "old_path").join(number(right, "path").drop(*({"name"} - set(by))), [*by, "k"]).select("path", "old_path")
+        pairs = cut(met if pairs is None else pairs.unionByName(met))
+    none = F.lit(None).cast("string").alias("old_path")
+    return (
+        pairs.select("path", F.lit("moved").alias("kind"), "old_path")
+        .unionByName(came.join(pairs, "path", "left_anti").select("path", F.lit("created").alias("kind"), none))
+        .unionByName(gone.join(pairs, "old_path", "left_anti").select(F.col("old_path").alias("path"), F.lit("deleted").alias("kind"), none))
+        .unionByName(changed.where("was is not null and is is not null").select("path", F.lit("modified").alias("kind"), none))
+    )

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from loomgraph import fixtures as fx
 from loomgraph.fixtures import table, with_
+from loomgraph.operators import mutations
 from loomgraph.operators.collection import Collection
 from loomgraph.plans import sync
 from loomgraph.registry import query
 from loomgraph.sources.store import Change, Store, Table
 from loomgraph.storage import new_folder
+from loomgraph.streaming import stateful
 
 NODES = Table("id long, uid string, category int, rate double", ("id",), 8)
 EDGES = Table("source long, target long, edge_type string, weight double", ("source", "target", "edge_type"), 8, spread=("source",))
@@ -133,3 +135,70 @@ def vector_collection(spark, d):
     found.delete("thin", v.where("id % 7 = 2").select("id"))
     again = Collection.create(spark, found.store.path, 64, v)
     return again.exact(_queries(spark, d), 5, where="category = 3 and number >= 10")
+
+
+# Sessions, windows and files ------------------------------------------------
+
+OPS = "case event_type when 'signup' then 'create' when 'error' then 'terminate' when 'view' then 'context' else 'call' end"
+
+
+@query(
+    "sessions",
+    f"""WITH l AS (SELECT user_id, event_id, epoch_us(ts) AS t, {OPS} AS op, value FROM events),
+    n AS (SELECT *, sum((op = 'create')::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nth FROM l),
+    p AS (SELECT *, lag(t) OVER w AS pt, lag(op) OVER w AS pop FROM n WHERE nth > 0 WINDOW w AS (PARTITION BY user_id, nth ORDER BY t, event_id)),
+    o AS (SELECT *, max((coalesce(t - pt > 43200000000, false) OR coalesce(pop = 'terminate', false))::INT) OVER (PARTITION BY user_id, nth ORDER BY t, event_id) AS off FROM p),
+    g AS (SELECT user_id, nth, min(t) AS a, max(t) AS z, arg_max(op, (t, event_id)) AS last_op, count(*) FILTER (WHERE op = 'call') AS n_calls, count(*) FILTER (WHERE op = 'context') AS n_contexts, arg_max(value, (t, event_id)) FILTER (WHERE op = 'context') AS context FROM o WHERE off = 0 GROUP BY 1, 2),
+    f AS (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY nth) AS nxt FROM g)
+    SELECT user_id AS session_id, a AS opened, z AS last_used, CASE WHEN last_op = 'terminate' THEN 'terminated' WHEN nxt - z <= 43200000000 THEN 'replaced' WHEN coalesce(nxt, (SELECT max(t) FROM l)) - z > 43200000000 THEN 'expired' ELSE 'live' END AS ended,
+      n_calls, n_contexts, round(context, 2) AS context FROM f""",
+)
+def sessions(spark, d):
+    """Sessions of half a day in the event log: signups open them, errors end them."""
+    log = table(spark, d, "events").selectExpr("user_id session_id", "ts", "event_id", f"{OPS} op", "value")
+    found = stateful.sessions(log, 43_200)
+    return found.withColumns({"opened": F.unix_micros("opened"), "last_used": F.unix_micros("last_used"), "context": F.round("context", 2)})
+
+
+@query(
+    "windowed_cooccurrence",
+    f"""{with_("executions")}, p AS (SELECT x.skill_id AS a, y.skill_id AS b, y.ts, x.ok AND y.ok AS ok, (epoch_us(y.ts) - epoch_us(x.ts)) / 1e6 AS gap FROM executions x JOIN executions y ON x.session_id = y.session_id AND x.skill_id <> y.skill_id AND y.ts > x.ts AND epoch_us(y.ts) - epoch_us(x.ts) <= 21600000000)
+    SELECT epoch_us(ts) // 604800000000 * 604800 AS start, a, b, count(*) AS n, round(avg(ok::INT), 6) AS success FROM p GROUP BY 1, 2, 3""",
+)
+def windowed_cooccurrence(spark, d):
+    """Skills that follow each other in a session within six hours, per window of seven days."""
+    return stateful.windowed_cooccurrence(fx.executions(spark, d), 21_600).select(F.unix_seconds("start").alias("start"), "a", "b", "n", "success")
+
+
+@query(
+    "accepted_events",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+    f AS (SELECT user_id, event_id, t AS last, true AS took, k FROM e WHERE k = 1 UNION ALL SELECT f.user_id, e.event_id, CASE WHEN e.t - f.last >= 43200000000 THEN e.t ELSE f.last END, e.t - f.last >= 43200000000, e.k FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+    SELECT user_id, event_id FROM f WHERE took""",
+)
+def accepted_events(spark, d):
+    """The events that debouncing by half a day lets through."""
+    return mutations.accepted(table(spark, d, "events"), 43_200, "user_id").select("user_id", "event_id")
+
+
+@query(
+    "moved_files",
+    """WITH was AS (SELECT page_id, '/a/' || (page_id % 5) || '/' || page_id || '.md' AS path, md5((page_id % 40)::VARCHAR) AS h FROM pages WHERE page_id % 7 <> 0), now AS (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN '/b/' || (page_id % 5) || '/' || page_id || '.md' WHEN page_id % 6 = 1 THEN '/a/' || (page_id % 5) || '/new-' || page_id || '.md' ELSE '/a/' || (page_id % 5) || '/' || page_id || '.md' END AS path,
+      md5(CASE WHEN page_id % 11 = 0 THEN 'x' || page_id ELSE (page_id % 40)::VARCHAR END) AS h FROM pages WHERE page_id % 13 <> 0),
+    ch AS (SELECT coalesce(o.path, n.path) AS path, o.h AS oh, n.h AS nh FROM was o FULL JOIN now n ON n.path = o.path),
+    g AS (SELECT path, oh AS h, regexp_extract(path, '[^/]*$') AS name FROM ch WHERE nh IS NULL), c AS (SELECT path, nh AS h, regexp_extract(path, '[^/]*$') AS name FROM ch WHERE oh IS NULL),
+    m1 AS (SELECT c.path, g.path AS old_path FROM (SELECT *, row_number() OVER (PARTITION BY h, name ORDER BY path) AS k FROM g) g JOIN (SELECT *, row_number() OVER (PARTITION BY h, name ORDER BY path) AS k FROM c) c USING (h, name, k)),
+    m2 AS (SELECT c.path, g.path AS old_path FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY path) AS k FROM g WHERE path NOT IN (SELECT old_path FROM m1)) g JOIN (SELECT *, row_number() OVER (PARTITION BY h ORDER BY path) AS k FROM c WHERE path NOT IN (SELECT path FROM m1)) c USING (h, k)),
+    m AS (FROM m1 UNION ALL FROM m2)
+    SELECT path, 'moved' AS kind, old_path FROM m UNION ALL SELECT path, 'created', NULL FROM c WHERE path NOT IN (SELECT path FROM m) UNION ALL SELECT path, 'deleted', NULL FROM g WHERE path NOT IN (SELECT old_path FROM m) UNION ALL SELECT path, 'modified', NULL FROM ch WHERE oh <> nh""",
+)
+def moved_files(spark, d):
+    """Two states of a folder: files moved to another folder or name, several of them equal, changed, new and gone."""
+    p = table(spark, d, "pages").select("page_id")
+    path = "concat('/a/', page_id % 5, '/', page_id, '.md')"
+    old = p.where("page_id % 7 <> 0").selectExpr(f"{path} path", "md5(cast(page_id % 40 as string)) hash")
+    new = p.where("page_id % 13 <> 0").selectExpr(
+        f"case when page_id % 6 = 0 then concat('/b/', page_id % 5, '/', page_id, '.md') when page_id % 6 = 1 then concat('/a/', page_id % 5, '/new-', page_id, '.md') else {path} end path",
+        "md5(case when page_id % 11 = 0 then concat('x', page_id) else cast(page_id % 40 as string) end) hash",
+    )
+    return mutations.moved_files(old, new)

@@ -1,4 +1,4 @@
-"""Telemetry streams: sampling, redaction, codes, stateful reliability and debouncing."""
+"""Telemetry streams: sampling, redaction, codes, sinks, stateful reliability, watched folders."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomgraph.operators.reliability import ALPHA, DEPRECATE, FLOOR, RECOVER
+from loomgraph.storage import cut
 
 #: Event types and their codes.
 CODES = {
@@ -72,26 +73,6 @@ def stream_reliability(events: DataFrame) -> DataFrame:
     return events.groupBy("skill_id").applyInPandasWithState(_reliability, schema, "rate double, deprecated boolean, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def _debounce(seconds: float):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        keep = []
-        for row in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            at = row.ts.value // 1000
-            if last is None or at - last >= seconds * 1_000_000:
-                last = at
-                keep.append((key[0], row.event_id, row.ts))
-        state.update((last,))
-        yield pd.DataFrame(keep, columns=["path", "event_id", "ts"])
-
-    return run
-
-
-def stream_debounce(events: DataFrame, seconds: float = 0.5) -> DataFrame:
-    """Events (path, event_id, ts) at least ``seconds`` after the last accepted one of their path."""
-    return events.groupBy("path").applyInPandasWithState(_debounce(seconds), "path string, event_id long, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and failures per tumbling window, late ones dropped beyond the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failures")).select(F.col("window.start").alias("start"), "n", "failures")
@@ -121,7 +102,11 @@ def flush(records: DataFrame, path: str, checkpoint: str, sink: str = "parquet",
 
 
 def dispatch(messages: DataFrame, handlers: dict, checkpoint: str, once: bool = False):
-    """Give each micro-batch's messages (event_type, ...) to the handler of their type (a function of a DataFrame); others go to ``None``'s, if any."""
+    """Give each micro-batch's messages (event_type, ...) to the handler of their type (a function of a DataFrame); others go to ``None``'s, if any.
+
+    A batch in which a handler fails runs again, for all handlers: those must be
+    able to take a batch twice, as the commits of a ``Store`` are.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
@@ -135,26 +120,39 @@ def dispatch(messages: DataFrame, handlers: dict, checkpoint: str, once: bool =
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_files(spark: SparkSession, path: str, known: str, checkpoint: str, handle, name: str = "*.md", once: bool = False):
-    """Watch a folder: each micro-batch of new or rewritten files is compared with the snapshot stored under ``known``.
+def compare_folder(spark: SparkSession, path: str, known: str, handle, name: str = "*.md") -> None:
+    """Give ``handle`` what changed in a folder since the snapshot stored under ``known``, and store the present one after it.
 
-    ``handle`` gets (path, kind) with kind created, modified or deleted; the
-    snapshot is stored anew after it, so events of a batch that fails come again.
-    A file source tells of new files alone, so a batch reads the folder's names
-    and hashes whole; that is also how deletions are seen.
+    ``handle`` gets (path, kind, old_path) with kind created, modified, deleted or
+    moved; if it fails the snapshot stays, and the changes come again.  The folder
+    is listed; only files whose time or length changed are opened and hashed.
     """
-    from loomgraph.operators.mutations import file_changes, load_snapshot, save_snapshot
-
-    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", name).load(path).select("path")
+    from loomgraph.operators.mutations import SNAPSHOT, load_snapshot, moved_files, save_snapshot
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name).load(path)
+    now = files.select("path", F.col("modificationTime").alias("modified"), "length")
+    old = load_snapshot(spark, known, SNAPSHOT)
+    same = ["path", "modified", "length"]
+    changed = cut(now.join(old, same, "left_anti"))
+    since = changed.agg(F.min("modified")).first()[0]
+    kept = now.join(old, same).select("path", "hash", "modified", "length")
+    if since is not None:
+        opened = files.where(F.col("modificationTime") >= F.lit(since)).join(changed.select("path"), "path", "left_semi")
+        kept = kept.unionByName(opened.select("path", F.md5("content").alias("hash"), F.col("modificationTime").alias("modified"), "length"))
+    kept = cut(kept)
+    handle(moved_files(old.select("path", "hash"), kept.select("path", "hash")))
+    save_snapshot(kept, known)
+
+
+def stream_files(spark: SparkSession, path: str, known: str, checkpoint: str, handle, name: str = "*.md", seconds: int = 10):
+    """``compare_folder`` every so many seconds; the query that runs.
+
+    A file source tells of new files alone, not of rewritten, moved or deleted
+    ones, so the batches are timed by a rate source.
+    """
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def batch(df: DataFrame, number: int) -> None:
-        files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", name).load(path)
-        now = files.select("path", F.md5("content").alias("hash")).persist()
-        try:
-            handle(file_changes(load_snapshot(df.sparkSession, known), now).where("change <> 'unchanged'").select("path", F.col("change").alias("kind")))
-            save_snapshot(now, known, number)
-        finally:
-            now.unpersist()
+        compare_folder(df.sparkSession, path, known, handle, name)
 
-    writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return clock.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

@@ -196,7 +196,7 @@ def test_file_events_of_a_watched_folder(spark, tmp_path):
 
     def run():
         handle = lambda df: seen.extend(tuple((r.path.rsplit("/", 1)[-1], r.kind)) for r in df.collect())
-        telemetry.stream_files(spark, str(folder), str(tmp_path / "known"), str(tmp_path / "check"), handle, once=True).awaitTermination()
+        telemetry.compare_folder(spark, str(folder), str(tmp_path / "known"), handle)
 
     (folder / "a.md").write_text("1")
     (folder / "b.md").write_text("1")
