@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import fixtures as fx
 from loomgraph.fixtures import table, with_
-from loomgraph.operators import mutations
+from loomgraph.operators import graph, mutations
 from loomgraph.operators.collection import Collection
 from loomgraph.plans import sync
 from loomgraph.registry import query
@@ -20,18 +20,18 @@ EDGES = Table("source long, target long, edge_type string, weight double", ("sou
 
 @query(
     "store_versions",
-    f"""{with_("skills", "edges")}, v1 AS (SELECT id, category, execution_success_rate AS rate FROM skills),
+    f"""{with_("skills", "edges")}, directed AS (FROM edges WHERE edge_type IN ('REQUIRES', 'ENHANCES')), v1 AS (SELECT id, category, execution_success_rate AS rate FROM skills),
     v2 AS (SELECT id, CASE WHEN id % 5 = 0 THEN 99 ELSE category END AS category, rate FROM v1 WHERE id % 7 <> 3 OR id % 5 = 0 UNION ALL SELECT 1000000 + id, 77, 0.25::DOUBLE FROM v1 WHERE id % 50 = 0),
-    kept AS (SELECT source, target, edge_type, max(weight) AS weight FROM edges GROUP BY 1, 2, 3),
+    kept AS (SELECT source, target, edge_type, max(weight) AS weight FROM directed GROUP BY 1, 2, 3),
     v3 AS (SELECT * FROM v2 WHERE id % 11 <> 0), gone AS (SELECT id FROM v2 WHERE id % 11 = 0), e3 AS (SELECT source, count(*) AS n FROM kept WHERE source NOT IN (FROM gone) AND target NOT IN (FROM gone) GROUP BY 1), e1 AS (SELECT source, count(*) AS n FROM kept GROUP BY 1)
     SELECT 1::INT AS version, id, category::INT AS category, rate, coalesce(n, 0)::BIGINT AS n_out FROM v1 LEFT JOIN e1 ON e1.source = id UNION ALL
     SELECT 3, id, category, rate, coalesce(n, 0) FROM v3 LEFT JOIN e3 ON e3.source = id""",
 )
 def store_versions(spark, d):
-    """Three batches of nodes and edges, the second one replayed; the first and the last version are read."""
+    """Three batches of nodes and directed edges, the second one replayed; the first and the last version are read."""
     s = fx.skills(spark, d).selectExpr("id", "uid", "cast(category as int) category", "execution_success_rate rate")
     store = Store.create(spark, new_folder(spark, "graph"), {"nodes": NODES, "edges": EDGES})
-    store.commit("load", {"nodes": Change(s), "edges": Change(fx.edges(spark, d))})
+    store.commit("load", {"nodes": Change(s), "edges": Change(fx.edges(spark, d).where("edge_type in ('REQUIRES', 'ENHANCES')"))})
     changed = s.where("id % 5 = 0").selectExpr("id", "uid", "99 category", "0.0D rate", "1 turn").unionByName(s.where("id % 5 = 0").selectExpr("id", "uid", "98 category", "0.0D rate", "0 turn"))
     new = s.where("id % 50 = 0").selectExpr("1000000 + id id", "uid", "77 category", "0.25D rate", "0 turn")
     second = {"nodes": Change(changed.unionByName(new), s.where("id % 7 = 3"), order="turn", keep=("rate",))}
@@ -202,3 +202,29 @@ def moved_files(spark, d):
         "md5(case when page_id % 11 = 0 then concat('x', page_id) else cast(page_id % 40 as string) end) hash",
     )
     return mutations.moved_files(old, new)
+
+
+# Graphs ---------------------------------------------------------------------
+
+_UP = "SELECT vec_id // 4 AS source, vec_id AS target FROM embeddings WHERE vec_id % 50 = 25"
+
+
+@query(
+    "added_cycles",
+    f"""WITH RECURSIVE old AS (SELECT vec_id AS source, vec_id // 2 AS target FROM embeddings WHERE vec_id > 0 AND vec_id <> vec_id // 2), up AS ({_UP}), e AS (FROM old UNION FROM up),
+    r AS (SELECT target AS source, source AS id FROM up UNION SELECT r.source, e.target FROM r JOIN e ON e.source = r.id), b AS (SELECT source, source AS id FROM up UNION SELECT b.source, e.source FROM b JOIN e ON e.target = b.id),
+    p AS (SELECT id AS x, id AS y FROM (SELECT id FROM r INTERSECT SELECT id FROM b) UNION SELECT p.x, e.target FROM p JOIN e ON e.source = p.y),
+    scc AS (SELECT p.x AS id, least(p.x, min(p.y)) AS component FROM p JOIN p q ON q.x = p.y AND q.y = p.x AND p.x <> p.y GROUP BY 1, p.x)
+    SELECT s.component, count(*) AS n_nodes, (SELECT count(*) FROM up JOIN scc a ON a.id = up.source JOIN scc c ON c.id = up.target AND c.component = a.component WHERE a.component = s.component) AS n_added FROM scc s GROUP BY 1""",
+)
+def added_cycles(spark, d):
+    """Cycles that added edges close in a tree of dependencies, searched between the ends of the added edges alone."""
+    v = table(spark, d, "embeddings").select("vec_id")
+    old = v.selectExpr("vec_id source", "vec_id div 2 target").where("source > 0 and source <> target")
+    return graph.added_cycles(old, v.where("vec_id % 50 = 25").selectExpr("vec_id div 4 source", "vec_id target"))[0]
+
+
+@query("reach_estimate")
+def reach_estimate(spark, d):
+    """Transitive dependencies by sketches; tests compare them with the exact counts."""
+    return graph.reach_sketch(fx.requires(spark, d)).withColumn("n_transitive", F.col("n_transitive").cast("long"))
