@@ -57,6 +57,12 @@ def parse(df: DataFrame, permission: str = "permission") -> DataFrame:
     return df.withColumns({"high_risk": valid & F.coalesce(risk, F.lit(False)), "usual_action": F.when(valid, usual), "usual_target": F.when(valid, fits)})
 
 
+def warnings(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with ``warnings``: what is unusual about a valid permission, ``action`` and ``target``, in that order."""
+    found = F.array(F.when(~F.col("usual_action"), F.lit("action")), F.when(~F.col("usual_target"), F.lit("target")))
+    return parsed.withColumn("warnings", F.filter(found, lambda x: x.isNotNull()))
+
+
 def summary(parsed: DataFrame, key: str = "id") -> DataFrame:
     """Per key: counts, high-risk count, categories in order, whether all are valid."""
     return parsed.groupBy(key).agg(

@@ -6,9 +6,10 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import language
 from loomgraph.storage import ship
 
 #: Names that make a function an entry point, by language.
@@ -381,3 +382,12 @@ def code_facts(blocks: DataFrame) -> DataFrame:
     ship(blocks.sparkSession)
     facts = F.arrow_udf(_facts, FACTS)
     return blocks.withColumn("facts", facts("code", "language", F.coalesce("line_start", F.lit(0)).cast("int")))
+
+
+#: The supported languages.
+SUPPORTED = ["python", "bash", "javascript", "typescript", "go", "rust", "java", "c", "cpp", "sql"]
+
+
+def supported(name: str | Column) -> Column:
+    """Whether a language is supported, by any of its names."""
+    return F.coalesce(language(name).isin(SUPPORTED), F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.schema import EDGE_WEIGHT, HINT_TYPES, PERMISSION, SKILL_ID
 
+#: Fixed value: a version.
 SEMVER = r"^\d+\.\d+\.\d+(-[a-zA-Z0-9]+)?$"
 
 
@@ -47,6 +48,19 @@ def hint_edges(df: DataFrame, uid: str, hints: str) -> DataFrame:
     return df.select(F.col(uid).alias("source"), F.explode(F.concat(*parts)).alias("x")).select("source", "x.target", "x.edge_type", "x.weight")
 
 
+def hint_warnings(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add ``hint_warnings`` of a manifest given as JSON: hints that are no mapping, kinds that are no list, unknown kinds."""
+    text = F.get_json_object(raw, "$.topology_hints")
+    hints = F.from_json(text, "map<string,string>")
+    names = F.array_sort(F.map_keys(hints))
+    lists = lambda k: F.col(raw).isNotNull() & F.coalesce(F.element_at(hints, k).startswith("["), F.lit(False))
+    wrong = F.transform(F.filter(names, lambda k: k.isin(list(HINT_TYPES)) & ~lists(k)), lambda k: F.concat(F.lit("topology_hints."), k, F.lit(":list")))
+    unknown = F.transform(F.filter(names, lambda k: ~k.isin(list(HINT_TYPES))), lambda k: F.concat(F.lit("topology_hints."), k, F.lit(":unknown")))
+    none = F.array().cast("array<string>")
+    out = F.when(text.isNull(), none).when(~text.startswith("{"), F.array(F.lit("topology_hints:mapping"))).otherwise(F.concat(F.coalesce(wrong, none), F.coalesce(unknown, none)))
+    return df.withColumn("hint_warnings", out)
+
+
 #: The static checks as (language, rule, severity, pattern); every hit is an issue on its line.
 CODE_RULES = [
     ("bash", "unquoted_variable", "warning", r"\$([A-Za-z_][A-Za-z0-9_]*)[^\"'\w]"),

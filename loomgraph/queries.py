@@ -529,9 +529,9 @@ def debounced_events(spark, d):
 CLEAN = r"lower(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', '', 'g'))"
 
 
-@query("clean_query", rf"SELECT conv_id, turn, {CLEAN} AS cleaned FROM conversations WHERE role = 'user'")
+@query("clean_query", rf"SELECT conv_id, turn, {CLEAN} AS cleaned FROM conversations")
 def clean_query(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", tx.clean("text").alias("cleaned"))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.clean("text").alias("cleaned"))
 
 
 @query("enrich_query", "SELECT conv_id, turn, text || CASE WHEN conv_id % 2 = 0 AND turn % 2 = 0 THEN ' context: git repository, docker' WHEN conv_id % 2 = 0 THEN ' context: git repository' WHEN turn % 2 = 0 THEN ' context: docker' ELSE '' END AS enriched FROM conversations")
@@ -590,6 +590,15 @@ def permission_high_risk(spark, d):
     return perm.parse(fx.permissions(spark, d)).where("high_risk").select("id", "permission")
 
 
+@query("permission_warnings", f"""{PARSED}, u AS (SELECT *, CASE category WHEN 'fs' THEN action IN ('read', 'write', 'delete', 'execute', 'list', 'create') WHEN 'net' THEN action IN ('connect', 'http', 'https', 'ssh', 'list') WHEN 'db' THEN action IN ('query', 'read', 'write', 'delete', 'create', 'update', 'admin')
+      WHEN 'exec' THEN action IN ('execute', 'list') WHEN 'env' THEN action IN ('read', 'write', 'list') WHEN 'secret' THEN action IN ('read', 'write', 'list') WHEN 'system' THEN action IN ('info', 'configure', 'admin', 'shutdown') ELSE true END AS ua,
+    target IS NULL OR CASE category WHEN 'fs' THEN regexp_matches(target, '^/[a-zA-Z0-9_/.-]*$') WHEN 'net' THEN regexp_matches(target, '^[a-zA-Z0-9.-]+(:[0-9]+)?$') WHEN 'db' THEN regexp_matches(target, '^[a-zA-Z0-9_-]+$') WHEN 'exec' THEN regexp_matches(target, '^[a-zA-Z0-9_/-]+$')
+      WHEN 'env' THEN regexp_matches(target, '^[A-Z_][A-Z0-9_]*$') WHEN 'secret' THEN regexp_matches(target, '^[a-zA-Z0-9_-]+$') ELSE true END AS ut FROM r)
+    SELECT id, permission, concat_ws(',', CASE WHEN is_valid AND NOT ua THEN 'action' END, CASE WHEN is_valid AND NOT ut THEN 'target' END) AS warnings FROM u""")
+def permission_warnings(spark, d):
+    return perm.warnings(perm.parse(fx.permissions(spark, d))).select("id", "permission", F.array_join("warnings", ",").alias("warnings"))
+
+
 @query("permission_summary", f"{PARSED} SELECT id, count(*) AS total_count, count(*) FILTER (WHERE high_risk) AS high_risk_count, coalesce(array_to_string(list_sort(list(DISTINCT category) FILTER (WHERE category IS NOT NULL)), ','), '') AS categories, bool_and(is_valid) AS is_valid FROM r GROUP BY 1")
 def permission_summary(spark, d):
     return perm.summary(perm.parse(fx.permissions(spark, d)))
@@ -1022,11 +1031,11 @@ def kv_get(spark, d):
     return mutations.kv_get(_kv(spark, d), table(spark, d, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey key"))
 
 
-@query("result_cache", """SELECT doc_id, 'route:' || left(sha256(text), 16) || ':' || 4096 AS key, doc_id % 3 = 0 AS hit FROM documents WHERE text IS NOT NULL AND text IN (SELECT text FROM documents GROUP BY 1 HAVING count(*) = 1)""")
+@query("result_cache", """SELECT doc_id, 'route:' || left(sha256(doc_id || ' ' || coalesce(text, '')), 16) || ':' || 4096 AS key, doc_id % 3 = 0 AS hit FROM documents""")
 def result_cache(spark, d):
     docs = table(spark, d, "documents")
-    once = docs.where("text is not null").join(docs.groupBy("text").agg(F.count("*").alias("n")).where("n = 1").select("text"), "text", "left_semi")
-    keyed = once.select("doc_id", runtime.cache_key("route", tx.query_hash("text"), F.lit(4096)).alias("key"))
+    asked = F.concat_ws(" ", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", runtime.cache_key("route", tx.query_hash(asked), F.lit(4096)).alias("key"))
     now = F.timestamp_seconds(F.lit(1000))
     entries = keyed.select("key", F.lit("x").alias("value"), F.timestamp_seconds(F.when(F.col("doc_id") % 3 == 0, 900).otherwise(100)).alias("ts"), F.col("doc_id").alias("seq"), F.lit(600).alias("ttl_seconds"))
     hits, misses = mutations.cached(keyed, entries, now)
@@ -1076,6 +1085,30 @@ def route_quality(spark, d):
     return routing.quality(scored, conflicts.independent_set(scored, e), e)
 
 
+@query("hint_warnings", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'topology_hints.requires:list,topology_hints.likes:unknown' WHEN 1 THEN 'topology_hints:mapping' ELSE '' END AS warnings FROM part""")
+def hint_warnings(spark, d):
+    raw = """case p_partkey % 4 when 0 then concat('{"topology_hints": {"likes": [], "requires": "a:', p_partkey, '", "enhances": ["b:c"]}}') when 1 then concat('{"topology_hints": [', p_partkey, ']}') when 2 then '{"topology_hints": {"requires": ["a:b"]}}' else '{"skill_id": "a:b"}' end"""
+    return validation.hint_warnings(table(spark, d, "part").selectExpr("p_partkey id", f"{raw} raw")).select("id", F.array_join("hint_warnings", ",").alias("warnings"))
+
+
+@query("supported_languages", "SELECT p_partkey AS id, p_partkey % 9 <> 8 AS supported FROM part")
+def supported_languages(spark, d):
+    names = F.expr("element_at(array('py', 'SH', 'js', 'ts', 'GoLang', 'rs', 'c++', 'Python', 'Kotlin'), cast(p_partkey % 9 + 1 as int))")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), code_facts.supported(names).alias("supported"))
+
+
+@query("redact_nested", """SELECT event_id, '{"props":' || replace(props, ': ', ':') || ',"user":{"api_key":"[FILTERED]","deep":{"bearer_token":"[FILTERED]","max_tokens":' || user_id || ',"list":[{"token":1}]}},"Secret":"[FILTERED]"}' AS shown FROM events""")
+def redact_nested(spark, d):
+    """Event properties inside mappings with secrets at several depths; lists stay as they are."""
+    body = F.expr("""concat('{"props": ', props, ', "user": {"api_key": "k', user_id, '", "deep": {"bearer_token": [1, 2], "max_tokens": ', user_id, ', "list": [{"token": 1}]}}, "Secret": {"a": 1}}')""")
+    return table(spark, d, "events").select("event_id", telemetry.redacted(body).alias("shown"))
+
+
+@query("relation_prompt_text", f"{with_('skills')} SELECT category, sha256('Name the relations among these skills as JSON:' || chr(10) || '[' || string_agg('{{\"uid\":\"' || uid || '\",\"description\":\"' || description || '\"}}', ',' ORDER BY uid) || ']') AS prompt_sha256 FROM skills GROUP BY 1")
+def relation_prompt_text(spark, d):
+    return runtime.prompt(fx.skills(spark, d)).select("category", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 from loomgraph import stored_queries  # noqa: E402, F401  registers its own
 
 __all__ = ["ORACLES", "QUERIES"]

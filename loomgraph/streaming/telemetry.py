@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -52,6 +54,24 @@ def redact_json(value, keys: tuple[str, ...] = tuple(SENSITIVE)):
     return {k: "[FILTERED]" if hit(k) else redact_json(v, keys) for k, v in value.items()}
 
 
+def _redacted(texts: pa.Array) -> pa.Array:
+    def one(text: str | None) -> str | None:
+        try:
+            return json.dumps(redact_json(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return text
+
+    return pa.array([one(t) for t in texts.to_pylist()], pa.string())
+
+
+def redacted(fields: str | Column) -> Column:
+    """JSON of any shape and depth with the values of sensitive keys filtered in all nested mappings; what isn't JSON stays.
+
+    Lists are left as they are.  ``parse_json`` makes the result a VARIANT.
+    """
+    return F.arrow_udf(_redacted, "string")(fields)
+
+
 def _reliability(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rate, deprecated, n = state.get if state.exists else (1.0, False, 0)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
