@@ -6,7 +6,7 @@ from oracle import duck, rows_of
 from loomgraph import queries as engine
 
 SF = "/root/testdata/sf0.001"
-#: Queries without a counterpart: only that they run, and keep their invariants below.
+#: Queries without a counterpart: that they run; test_route, test_stored and test_reach compare them with plain results.
 FREE = sorted(set(engine.QUERIES) - set(engine.ORACLES))
 
 
