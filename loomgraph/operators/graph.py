@@ -182,10 +182,8 @@ WORDS, BLOCKS = 16, 16
 
 
 def _numbered(ids: DataFrame) -> DataFrame:
-    """(id, k): nodes numbered from 0 in any order, by the counts of the parts before."""
-    parts = cut(ids.select("id", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("at")))
-    before = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return cut(parts.join(before, "part").select("id", (F.coalesce("before", F.lit(0)) + F.col("at")).alias("k")))
+    """(id, k): nodes (id, depth) numbered from 0 by depth and id, so that what most nodes reach lies in few blocks."""
+    return cut(execution_order(ids).select("id", F.col("position").alias("k")))
 
 
 def _upward(edges: DataFrame, start: DataFrame, merge: list[Column], depth: DataFrame | None = None, keys: tuple[str, ...] = (), mark: Column | None = None) -> DataFrame:
@@ -228,7 +226,8 @@ def reach_counts(edges: DataFrame, depth: DataFrame | None = None) -> DataFrame:
     if depth is None:
         depth, left = peel(e)
         depth = cut(depth) if left.isEmpty() else None
-    numbered = _numbered(nodes(e))
+    every = nodes(e) if depth is None else nodes(e).join(depth, "id", "left")
+    numbered = _numbered(every.withColumn("depth", F.coalesce("depth", F.lit(0)) if depth is not None else F.lit(0)))
     n, total, block = numbered.count(), None, 64 * WORDS
     words = [f"w{i}" for i in range(WORDS)]
     merge = [F.bit_or(w).alias(w) for w in words]
