@@ -7,11 +7,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm._shared import fresh, materialise, new_path, same_text, ship
+from loomgraph.llm._shared import delete, fresh, materialise, new_path, same_text, ship
 
 SLOTS, MAX_KICKS = 4, 200
 #: Digests that one shard's filter holds when the index is made, about.
 SHARD_DIGESTS = 200_000
+#: A filter that outgrows so many bytes, some four times as many digests, splits the shards.
+CELL_BYTES = 1 << 21
+#: Shards whose content folders are listed for a read; of more hits than that all folders are read.
+LISTED = 1000
+#: Batches that a table is inserted in: the later ones probe the filters of those before.
+BATCHES = 2
 ENTRY = "d64 long, sha string, keep_id long, keep_row long, n long"
 
 
@@ -126,6 +132,11 @@ def _rebuild(keys: pa.Table) -> pa.Table:
     return pa.table({"shard": keys.column("shard").slice(0, 1).cast(pa.int32()), "cells": pa.array([CuckooFilter.of(keys.column("d64").to_pylist()).store()], pa.binary())})
 
 
+def _build(shards: pa.Table, keys: pa.Table) -> pa.Table:
+    """The filter of one shard from its stored keys, of which it may have none."""
+    return pa.table({"shard": shards.column("shard"), "cells": pa.array([CuckooFilter.of(keys.column("d64").to_pylist()).store()], pa.binary())})
+
+
 CELLS = "shard int, cells binary"
 
 
@@ -142,18 +153,21 @@ class DigestIndex:
     row a task, and probe the stored filters of their shards.  A miss is new at
     once and reads no content; hits are verified by SHA-256 in the buckets of
     their shards alone.  Digests without live members leave the filter.  A filter
-    that overflows is built anew, larger, from the stored keys of its shard.
+    that overflows is built anew, larger, from the stored keys of its shard; one
+    that has become too large for a task doubles the shards, so that a shard's
+    digests stay bounded however many batches come.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         ship(spark)
-        self.spark, self.path, self.batch, self.shards = spark, path.rstrip("/"), 0, 0
+        self.spark, self.path, self.batch, self.shards, self.least = spark, path.rstrip("/"), 0, 0, 0
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         while fs.exists(place(f"{self.path}/filters/batch={self.batch + 1}/_SUCCESS")):
             self.batch += 1
         if self.batch:
             self.shards = self.filters().count()
+            self.least = self.spark.read.schema(CELLS).parquet(self._at("filters", 0)).count()
 
     def _at(self, table: str, batch: int | None = None) -> str:
         return f"{self.path}/{table}/batch={self.batch if batch is None else batch}"
@@ -188,13 +202,16 @@ class DigestIndex:
         rows = self._all("content", f"{ENTRY}, shard int", upto)
         if rows is None:
             return self.spark.createDataFrame([], f"{ENTRY}, shard int")
-        if shards is not None:  # at most one row a shard, as many as there are filters
-            rows = rows.where(F.col("shard").isin([r["shard"] for r in shards.distinct().collect()]))
-        names = [c for c in rows.columns if c not in ("shard", "batch")]
+        if shards is not None and len(hit := shards.distinct().limit(LISTED + 1).collect()) <= LISTED:
+            # A digest's folder is its shard of the time, when there were fewer by some doublings.
+            counts = [self.least]
+            while counts[-1] < self.shards:
+                counts.append(2 * counts[-1])
+            rows = rows.where(F.col("shard").isin(sorted({r["shard"] % c for r in hit for c in counts})))
         if upto == 1:
-            return rows.select(*names, "shard")
-        latest = rows.groupBy("shard", "d64", "sha").agg(F.max_by(F.struct("keep_id", "keep_row", "n"), "batch").alias("x"))
-        return latest.select("d64", "sha", "x.keep_id", "x.keep_row", "x.n", "shard").where("n > 0")
+            return self._sharded(rows).drop("batch")
+        latest = rows.groupBy("d64", "sha").agg(F.max_by(F.struct("keep_id", "keep_row", "n"), "batch").alias("x"))
+        return self._sharded(latest.select("d64", "sha", "x.keep_id", "x.keep_row", "x.n").where("n > 0"))
 
     def entries(self) -> DataFrame:
         """(d64, sha, keep_id, keep_row, n): the live digests, their smallest (doc_id, row) and number of members."""
@@ -211,12 +228,21 @@ class DigestIndex:
         full = revised.where("cells is null").select("shard")
         if not full.isEmpty():
             stored = self._content(k, full).select("shard", "d64").distinct()
-            revised = revised.where("cells is not null").unionByName(stored.groupBy("shard").applyInArrow(_rebuild, CELLS))
+            revised = materialise(revised.where("cells is not null").unionByName(stored.groupBy("shard").applyInArrow(_rebuild, CELLS)), "filters")
+            while revised.agg(F.max(F.length("cells"))).first()[0] > CELL_BYTES:
+                revised = materialise(self._split(k), "filters")
         revised.write.mode("overwrite").parquet(self._at("filters", k))
         self.batch = k
 
+    def _split(self, k: int) -> DataFrame:
+        """The filters of twice as many shards, from the keys stored up to batch ``k``."""
+        self.shards *= 2
+        keys = self._content(k).select("shard", "d64").distinct()
+        every = self.spark.range(self.shards).select(F.col("id").cast("int").alias("shard"))
+        return every.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(_build, CELLS)
+
     def _start(self, digests: int) -> None:
-        self.shards = max(1, -(-digests // SHARD_DIGESTS), min(8, digests))
+        self.shards = self.least = max(1, -(-digests // SHARD_DIGESTS), min(8, digests))
         empty = F.lit(CuckooFilter().store())
         self.spark.range(self.shards).select(F.col("id").cast("int").alias("shard"), empty.alias("cells")).write.mode("overwrite").parquet(self._at("filters", 0))
 
@@ -226,6 +252,7 @@ class DigestIndex:
     def insert(self, rows: DataFrame) -> None:
         """Add ``rows`` of digests() (doc_id, row, d64, sha) as one batch."""
         k = self.batch + 1
+        delete(self.spark, self._at("deletes", k))  # of a batch that was never committed
         rows.select("doc_id", "row", "d64", "sha").write.mode("overwrite").parquet(self._at("members", k))
         own = self.spark.read.schema("doc_id long, row long, d64 long, sha string").parquet(self._at("members", k))
         order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
@@ -254,13 +281,14 @@ class DigestIndex:
         if not self.batch:
             return
         k = self.batch + 1
+        delete(self.spark, self._at("members", k))
         rows.select("doc_id", "sha").distinct().write.mode("overwrite").parquet(self._at("deletes", k))
         asked = materialise(self._sharded(rows.select("d64", "sha").distinct()), "asked")
         hits = materialise(self._cogroup(_hits, asked.select("shard", "d64").distinct(), "shard int, d64 long"), "filter-hits")
         before = self._content(self.batch, hits.select("shard")).join(hits.select("d64"), "d64", "left_semi")
         known = materialise(before.join(asked.select("d64", "sha"), ["d64", "sha"], "left_semi"), "verified")
         order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-        left = self._live(k).join(known.select("d64", "sha"), ["d64", "sha"], "left_semi").groupBy("d64", "sha").agg(F.min(order).alias("k"), F.count("*").alias("m"))
+        left = self._live(k).groupBy("d64", "sha").agg(F.min(order).alias("k"), F.count("*").alias("m"))  # combined before the join, as a digest may be hot
         after = known.select("d64", "sha", "shard").join(left, ["d64", "sha"], "left")
         touched = materialise(after.select("d64", "sha", F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"), F.coalesce("m", F.lit(0)).alias("n"), "shard"), "touched")
         still = before.select("d64", "sha").join(touched.where("n = 0").select("d64", "sha"), ["d64", "sha"], "left_anti").select("d64").distinct()
@@ -280,10 +308,24 @@ def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
     return clean.select("doc_id", "row", F.xxhash64("t").alias("d64"), F.sha2("t", 256).alias("sha"))
 
 
-def _indexed(docs: DataFrame, row: str | None = None) -> DigestIndex:
+def indexed(docs: DataFrame, row: str | None = None, batches: int = BATCHES) -> tuple[DigestIndex, DataFrame]:
+    """A new index of ``docs`` and their ``digests``, written once and inserted in ``batches`` by a hash of doc_id.
+
+    From the second batch on, digests probe the filters: only hits are looked up
+    in the stored content.
+    """
     index = DigestIndex(docs.sparkSession, new_path(docs.sparkSession, "digest-index"))
-    index.insert(digests(docs, row))
-    return index
+    rows = materialise(digests(docs, row), "digests")
+    for k in range(batches):
+        index.insert(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    return index, rows
+
+
+def decisions(index: DigestIndex) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every member of the index."""
+    groups = index.entries().select(F.col("sha").alias("s"), "keep_id", "keep_row", "n")
+    joined = index.members().join(groups, F.col("sha") == F.col("s"))
+    return joined.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -295,10 +337,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     digested whole.  An empty table gives an empty result; other columns are
     ignored.
     """
-    index = _indexed(docs)
-    groups = index.entries().select(F.col("sha").alias("s"), "keep_id", "keep_row", "n")
-    joined = index.members().join(groups, F.col("sha") == F.col("s"))
-    return joined.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return decisions(indexed(docs)[0])
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -309,5 +348,5 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """
     (row,) = fresh(docs.columns, "row")
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
-    kept = _indexed(numbered, row).entries().select(F.col("keep_row").alias(row))
+    kept = indexed(numbered, row)[0].entries().select(F.col("keep_row").alias(row))
     return numbered.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)

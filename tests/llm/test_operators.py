@@ -142,6 +142,47 @@ def test_digest_index_of_live_members(spark, docs, monkeypatch):
     index.insert(exact_dedup.digests(spark.createDataFrame(many, "doc_id long, text string")))
     check(index, [*left, gone[1], *many])
     assert index.filters().agg(F.max(F.length("cells"))).first()[0] > 256 * 4 * 2
+    # Filters over the bound: twice the shards, and what was stored under fewer is found.
+    monkeypatch.setattr(exact_dedup, "CELL_BYTES", 256 * 4 * 2)
+    more = [(20_000 + k, f"further text {k}") for k in range(9_000)]
+    index.insert(exact_dedup.digests(spark.createDataFrame(more, "doc_id long, text string")))
+    assert index.shards >= 2 * index.least and index.filters().agg(F.max(F.length("cells"))).first()[0] <= 256 * 4 * 2
+    index = exact_dedup.DigestIndex(spark, path)
+    index.delete(exact_dedup.digests(spark.createDataFrame([gone[1], many[7], more[8]], "doc_id long, text string")))
+    index.insert(exact_dedup.digests(spark.createDataFrame([(3, "text 9"), more[8]], "doc_id long, text string")))
+    check(index, [*left, *(m for m in many if m != many[7]), *more, (3, "text 9")])
+
+
+def test_later_batches_probe_the_filters(spark, docs, monkeypatch):
+    asked, read = [], []
+    add, content = exact_dedup.DigestIndex._add, exact_dedup.DigestIndex._content
+
+    def _add(self, changes, hits):
+        asked.append(None if hits is None else {r.d64 for r in hits.collect()})
+        return add(self, changes, hits)
+
+    def _content(self, upto, shards=None):
+        read.append(upto)
+        return content(self, upto, shards)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_add", _add)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_content", _content)
+    index, rows = exact_dedup.indexed(docs, batches=3)
+    assert index.batch == 3 and asked[0] is None and any(asked[1:])
+    whole = collections.Counter(map(tuple, exact_dedup.decisions(exact_dedup.indexed(docs, batches=1)[0]).drop("kept").collect()))
+    assert collections.Counter(map(tuple, exact_dedup.decisions(index).drop("kept").collect())) == whole
+    # Texts that no filter may hold read no content; known ones are hits, every one of them.
+    asked.clear(), read.clear()
+    index.insert(exact_dedup.digests(spark.createDataFrame([(900 + k, f"never seen {k}") for k in range(5)], "doc_id long, text string")))
+    assert asked == [None] and not read
+    index.insert(rows)
+    assert asked[1] >= {r.d64 for r in rows.collect()} and read
+    # A lost deletion leaves nothing that a later batch under its number would take for its own.
+    n = index.members().count()
+    rows.select("doc_id", "sha").write.parquet(index._at("deletes", index.batch + 1))
+    index = exact_dedup.DigestIndex(spark, index.path)
+    index.insert(exact_dedup.digests(spark.createDataFrame([(999, "after")], "doc_id long, text string")))
+    assert index.members().count() == n + 1
 
 
 def brute_components(rows, n, percent):
