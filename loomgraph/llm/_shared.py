@@ -5,13 +5,18 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.storage import ship
 
-__all__ = ["delete", "fresh", "materialise", "new_path", "same_text", "scrap", "shared_folder", "ship"]
+__all__ = ["delete", "fresh", "materialise", "new_path", "same_text", "scrap", "shared_folder", "ship", "shuffles_dropped"]
+
+#: Spark then removes the shuffle files of an execution as it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,6 +72,24 @@ def scrap(spark: SparkSession, *written: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes in this block leave no shuffle files, whatever still refers to them and whenever garbage is collected.
+
+    A frame made in the block has that property for good, and a second action on
+    it would compute its shuffles anew: frames that are handed out are made outside.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each lengthened until no column has it (in any case of letters)."""
     taken = {c.lower() for c in columns}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm._shared import materialise, new_path, scrap, ship
+from loomgraph.llm._shared import materialise, new_path, scrap, ship, shuffles_dropped
 
 END = "\r\n\r\n"
 #: Payload bytes of one archive file, about; a single larger record is a file's own.
@@ -44,8 +44,8 @@ def _record(kind: Column, record_id: Column, headers: list[tuple[str, Column]],
     return F.concat(_bytes(F.concat(*lines)), block)
 
 
-def captures(pages: DataFrame, min_revisit_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Captures (page_id, key, url, payload) of ``pages`` (page_id, url, html), and repeated ones (k, first_key).
+def captures(pages: DataFrame, min_revisit_bytes: int = 0) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Captures (page_id, key, url, payload) of ``pages`` (page_id, url, html), repeated ones (k, first_key), and the tables these read.
 
     ``key`` is a digest of all of a capture, so it names the same rows however
     often ``pages`` is read and however it is split.  Of rows with equal payloads
@@ -61,12 +61,13 @@ def captures(pages: DataFrame, min_revisit_bytes: int = 0) -> tuple[DataFrame, D
     ).withColumn("content", F.sha2("payload", 256))
     rows = rows.withColumn("key", F.sha2(_bytes(F.to_json(F.struct("page_id", "url", "content"))), 256))
     # Digests alone go through the grouping; the written table lets Spark split a hot digest in the join.
-    narrow = materialise(rows.select("page_id", "key", F.length("payload").alias("size"), "content"), "captures")
-    order = F.struct(F.col("page_id").isNotNull().alias("k"), "page_id", "key")
-    best = narrow.where(F.col("size") >= min_revisit_bytes).groupBy("content").agg(F.max(order).alias("b"), F.count("*").alias("n")).where("n > 1")
-    best = materialise(best.select(F.col("content").alias("c"), F.col("b.key").alias("first_key")), "first-captures")
+    with shuffles_dropped(pages.sparkSession):
+        narrow = materialise(rows.select("page_id", "key", F.length("payload").alias("size"), "content"), "captures")
+        order = F.struct(F.col("page_id").isNotNull().alias("k"), "page_id", "key")
+        best = narrow.where(F.col("size") >= min_revisit_bytes).groupBy("content").agg(F.max(order).alias("b"), F.count("*").alias("n")).where("n > 1")
+        best = materialise(best.select(F.col("content").alias("c"), F.col("b.key").alias("first_key")), "first-captures")
     repeated = narrow.join(best, F.col("content") == F.col("c")).select(F.col("key").alias("k"), "first_key").distinct()
-    return rows.drop("content"), repeated
+    return rows.drop("content"), repeated, [narrow, best]
 
 
 def urn(kind: str, key: Column, copy: Column) -> Column:
@@ -85,8 +86,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     empty table writes no records; other columns are ignored.
     """
     spark = pages.sparkSession
-    rows, repeated = captures(pages, min_revisit_bytes)
-    total = rows.agg(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
+    rows, repeated, read = captures(pages, min_revisit_bytes)
+    with shuffles_dropped(spark):
+        total = rows.agg(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
     files = max(1, min(rows.rdd.getNumPartitions(), -(-total // (1 << 20))), -(-total // ARCHIVE_BYTES))
     # Payloads move once: dealt by key into as many parts as there are to be files, which the join and the numbering of equal rows keep.
     marked = rows.repartition(int(files), "key").join(repeated.hint("shuffle_hash"), F.col("key") == F.col("k"), "left")
@@ -115,7 +117,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     )
     # A binary cast to string keeps its bytes, and the text sink writes them as they are.
     lines = marked.select(F.explode(records).alias("record")).select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END).option("compression", "gzip").text(path)
+    with shuffles_dropped(spark):  # the payloads are in the archives then, and needn't lie in a shuffle while they are read back
+        lines.write.option("lineSep", END).option("compression", "gzip").text(path)
+    scrap(spark, *read)
 
 
 RECORDS = "file string, place long, type string, record_id string, concurrent_to array<string>, refers_to string, uri string, page_id long, digest string, fields array<struct<name:string,value:string>>, http_head string, payload binary, payload_bytes long"
@@ -227,7 +231,8 @@ def resolve_revisits(found: DataFrame) -> DataFrame:
     that a third of all captures revisit.  A revisit whose response is unknown
     keeps its own digest and null bytes.
     """
-    own = materialise(found, "transactions")
+    with shuffles_dropped(found.sparkSession):
+        own = materialise(found, "transactions")
     known = materialise(own.where("response.type = 'response'").select(F.col("capture_id").alias("k"), F.col("response.page_id").alias("first_id"), F.col("response.payload_bytes").alias("bytes"), F.col("response.digest").alias("d")), "responses")
     joined = own.join(known, F.col("response.refers_to") == F.col("k"), "left")
     revisit = F.col("response.type") == "revisit"
@@ -262,6 +267,5 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, with_payload: bool
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, min_revisit_bytes)
-    scrap(spark)
     found = resolve_revisits(assemble(read_archives(spark, path, False)))
     return attach_payloads(found, read_archives(spark, path)) if with_payload else found

@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import audio, exact_dedup, jaccard_join, licenses, mixing, packing, rollups, substring_dedup, toxicity, warc
+from loomgraph.llm import _shared, audio, exact_dedup, jaccard_join, licenses, mixing, packing, rollups, substring_dedup, toxicity, warc
 from loomgraph.llm._shared import new_path
 
 SCHEMA = "doc_id long, text string, source string, lang string, row long, size long, s string, d_ long, tk long, score_ double, u string, k int"
@@ -633,6 +635,25 @@ def test_warc_revisits_when_splits_change(spark, resplit, tmp_path):
     assert sorted((r.response.page_id, r.payload_digest, r.refers_to or -1) for r in got) == sorted([(k, sha(k), -1 if k % 2 else k + 1) for k in range(80)] + [(79, sha(79), 79)])
 
 
+def test_warc_shuffles_go_without_collecting_garbage(spark, monkeypatch):
+    """Payloads that are in the archives no longer lie in a shuffle while they are read back."""
+    monkeypatch.setattr(warc, "scrap", lambda s, *written: [_shared.delete(s, df._written_to) for df in written])
+    local = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f for top in local for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    tables = lambda: {f for f in os.listdir(_shared.shared_folder(spark).removeprefix("file:")) if "captures-" in f}
+    spark.range(1).write.parquet(new_path(spark, "first"))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, written, value = shuffles(), tables(), spark.conf.get(setting, None)
+    df = spark.range(3000).selectExpr("id page_id", "concat('http://a/', id) url", "concat(repeat(cast(id as string), 100), id % 2000) html")
+    found = warc.round_trip(df.unionAll(df.selectExpr("page_id + 5000", "url", "html")))
+    deadline = time.monotonic() + 10  # executors remove files a moment after they are told to
+    while (left := shuffles() - before) and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert not left and tables() <= written and spark.conf.get(setting, None) == value
+    once, again = (sorted(found.collect(), key=lambda r: r.capture_id) for _ in range(2))
+    assert once == again and collections.Counter(r.response.type for r in once) == {"response": 3000, "revisit": 3000}
+
+
 def test_warc_parser_rejects_broken_files():
     good = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
     assert [block for _, _, block in warc.parse(good)] == [b"ab\r\n"]
